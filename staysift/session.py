@@ -54,12 +54,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use every core when the input has fewer splits than the cluster has cores.
+    """Use every core when a scan has fewer splits than the cluster has cores.
 
-    A large input has many splits and is returned as it is, without a shuffle. The keys make the
-    placement repeatable when a task is run again.
+    A large table has many splits and is returned as it is, without a shuffle. The keys make the
+    placement repeatable when a task is run again. Meant for plain scans: counting the partitions
+    of a plan with shuffles would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)

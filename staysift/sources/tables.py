@@ -6,11 +6,19 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+from staysift.session import spread
 
-def read_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """One table of a folder of parquet files; only the named columns, or all."""
+
+def read_table(
+    spark: SparkSession, folder: str, name: str, *columns: str, spread_by: str | None = None
+) -> DataFrame:
+    """One table of a folder of parquet files; only the named columns, or all.
+
+    ``spread_by`` puts a table of few splits on all cores; a large table is not shuffled.
+    """
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df, spread_by) if spread_by else df
 
 
 def read_merged(spark: SparkSession, path: str) -> DataFrame:
