@@ -52,7 +52,7 @@ def register_place_search(spark: SparkSession, view: str, name: str = "place_sea
 
 
 def register_hotel_search(spark: SparkSession, view: str, name: str = "hotel_search") -> None:
-    """``name(city, term)`` over a view of hotels; a rank column carries the order to the caller."""
+    """``name(city, term)`` over a view of hotels. Callers that rely on the order sort again."""
     needle = f"lower({name}.term)"
     texts = [f"contains(lower({c}), {needle})" for c in ("description", "fine_print", "property_highlights")]
     nested = [

@@ -37,11 +37,16 @@ class KeywordIndex:
     key: str
 
 
-def make_postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, term, tf, doc_len`` with one shuffle by (key, term): a frequent term is spread."""
-    words = docs.select(key, tokens(text).alias("_words"))
-    each = words.select(key, F.size("_words").alias("doc_len"), F.explode("_words").alias("term"))
-    return each.groupBy(key, "term", "doc_len").agg(F.count("*").alias("tf"))
+def make_postings(docs: DataFrame, key: str, text: str, *carried: str) -> DataFrame:
+    """``key, term, tf, doc_len`` with one shuffle by (key, term): a frequent term is spread.
+
+    ``carried`` columns depend on the key and come along.
+    """
+    words = docs.select(key, *carried, tokens(text).alias("_words"))
+    each = words.select(
+        key, *carried, F.size("_words").alias("doc_len"), F.explode("_words").alias("term")
+    )
+    return each.groupBy(key, "term", "doc_len", *carried).agg(F.count("*").alias("tf"))
 
 
 def term_counts(postings: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from staysift.operators.joins import join_on_unique
 from staysift.operators.keyword import KeywordIndex, make_postings, open_index, term_counts
 from staysift.operators.ranking import latest_per_key
 
@@ -21,7 +22,9 @@ def _live(spark: SparkSession, path: str, table: str, key: str) -> DataFrame:
     versions = spark.read.parquet(f"{path}/versions")
     newest = latest_per_key(versions, key, [F.desc(BATCH)]).where(~F.col("deleted"))
     rows = spark.read.parquet(f"{path}/{table}")
-    return rows.join(newest.select(key, BATCH), [key, BATCH], "left_semi")
+    newest = newest.select(key, F.col(BATCH).alias("_newest"))
+    found = join_on_unique(rows, newest, key, spread_by="chunk_id")
+    return found.where(F.col(BATCH) == F.col("_newest")).drop("_newest")
 
 
 def live_chunks(spark: SparkSession, path: str, key: str) -> DataFrame:
@@ -55,9 +58,7 @@ def sync_index(
         write(rows.select(key, "deleted"), "versions")
         write(chunker(rows.where(~F.col("deleted")).drop("deleted"), key, text), "chunks")
         written = batch.sparkSession.read.parquet(f"{path}/chunks/{BATCH}={number}")
-        parts = make_postings(written.select("chunk_id", "text"), "chunk_id", "text")
-        owners = written.select("chunk_id", key)
-        write(parts.join(owners, "chunk_id").sortWithinPartitions("term"), "postings")
+        write(make_postings(written, "chunk_id", "text", key).sortWithinPartitions("term"), "postings")
 
     query = (
         rows.writeStream.foreachBatch(take)
