@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from staysift.functions.text import tokens
 from staysift.operators.joins import SALTS, hot_keys
 from staysift.operators.ranking import top_k_per_group
-from staysift.session import broadcast_if_small, cut_lineage
+from staysift.session import BROADCAST_ROWS, broadcast_if_small, cut_and_measure, cut_lineage
 
 # BM25 saturation and length weight.
 K1 = 1.2
@@ -21,6 +21,8 @@ DIGITS = 6
 SLACK = 1e-5
 # Postings read per query to find a first bound on its k-th score.
 PROBE = 2000
+# Up to this many (query, posting) pairs everything is scored in one pass; above, in three steps.
+DIRECT_PAIRS = 50_000_000
 
 
 @dataclass(frozen=True)
@@ -43,9 +45,10 @@ def make_postings(docs: DataFrame, key: str, text: str, *carried: str) -> DataFr
     ``carried`` columns depend on the key and come along.
     """
     words = docs.select(key, *carried, tokens(text).alias("_words"))
+    # The outer form keeps Catalyst from adding a non-empty filter that would split the text again.
     each = words.select(
-        key, *carried, F.size("_words").alias("doc_len"), F.explode("_words").alias("term")
-    )
+        key, *carried, F.size("_words").alias("doc_len"), F.explode_outer("_words").alias("term")
+    ).where(F.col("term").isNotNull())
     return each.groupBy(key, "term", "doc_len", *carried).agg(F.count("*").alias("tf"))
 
 
@@ -102,17 +105,19 @@ def query_terms(index: KeywordIndex, queries: DataFrame, qid: str, text: str) ->
     )
 
 
-def _match(postings: DataFrame, asked: DataFrame) -> DataFrame:
-    """Postings of the asked terms, once per query that asks.
+def _part() -> Column:
+    return F.col("idf") * _weight(F.col("tf"), F.col("doc_len"), F.col("mean_len"))
+
+
+def _match(postings: DataFrame, asked: DataFrame, rows: int, key: str) -> DataFrame:
+    """Postings of the asked terms, once per query that asks; ``rows`` bounds the asked rows.
 
     A small query side is broadcast. Otherwise both sides shuffle by term, with the postings of
     frequent terms split by key and the few query rows of such a term repeated for each split.
     """
-    small = broadcast_if_small(asked)
-    if small is not asked:
-        return postings.join(small, "term")
+    if rows <= BROADCAST_ROWS:
+        return postings.join(F.broadcast(asked), "term")
     hot = F.broadcast(hot_keys(postings, "term"))
-    key = next(c for c in postings.columns if c not in ("term", "tf", "doc_len"))
     split = F.when(F.col("_hot"), F.pmod(F.xxhash64(key), F.lit(SALTS))).otherwise(F.lit(0))
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     left = postings.join(hot, "term", "left").withColumn("_salt", split.cast("int")).drop("_hot")
@@ -120,9 +125,15 @@ def _match(postings: DataFrame, asked: DataFrame) -> DataFrame:
     return left.join(right, ["term", "_salt"]).drop("_salt")
 
 
-def _scores(postings: DataFrame, asked: DataFrame, qid: str, key: str) -> DataFrame:
-    part = F.col("idf") * _weight(F.col("tf"), F.col("doc_len"), F.col("mean_len"))
-    return _match(postings, asked).groupBy(qid, key).agg(F.sum(part).alias("score"))
+def _scores(postings: DataFrame, asked: DataFrame, rows: int, qid: str, key: str) -> DataFrame:
+    matched = _match(postings, asked, rows, key)
+    return matched.groupBy(qid, key).agg(F.sum(_part()).alias("score"))
+
+
+def _kth(scores: DataFrame, qid: str, key: str, k: int) -> DataFrame:
+    """``qid, bound``: the k-th best score, a little lowered, of the queries that have k."""
+    best = top_k_per_group(scores, qid, [F.desc("score"), F.asc(key)], k)
+    return best.where(F.col("rank") == k).select(qid, (F.col("score") - SLACK).alias("bound"))
 
 
 def bm25_topk(
@@ -133,62 +144,67 @@ def bm25_topk(
     text: str,
     allowed: DataFrame | None = None,
     probe: int = PROBE,
+    direct_pairs: int = DIRECT_PAIRS,
 ) -> DataFrame:
     """The ``k`` best documents of every query: ``qid, key, score, rank``. Exact.
 
-    Scoring every document that shares any word with a query would pair each query with most of
-    the collection through its commonest words. Instead: (1) the rarest words of a query give k
-    documents whose partial scores bound its k-th score from below; (2) words whose caps together
-    stay below that bound cannot bring in a document alone, so candidates come from the other
-    words only; (3) candidates that can still reach the bound get their remaining words added.
-
+    The document frequencies tell in advance how many (query, posting) pairs there are. When
+    there are few they are scored in one pass; else in the steps of ``_scores_of_contenders``.
     ``allowed`` (a frame with the key column) restricts the documents before anything is ranked.
     """
     key = index.key
-    asked = cut_lineage(query_terms(index, queries, qid, text))
+    asked, seen = cut_and_measure(query_terms(index, queries, qid, text), pairs=F.sum("df"))
     postings = index.postings
     if allowed is not None:
         postings = postings.join(broadcast_if_small(allowed.select(key).distinct()), key, "left_semi")
+    if (seen["pairs"] or 0) <= direct_pairs:
+        scored = _scores(postings, asked, seen["rows"], qid, key)
+    else:
+        scored = _scores_of_contenders(postings, asked, seen["rows"], k, qid, key, probe)
+    rounded = scored.withColumn("score", F.round("score", DIGITS))
+    return top_k_per_group(rounded, qid, [F.desc("score"), F.asc(key)], k)
+
 
+def _scores_of_contenders(
+    postings: DataFrame, asked: DataFrame, rows: int, k: int, qid: str, key: str, probe: int
+) -> DataFrame:
+    """Full scores of a set of documents that holds the ``k`` best of every query.
+
+    Scoring every document that shares any word with a query would pair each query with most of
+    the collection through its commonest words. Instead: (1) the rarest words of a query give k
+    documents whose partial scores bound its k-th score from below; (2) words whose caps together
+    stay below that bound cannot bring in a document alone, so candidates come from the other
+    words only; (3) candidates that can still reach the k-th score get their remaining words added.
+    """
     rare_first = Window.partitionBy(qid).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
     read_before = F.coalesce(F.sum("df").over(rare_first), F.lit(0))
     seeds = asked.withColumn("_before", read_before).where(F.col("_before") < probe).drop("_before")
-    best = top_k_per_group(_scores(postings, seeds, qid, key), qid, [F.desc("score"), F.asc(key)], k)
-    bound = cut_lineage(
-        best.where(F.col("rank") == k).select(qid, (F.col("score") - SLACK).alias("bound"))
-    )
+    bound, seen = cut_and_measure(_kth(_scores(postings, seeds, rows, qid, key), qid, key, k))
 
     low_first = Window.partitionBy(qid).orderBy("cap", "term")
-    asked = cut_lineage(
-        asked.join(broadcast_if_small(bound), qid, "left")
+    weak = F.sum(F.when(~F.col("essential"), F.col("cap"))).over(Window.partitionBy(qid))
+    asked, asked_seen = cut_and_measure(
+        asked.join(broadcast_if_small(bound, rows=seen["rows"]), qid, "left")
         .withColumn("bound", F.coalesce("bound", F.lit(0.0)))
         .withColumn("_reach", F.sum("cap").over(low_first.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("essential", F.col("_reach") >= F.col("bound"))
-        .withColumn(
-            "rest",
-            F.coalesce(
-                F.sum(F.when(~F.col("essential"), F.col("cap"))).over(Window.partitionBy(qid)), F.lit(0.0)
-            ),
-        )
+        .withColumn("rest", F.coalesce(weak, F.lit(0.0))),
+        others=F.count_if(~F.col("essential")),
     )
-    limits = asked.select(qid, "bound", "rest").distinct()
-    found = (
-        _scores(postings, asked.where("essential"), qid, key)
-        .join(broadcast_if_small(limits), qid)
-        .where(F.col("score") + F.col("rest") >= F.col("bound"))
-        .select(qid, key, "score")
+    found = cut_lineage(_scores(postings, asked.where("essential"), rows, qid, key))
+    if not asked_seen["others"]:
+        return found
+    # The k-th best of these scores is a closer bound; few documents can still reach it.
+    closer = _kth(found, qid, key, k).withColumnRenamed("bound", "closer")
+    limits, limits_seen = cut_and_measure(
+        asked.select(qid, "bound", "rest").distinct().join(closer, qid, "left")
     )
+    within = F.col("score") + F.col("rest") >= F.greatest("bound", "closer")
+    left = found.join(broadcast_if_small(limits, rows=limits_seen["rows"]), qid).where(within)
+    left = left.select(qid, key, "score")
     others = asked.where(~F.col("essential")).select(qid, "term", "idf", "mean_len")
-    if others.isEmpty():
-        scored = found
-    else:
-        found = cut_lineage(found)
-        pending = cut_lineage(found.select(qid, key).join(broadcast_if_small(others), qid))
-        remaining = postings.join(broadcast_if_small(others.select("term").distinct()), "term", "left_semi")
-        part = F.col("idf") * _weight(F.col("tf"), F.col("doc_len"), F.col("mean_len"))
-        added = remaining.join(broadcast_if_small(pending), [key, "term"]).select(
-            qid, key, part.alias("score")
-        )
-        scored = found.unionByName(added).groupBy(qid, key).agg(F.sum("score").alias("score"))
-    rounded = scored.withColumn("score", F.round("score", DIGITS))
-    return top_k_per_group(rounded, qid, [F.desc("score"), F.asc(key)], k)
+    others = broadcast_if_small(others, rows=asked_seen["others"])
+    pending, pending_seen = cut_and_measure(left.select(qid, key).join(others, qid))
+    pending = broadcast_if_small(pending, rows=pending_seen["rows"])
+    added = postings.join(pending, [key, "term"]).select(qid, key, _part().alias("score"))
+    return left.unionByName(added).groupBy(qid, key).agg(F.sum("score").alias("score"))

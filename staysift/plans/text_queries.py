@@ -130,6 +130,12 @@ def _(spark, folder):
     return bm25_topk(_document_index(spark, folder), asked, 5, "item_id", "text")
 
 
+@query("bm25_topk_bounded", f"WITH {BENCHMARK_BM25} SELECT item_id, doc_id, score, rank FROM bm25")
+def _(spark, folder):
+    asked = read_table(spark, folder, "benchmark")
+    return bm25_topk(_document_index(spark, folder), asked, 5, "item_id", "text", direct_pairs=0)
+
+
 @query(
     "bm25_topk_attributes",
     f"""WITH {BENCHMARK_BM25} SELECT item_id, doc_id, score, rank, source, lang, n_chars

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 # A frame is broadcast only when a count has shown it to hold no more rows than this.
 BROADCAST_ROWS = 500_000
@@ -43,14 +43,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast after counting at most ``max_rows + 1`` rows; else leave the join to Spark.
+def cut_and_measure(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``cut_lineage`` that also gives aggregates of the rows, taken while they are written.
 
-    Meant for frames of short keys and numbers, where a row bound is a byte bound.
+    The number of rows is always there, as ``rows``.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    seen = Observation()
+    named = [F.count(F.lit(1)).alias("rows"), *[m.alias(n) for n, m in metrics.items()]]
+    copy = cut_lineage(df.observe(seen, *named))
+    return copy, seen.get
+
+
+def broadcast_if_small(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, rows: int | None = None
+) -> DataFrame:
+    """Hint a broadcast if the number of rows is known to be small; else leave the join to Spark.
+
+    The number is ``rows`` where the caller has measured it, else at most ``max_rows + 1`` rows
+    are counted. Meant for frames of short keys and numbers, where a row bound is a byte bound.
+    """
+    if rows is None:
+        rows = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if rows <= max_rows else df
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
