@@ -11,8 +11,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from staysift.session import broadcast_if_small
-
 # Argument strings that, like null, switch an optional filter off.
 OFF_VALUES = ("", "NULL")
 
@@ -86,9 +84,3 @@ def struct_match(col: Column | str, term: str) -> Column:
     """Contains-match over the JSON form of a nested column: any field value or field name."""
     return F.contains(F.lower(F.to_json(as_column(col))), F.lower(F.lit(term)))
 
-
-def keep_ids(df: DataFrame, key: str, ids: Iterable | DataFrame) -> DataFrame:
-    """Rows whose key is in a list or in the key column of a frame, whatever its size."""
-    if isinstance(ids, DataFrame):
-        return df.join(broadcast_if_small(ids.select(key).distinct()), key, "left_semi")
-    return df.where(F.col(key).isin(list(ids)))

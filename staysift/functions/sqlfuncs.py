@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from staysift.functions.text import FIRST_NUMBER
+from staysift.operators.chunking import text_splitter
 
 
 def _switch(column: str, arg: str) -> str:
@@ -82,6 +83,11 @@ def register_city_listings(spark: SparkSession, view: str, name: str = "city_lis
         RETURN SELECT hotel_id, review_score FROM {view} h WHERE h.city = {name}.city""")
 
 
+def register_text_chunks(spark: SparkSession, name: str = "text_chunks", **sizes) -> None:
+    """``name(text)``: an array of chunks, for ``LATERAL VIEW posexplode``."""
+    spark.udf.register(name, text_splitter(**sizes))
+
+
 REGISTER = {
     "place_search": register_place_search,
     "hotel_search": register_hotel_search,

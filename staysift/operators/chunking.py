@@ -89,6 +89,24 @@ def chunk_spans(
         yield from _whole_runs(run, size, overlap)
 
 
+def text_splitter(
+    size: int = SIZE, overlap: int = OVERLAP, separators: Sequence[str] = SEPARATORS
+):
+    """Pandas UDF from a text to its chunks; blank chunks are left out."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def split(texts: pd.Series) -> pd.Series:
+        def pieces(t: str | None) -> list[str] | None:
+            if not t:
+                return None if t is None else []
+            spans = chunk_spans(t, 0, len(t), size, overlap, separators)
+            return [c for c in (t[a:b].strip() for a, b in spans) if c]
+
+        return texts.map(pieces)
+
+    return split
+
+
 def recursive_chunks(
     df: DataFrame,
     key: str,
@@ -102,13 +120,5 @@ def recursive_chunks(
     Packing is sequential inside one text, so it runs in Arrow batches; only the text column
     crosses to Python and every other column stays in the JVM. Rows are independent: no shuffle.
     """
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def split(texts: pd.Series) -> pd.Series:
-        def pieces(t: str) -> list[str]:
-            spans = chunk_spans(t, 0, len(t), size, overlap, separators)
-            return [c for c in (t[a:b].strip() for a, b in spans) if c]
-
-        return texts.map(pieces)
-
+    split = text_splitter(size, overlap, separators)
     return _as_rows(df.where(F.length(text) > 0), split(F.col(text)), key, text)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from staysift.functions.text import tokens
 from staysift.operators.keyword import KeywordIndex
-from staysift.session import broadcast_if_small, cut_lineage
+from staysift.session import BROADCAST_BYTES, broadcast_if_small, cut_lineage
 
 
 def retrieval_recall(hits: DataFrame, truth: DataFrame, qid: str, key: str) -> DataFrame:
@@ -64,9 +64,12 @@ def containing_documents(
         index.postings.select(key, "term").join(broadcast_if_small(probe), "term").drop("term")
     )
     texts = passages.select(qid, F.col(passage).alias("_passage"))
+    n_bytes = texts.agg(F.sum(F.octet_length("_passage"))).first()[0] or 0
+    if n_bytes <= BROADCAST_BYTES:
+        texts = F.broadcast(texts)
     compared = (
         docs.select(key, text)
         .join(broadcast_if_small(candidates), key)
-        .join(broadcast_if_small(texts, 10_000), qid)
+        .join(texts, qid)
     )
     return compared.where(F.contains(F.col(text), F.col("_passage"))).select(qid, key)

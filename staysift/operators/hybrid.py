@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from staysift.functions.predicates import keep_ids
-from staysift.operators.joins import join_on_unique
-from staysift.operators.keyword import KeywordIndex, bm25_topk
+from staysift.operators.joins import join_on_unique, keep_ids
+from staysift.operators.keyword import KeywordIndex, bm25_topk, build_index, open_index
 from staysift.operators.ranking import top_k_per_group
-from staysift.operators.vectors import vector_topk
+from staysift.operators.vectors import fit_text_vectors, text_vectors, vector_topk
 from staysift.session import BROADCAST_ROWS
 
 # The constant of reciprocal rank fusion, and the results per query.
@@ -21,6 +22,51 @@ DEPTH = 50
 DIGITS = 6
 
 
+@dataclass(frozen=True)
+class HybridIndex:
+    """A keyword index, the vectors of the same chunks, and the model that made them, if any."""
+
+    words: KeywordIndex
+    vectors: DataFrame
+    model: PipelineModel | None
+
+
+def build_hybrid_index(
+    chunks: DataFrame, path: str, key: str, text: str, vec: str | None = None, dims: int = 256
+) -> HybridIndex:
+    """Write the tables a hybrid search needs below ``path``.
+
+    ``vec`` names the column with the vectors of a model. Without it the texts get hashed term
+    vectors, and the model is kept for the queries.
+    """
+    build_index(chunks, f"{path}/words", key, text)
+    if vec is None:
+        model = fit_text_vectors(chunks.where(F.col(text).isNotNull()), text, dims)
+        model.write().overwrite().save(f"{path}/model")
+        vectors = text_vectors(chunks.select(key, text), text, model).select(key, "embedding")
+    else:
+        vectors = chunks.select(key, F.col(vec).alias("embedding"))
+    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    return open_hybrid_index(chunks.sparkSession, path, key, hashed=vec is None)
+
+
+def open_hybrid_index(spark: SparkSession, path: str, key: str, hashed: bool) -> HybridIndex:
+    model = PipelineModel.load(f"{path}/model") if hashed else None
+    return HybridIndex(
+        open_index(spark, f"{path}/words", key), spark.read.parquet(f"{path}/vectors"), model
+    )
+
+
+def search(
+    index: HybridIndex, queries: DataFrame, qid: str, text: str, vec: str = "embedding", **how
+) -> DataFrame:
+    """``hybrid_topk`` over a built index; query vectors are made if the index has the model."""
+    if index.model is not None:
+        queries = text_vectors(queries, text, index.model, vec)
+    vectors = index.vectors.withColumnRenamed("embedding", vec)
+    return hybrid_topk(index.words, vectors, queries, qid, text, vec, **how)
+
+
 def fuse_ranks(rankings: Iterable[DataFrame], k: int, qid: str, key: str) -> DataFrame:
     """Reciprocal rank fusion of rankings ``qid, key, rank``: ``qid, key, score, rank``."""
     parts = [r.select(qid, key, (1 / (RRF + F.col("rank"))).alias("score")) for r in rankings]

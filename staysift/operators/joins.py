@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, functions as F
 
+from staysift.session import broadcast_if_small
+
 # The most frequent keys of a side are looked up by a top-n of this size, so their list is bounded
 # and a key outside it holds less than 1/HOT_KEYS of the rows.
 HOT_KEYS = 1000
@@ -26,21 +30,33 @@ def join_on_unique(
     rows: DataFrame,
     lookup: DataFrame,
     key: str,
-    spread_by: str,
+    spread_by: str | None = None,
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join ``rows`` with a ``lookup`` that has one row per key, spreading the hot keys.
 
-    Rows of a hot key are split over SALTS tasks by a hash of ``spread_by`` and the one lookup row
-    is repeated for each; all other keys take the usual shuffle. Only the key column is read to
-    find the hot keys. ``how`` is inner, left or left_semi.
+    Rows of a hot key are split over SALTS tasks by a hash of ``spread_by`` (all other columns if
+    not given) and the one lookup row is repeated for each; all other keys take the usual shuffle.
+    Only the key column is read to find the hot keys. ``how`` is inner, left or left_semi.
     """
+    columns = [spread_by] if spread_by else [c for c in rows.columns if c != key]
     hot = F.broadcast(hot_keys(rows, key, hot_rows))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(SALTS))).otherwise(F.lit(0))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*columns), F.lit(SALTS))).otherwise(F.lit(0))
     every_salt = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
         F.array(F.lit(0))
     )
     left = rows.join(hot, key, "left").withColumn("_salt", salt.cast("int")).drop("_hot")
     right = lookup.join(hot, key, "left").withColumn("_salt", F.explode(every_salt)).drop("_hot")
     return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def keep_ids(df: DataFrame, key: str, ids: Iterable | DataFrame, **spreading) -> DataFrame:
+    """Rows whose key is in a list or in the key column of a frame, whatever its size."""
+    if not isinstance(ids, DataFrame):
+        return df.where(F.col(key).isin(list(ids)))
+    wanted = ids.select(key).distinct()
+    small = broadcast_if_small(wanted)
+    if small is not wanted:
+        return df.join(small, key, "left_semi")
+    return join_on_unique(df, wanted, key, how="left_semi", **spreading)

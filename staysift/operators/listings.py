@@ -19,7 +19,7 @@ from staysift.functions.predicates import (
 from staysift.functions.text import first_number, join_list
 from staysift.operators.aggregates import keys_with_more_than
 from staysift.operators.joins import join_on_unique
-from staysift.operators.ranking import top_n
+from staysift.operators.ranking import first_rows, top_n
 
 # Defaults of the searches.
 TERM = "wheelchair"
@@ -116,15 +116,19 @@ def keyword_any(
     country: str | None = None,
     n: int = 10,
     key: str = "hotel_id",
+    any_rows: bool = False,
 ) -> DataFrame:
-    """``n`` listings of a location that mention ``term`` in any of the given columns."""
+    """``n`` listings of a location that mention ``term`` in any of the given columns.
+
+    The first by key; with ``any_rows`` the first that are found.
+    """
     hits = where_all(
         hotels,
         optional_match("location", location),
         optional_match("country", country),
         mentions_any_column(term, text_cols, nested_cols),
     )
-    return top_n(hits, n, F.asc(key))
+    return first_rows(hits, n, F.asc(key), any_rows=any_rows)
 
 
 def review_search(
@@ -134,8 +138,12 @@ def review_search(
     min_reviews: int = 1000,
     n: int = 5,
     key: str = "property_id",
+    any_rows: bool = False,
 ) -> DataFrame:
-    """``n`` stays of hosts with more than ``min_reviews`` reviews where a review mentions a term."""
+    """``n`` stays of hosts with more than ``min_reviews`` reviews where a review mentions a term.
+
+    The first by key; with ``any_rows`` the first that are found.
+    """
     spellings = [terms] if isinstance(terms, str) else list(terms)
     hits = where_all(
         stays,
@@ -143,7 +151,7 @@ def review_search(
         optional_match("location", location),
         any_element("reviews", spellings),
     )
-    return top_n(hits, n, F.asc(key))
+    return first_rows(hits, n, F.asc(key), any_rows=any_rows)
 
 
 def multi_review_listings(

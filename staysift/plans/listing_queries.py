@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from staysift.functions.predicates import (
     any_element,
-    keep_ids,
     nested_match,
     optional_match_column,
     struct_match,
@@ -16,7 +15,7 @@ from staysift.functions.sqlfuncs import register_all
 from staysift.functions.text import first_number
 from staysift.operators.aggregates import clean_join, json_records, keys_with_more_than
 from staysift.operators.curate import curated_listings
-from staysift.operators.joins import join_on_unique
+from staysift.operators.joins import join_on_unique, keep_ids
 from staysift.operators.listings import (
     guarded_filter,
     hotel_search,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from staysift.functions.sqlfuncs import register_text_chunks
 from staysift.operators.chunking import fixed_chunks, recursive_chunks
 from staysift.operators.conversations import (
     prepend_system_turn,
@@ -11,9 +12,15 @@ from staysift.operators.conversations import (
     route_by_last_turn,
 )
 from staysift.operators.evaluate import containing_documents, retrieval_recall, retrieval_summary
-from staysift.operators.hybrid import hybrid_topk, with_attributes
+from staysift.operators.hybrid import build_hybrid_index, hybrid_topk, search, with_attributes
 from staysift.operators.keyword import bm25_topk, build_index
-from staysift.operators.vectors import mean_vectors, text_vectors, vector_topk, vector_topk_cells
+from staysift.operators.vectors import (
+    fit_text_vectors,
+    mean_vectors,
+    text_vectors,
+    vector_topk,
+    vector_topk_cells,
+)
 from staysift.plans.fixtures import update_events
 from staysift.plans.registry import query
 from staysift.session import cut_lineage, scratch_path
@@ -88,6 +95,16 @@ def _(spark, folder):
     return recursive_chunks(_documents(spark, folder, "doc_id", "lang", "text"), "doc_id", "text")
 
 
+@query("sql_text_chunks")
+def _(spark, folder):
+    register_text_chunks(spark)
+    _documents(spark, folder, "doc_id", "text").createOrReplaceTempView("chunk_source")
+    return spark.sql(
+        "SELECT doc_id, chunk_no, text FROM (SELECT doc_id, text AS whole FROM chunk_source)"
+        " LATERAL VIEW posexplode(text_chunks(whole)) c AS chunk_no, text"
+    )
+
+
 MEANS_SQL = """means AS (
   SELECT label, list(m ORDER BY pos) AS embedding
   FROM (SELECT label, pos, avg(v::DOUBLE) AS m
@@ -117,7 +134,8 @@ def _(spark, folder):
 
 @query("text_vectors")
 def _(spark, folder):
-    vectors = text_vectors(_documents(spark, folder, "doc_id", "text"), "text")
+    docs = _documents(spark, folder, "doc_id", "text")
+    vectors = text_vectors(docs, "text", fit_text_vectors(docs, "text"))
     return vectors.select("doc_id", F.posexplode("embedding").alias("dim", "value")).where("value <> 0")
 
 
@@ -192,6 +210,13 @@ def _(spark, folder):
     return _hybrid(spark, folder, filter_ids=good)
 
 
+@query("hybrid_topk_hashed")
+def _(spark, folder):
+    docs = _documents(spark, folder, "doc_id", "text")
+    index = build_hybrid_index(docs, scratch_path(spark, "hybrid"), "doc_id", "text")
+    return search(index, read_table(spark, folder, "benchmark"), "item_id", "text")
+
+
 @query(
     "retrieval_recall",
     f"""WITH {BENCHMARK_BM25},

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 # A frame is broadcast only when a count has shown it to hold no more rows than this.
 BROADCAST_ROWS = 500_000
+# The same for frames of texts, by the bytes of the texts.
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

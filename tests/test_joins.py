@@ -3,8 +3,9 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from staysift.operators.joins import hot_keys, join_on_unique
-from staysift.operators.ranking import top_k_per_group
+from staysift.operators import joins
+from staysift.operators.joins import hot_keys, join_on_unique, keep_ids
+from staysift.operators.ranking import first_rows, top_k_per_group, top_n
 from staysift.session import broadcast_if_small, cut_and_measure, cut_lineage, scratch_path, shared_dir, spread
 
 
@@ -48,6 +49,24 @@ def test_hot_key_is_spread(sides, spark):
             spark.conf.unset(name)
 
 
+def test_keep_ids(sides, spark, monkeypatch):
+    rows, lookup = sides
+    ids = lookup.select("k").union(lookup.select("k"))
+    want = sorted(rows.where("k < 40").collect())
+    assert sorted(keep_ids(rows, "k", range(40)).collect()) == want
+    assert sorted(keep_ids(rows, "k", ids).collect()) == want
+    monkeypatch.setattr(joins, "broadcast_if_small", lambda df: df)
+    assert sorted(keep_ids(rows, "k", ids, hot_rows=100).collect()) == want
+
+
+def test_top_n_is_the_top_of_all_tasks(spark):
+    df = spark.range(5000).select(F.xxhash64("id").alias("h"), "id").repartition(13)
+    want = sorted(df.collect(), key=lambda r: (-r.h, r.id))[:20]
+    assert top_n(df, 20, F.desc("h"), F.asc("id")).collect() == want
+    assert first_rows(df, 20, F.desc("h"), F.asc("id")).collect() == want
+    assert first_rows(df, 20, any_rows=True).count() == 20
+
+
 def test_top_k_per_group(spark):
     df = spark.createDataFrame([("a", 1, 1), ("a", 2, 1), ("a", 3, 2), ("b", 4, 0), (None, 5, 0)], "g string, id int, s int")
     out = top_k_per_group(df, "g", [F.desc("s"), F.asc("id")], 2).collect()

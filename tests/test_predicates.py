@@ -84,13 +84,6 @@ def test_null_operand_does_not_hide_a_hit(spark):
     assert kept(df, p.any_of([p.text_match("a", "x"), p.text_match("b", "x")])) == [0]
 
 
-def test_keep_ids(spark):
-    df = texts(spark, "a", "b", "c")
-    assert kept(p.keep_ids(df, "id", [0, 2]), F.lit(True)) == [0, 2]
-    ids = spark.createDataFrame([(2,), (2,), (9,)], "id int")
-    assert kept(p.keep_ids(df, "id", ids), F.lit(True)) == [2]
-
-
 def test_first_number(spark):
     df = texts(spark, "4.5 stars", "rated 3", "n/a", "", None, "7. x")
     assert values(df.orderBy("id").select(first_number("t"))) == [4.5, 3.0, None, None, None, 7.0]

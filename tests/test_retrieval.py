@@ -4,7 +4,6 @@ import math
 import random
 import re
 from collections import Counter
-from functools import partial
 
 import numpy as np
 import pytest
@@ -13,8 +12,14 @@ from pyspark.sql import functions as F
 
 from staysift.operators import hybrid, keyword
 from staysift.operators.evaluate import containing_documents, retrieval_recall, retrieval_summary
-from staysift.operators.joins import hot_keys
-from staysift.operators.vectors import mean_vectors, text_vectors, vector_topk, vector_topk_cells
+from staysift.operators import vectors as vectors_module
+from staysift.operators.vectors import (
+    fit_text_vectors,
+    mean_vectors,
+    text_vectors,
+    vector_topk,
+    vector_topk_cells,
+)
 from staysift.session import scratch_path
 
 RNG = random.Random(7)
@@ -95,7 +100,7 @@ def test_bm25_equals_brute_force(index, asked, k, direct_pairs):
 def test_bm25_without_broadcasts(index, asked, direct_pairs, monkeypatch):
     monkeypatch.setattr(keyword, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(keyword, "broadcast_if_small", lambda df, *a, **k: df)
-    monkeypatch.setattr(keyword, "hot_keys", partial(hot_keys, hot_rows=30))
+    monkeypatch.setattr(keyword, "HOT_ROWS", 30)
     got = keyword.bm25_topk(index, asked, 5, "q", "text", direct_pairs=direct_pairs, probe=10)
     close(hits(got), brute_bm25(DOCS, ASKED, 5))
 
@@ -176,6 +181,7 @@ def test_many_queries_take_the_cells(vector_frames, monkeypatch):
 
 def test_small_batches_and_string_ids(spark, vector_frames):
     v, q, frame, asked = vector_frames
+    assert neighbours(vector_topk(frame, asked, 7, "vid", "qid")) == brute_cosine(v, q, 7)
     named = frame.withColumn("vid", F.format_string("v%05d", "vid"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     try:
@@ -205,7 +211,8 @@ def test_mean_vectors(spark):
 
 def test_text_vectors_equal_brute_force(spark):
     docs = {d: t for d, t in DOCS.items() if d < 40}
-    out = text_vectors(spark.createDataFrame(list(docs.items()), "doc long, text string"), "text", dims=32)
+    frame = spark.createDataFrame([*docs.items(), (-1, None)], "doc long, text string").where("doc >= 0")
+    out = text_vectors(frame, "text", fit_text_vectors(frame, "text", dims=32))
     tf = HashingTF(numFeatures=32)
     counts = {d: Counter(tf.indexOf(w) for w in words(t)) for d, t in docs.items()}
     df = Counter(i for c in counts.values() for i in c)
