@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from staysift.functions.text import FIRST_NUMBER
 from staysift.operators.chunking import text_splitter
+from staysift.operators.ranking import FAN_IN
 
 
 def _switch(column: str, arg: str) -> str:
@@ -38,7 +39,7 @@ def register_place_search(spark: SparkSession, view: str, name: str = "place_sea
         RETURNS TABLE
         COMMENT 'The 50 best rated US places whose accessibility notes mention a term'
         RETURN
-          SELECT * FROM (
+          WITH listed AS (
             SELECT concat_ws(', ', p.accessibility.description) AS accessibility,
                    p.title AS business_name,
                    concat_ws(', ', p.business_category) AS business_category,
@@ -46,8 +47,14 @@ def register_place_search(spark: SparkSession, view: str, name: str = "place_sea
                    p.place_information, p.rating, p.place_url,
                    try_cast(regexp_extract(p.rating, r'{FIRST_NUMBER}', 1) AS FLOAT) AS rating_numeric
             FROM {view} p
-            WHERE p.country = 'US')
-          WHERE {filters}
+            WHERE p.country = 'US'),
+          hits AS (SELECT *, spark_partition_id() % {FAN_IN} AS task FROM listed WHERE {filters}),
+          trimmed AS (
+            SELECT *, row_number() OVER (
+                     PARTITION BY task ORDER BY rating_numeric DESC NULLS LAST, place_url) AS task_rank
+            FROM hits)
+          SELECT * EXCEPT (task, task_rank) FROM trimmed
+          WHERE task_rank <= 50
           ORDER BY rating_numeric DESC NULLS LAST, place_url
           LIMIT 50""")
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from staysift.functions.sqlfuncs import register_text_chunks
 from staysift.operators.chunking import SEPARATORS, chunk_spans, fixed_chunks, recursive_chunks
 
 
@@ -103,3 +104,12 @@ def test_fixed_chunks(spark, size, overlap):
             n = max(1, -(-(len(text) - overlap) // stride))
             want = [text[i * stride : i * stride + size] for i in range(n)]
         assert got.get(key, []) == want, key
+
+
+def test_chunks_in_sql(spark):
+    register_text_chunks(spark, "few_chars", size=20, overlap=5)
+    df = spark.createDataFrame(TEXTS, "id long, text string")
+    df.createOrReplaceTempView("texts")
+    got = spark.sql("SELECT id, n, c FROM texts LATERAL VIEW posexplode(few_chars(text)) t AS n, c").collect()
+    want = recursive_chunks(df, "id", "text", size=20, overlap=5).select("id", "chunk_no", "text").collect()
+    assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in want)

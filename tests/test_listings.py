@@ -129,6 +129,7 @@ def test_review_search(spark):
     assert ids(listings.review_search(df, location="NEW YORK")) == [1]
     assert ids(listings.review_search(df, ["wheelchair", "wheel chair"])) == [1, 3, 4]
     assert ids(listings.review_search(df, min_reviews=0, n=1)) == [1]
+    assert ids(listings.review_search(df, min_reviews=0, n=1, any_rows=True))[0] in (1, 2, 4)
 
 
 def test_multi_review_listings(spark):

@@ -253,6 +253,29 @@ def test_hybrid_filter_keeps_k_results(spark, index, as_frame):
     assert [(r.doc, r.score) for r in sorted(rows, key=lambda r: r["rank"])] == want
 
 
+def test_built_index_with_vectors_equals_the_parts(spark, index, asked):
+    rng = np.random.default_rng(2)
+    data = [(d, t, rng.normal(size=4).tolist()) for d, t in DOCS.items()]
+    chunks = spark.createDataFrame(data, "doc long, text string, v array<double>")
+    asked = asked.withColumn("embedding", F.array(*[F.lit(x) for x in (1.0, 0.5, 0.0, -1.0)]))
+    path = scratch_path(spark, "h")
+    hybrid.build_hybrid_index(chunks, path, "doc", "text", "v")
+    built = hybrid.open_hybrid_index(spark, path, "doc", hashed=False)
+    vectors = chunks.select("doc", F.col("v").alias("embedding"))
+    want = hybrid.hybrid_topk(index, vectors, asked, "q", "text")
+    found = hybrid.search(built, asked, "q", "text")
+    assert sorted(found.collect()) == sorted(want.collect())
+
+
+def test_built_index_makes_vectors(spark):
+    docs = {1: "red house by the sea", 2: "blue house", 3: "sea sea sea", 4: "nothing alike"}
+    frame = spark.createDataFrame(list(docs.items()), "doc long, text string")
+    index = hybrid.build_hybrid_index(frame, scratch_path(spark, "h"), "doc", "text", dims=64)
+    asked = spark.createDataFrame([("a", "red house"), ("b", "sea")], "q string, text string")
+    best = {r.q: r.doc for r in hybrid.search(index, asked, "q", "text", k=1).collect()}
+    assert best == {"a": 1, "b": 3}
+
+
 @pytest.mark.parametrize("max_rows", [100, 0])
 def test_attributes_of_hits(spark, max_rows):
     found = spark.createDataFrame([("q", 1, 0.5, 1), ("p", 1, 0.4, 1), ("p", 2, 0.3, 2)], "q string, doc long, score double, rank int")
