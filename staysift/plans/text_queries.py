@@ -90,12 +90,66 @@ def _(spark, folder):
     return fixed_chunks(_documents(spark, folder, "doc_id", "lang", "text"), "doc_id", "text")
 
 
-@query("recursive_chunks")
+def recursive_chunks_sql(size: int, overlap: int) -> str:
+    """CTEs ending in ``pieces``: the recursive chunks of texts without blank lines.
+
+    Lines of ``size`` characters or more are segments of their own, cut at spaces (or anywhere if
+    there is none); the shorter lines between them form segments cut at line breaks.
+    """
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         unnest(range(len(string_split(text, chr(10))))) AS n
+  FROM documents WHERE length(text) > 0),
+parts AS (SELECT doc_id, n, CASE WHEN n > 0 THEN chr(10) ELSE '' END || line AS part FROM lines),
+marked AS (
+  SELECT *, length(part) >= {size} OR max(n) OVER (PARTITION BY doc_id) = 0 AS long FROM parts),
+grouped AS (
+  SELECT *, sum(long::INT) OVER (PARTITION BY doc_id ORDER BY n) * 2 - long::INT AS seg FROM marked),
+segments AS (
+  SELECT doc_id, seg, any_value(long) AS long, string_agg(part, '' ORDER BY n) AS body,
+         list(length(part) ORDER BY n) AS sizes
+  FROM grouped GROUP BY doc_id, seg HAVING length(string_agg(part, '')) > 0),
+cut AS (
+  SELECT doc_id, seg, body,
+         CASE WHEN NOT long THEN list_prepend(0, list_transform(range(1, len(sizes) + 1),
+                                                  lambda i: list_sum(sizes[1:i])::BIGINT))
+              WHEN contains(body, ' ') THEN list_append(list_prepend(0, list_filter(range(1, length(body)),
+                                                  lambda i: substring(body, i + 1, 1) = ' ')), length(body))
+              ELSE range(0, length(body) + 1) END AS cuts
+  FROM segments),
+clean AS (SELECT doc_id, seg, body, list_sort(list_distinct(cuts)) AS cuts FROM cut),
+RECURSIVE_PLACE
+pieces AS (
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY seg, a) - 1)::INTEGER AS chunk_no, text
+  FROM (SELECT doc_id, seg, a, trim(substring(body, cuts[a]::INT + 1, (cuts[b] - cuts[a])::INT), {white}) AS text
+        FROM packed JOIN clean USING (doc_id, seg))
+  WHERE text <> '')""".replace(
+        "RECURSIVE_PLACE",
+        f"""packed AS (
+  SELECT doc_id, seg, 1 AS a, len(list_filter(cuts, lambda c: c <= cuts[1] + {size})) AS b FROM clean
+  UNION ALL
+  SELECT doc_id, seg, next, len(list_filter(cuts, lambda c: c <= cuts[next] + {size})) FROM (
+    SELECT doc_id, seg, cuts,
+           len(list_filter(cuts, lambda c: c < greatest(cuts[b] - {overlap}, cuts[b + 1] - {size}))) + 1 AS next
+    FROM packed JOIN clean USING (doc_id, seg) WHERE b < len(cuts))),""",
+    )
+
+
+RECURSIVE_SQL = f"WITH RECURSIVE {recursive_chunks_sql(1000, 200)}"
+
+
+@query(
+    "recursive_chunks",
+    f"""{RECURSIVE_SQL} SELECT p.doc_id, d.lang, p.chunk_no, p.text,
+        sha256(p.doc_id || ':' || p.chunk_no) AS chunk_id
+        FROM pieces p JOIN documents d USING (doc_id)""",
+)
 def _(spark, folder):
     return recursive_chunks(_documents(spark, folder, "doc_id", "lang", "text"), "doc_id", "text")
 
 
-@query("sql_text_chunks")
+@query("sql_text_chunks", f"{RECURSIVE_SQL} SELECT * FROM pieces")
 def _(spark, folder):
     register_text_chunks(spark)
     _documents(spark, folder, "doc_id", "text").createOrReplaceTempView("chunk_source")
