@@ -28,7 +28,7 @@ from staysift.operators.listings import (
 from staysift.operators.ranking import latest_per_key, top_n
 from staysift.plans.fixtures import CURATED_SQL, HOTELS_SQL, PLACES_SQL, hotels, places, stays
 from staysift.plans.registry import query
-from staysift.session import scratch_path
+from staysift.session import cut_lineage, scratch_path
 from staysift.sources.tables import read_table, replace_path
 
 PLACE_ORDER = "ORDER BY rating_numeric DESC NULLS LAST, place_url LIMIT 50"
@@ -383,5 +383,7 @@ def _(spark, folder):
     register_all(spark, {"city_listings": hotels(spark, folder)})
     toxic = read_table(spark, folder, "labels").where("toxic = 1")
     docs = read_table(spark, folder, "documents", "doc_id", "lang")
-    keep_ids(docs, "doc_id", toxic).select("lang").distinct().createOrReplaceTempView("wanted_cities")
+    # Written out, so that Spark knows how small the calling side is and broadcasts it.
+    wanted = cut_lineage(keep_ids(docs, "doc_id", toxic).select("lang").distinct())
+    wanted.createOrReplaceTempView("wanted_cities")
     return spark.sql("SELECT w.lang, c.* FROM wanted_cities w, LATERAL city_listings(city => w.lang) c")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -13,6 +14,11 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
 
 
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="staysift-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, as named by ``spark.checkpoint.dir``.
 
@@ -24,9 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="staysift-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _local_dir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

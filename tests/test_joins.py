@@ -86,6 +86,17 @@ def test_shared_folder_is_the_one_the_session_names(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
 
 
+def test_without_the_setting_only_local_mode_has_a_folder(spark):
+    class Session:
+        def __init__(self, master):
+            self.sparkContext = type("Context", (), {"master": master})
+            self.conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})
+
+    assert shared_dir(Session("local[2]")) == shared_dir(Session("local[2]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session("yarn"))
+
+
 def test_broadcast_only_when_small(spark, plan_of):
     df = spark.range(100)
     assert broadcast_if_small(df, 99) is df
