@@ -207,6 +207,13 @@ def _scores_of_contenders(
     others = asked.where(~F.col("essential")).select(qid, "term", "idf", "mean_len")
     others = broadcast_if_small(others, rows=asked_seen["others"])
     pending, pending_seen = cut_and_measure(left.select(qid, key).join(others, qid))
+    # Only the postings of the remaining words, and of the candidates when those are few.
+    words = others.select("term").distinct()
+    open_ = postings.join(broadcast_if_small(words, rows=asked_seen["others"]), "term", "left_semi")
+    wanted = pending.select(key).distinct()
+    small = broadcast_if_small(wanted)
+    if small is not wanted:
+        open_ = open_.join(small, key, "left_semi")
     pending = broadcast_if_small(pending, rows=pending_seen["rows"])
-    added = postings.join(pending, [key, "term"]).select(qid, key, _part().alias("score"))
+    added = open_.join(pending, [key, "term"]).select(qid, key, _part().alias("score"))
     return left.unionByName(added).groupBy(qid, key).agg(F.sum("score").alias("score"))
