@@ -155,6 +155,8 @@ def bm25_topk(
     ``allowed`` (a frame with the key column) restricts the documents before anything is ranked.
     """
     key = index.key
+    if qid == key:
+        raise ValueError(f"rename the query id: the documents have a column {key} too")
     asked, seen = cut_and_measure(query_terms(index, queries, qid, text), pairs=F.sum("df"))
     postings = index.postings
     if allowed is not None:

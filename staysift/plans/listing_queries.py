@@ -31,6 +31,30 @@ from staysift.plans.registry import query
 from staysift.session import cut_lineage, scratch_path
 from staysift.sources.tables import read_table, replace_path
 
+
+
+@query("projected_scan", "SELECT doc_id, lang, source FROM documents WHERE text IS NOT NULL")
+def _(spark, folder):
+    docs = read_table(spark, folder, "documents", "doc_id", "lang", "source", "text")
+    return docs.where(F.col("text").isNotNull()).drop("text")
+
+
+@query("full_scan_equality", "SELECT * FROM documents WHERE lang = 'fr'")
+def _(spark, folder):
+    return read_table(spark, folder, "documents").where(F.col("lang") == "fr")
+
+
+@query(
+    "threshold_and_lower_match",
+    """SELECT p_name AS part_name, p_size * 2 AS double_size, * EXCLUDE (p_name) FROM part
+       WHERE p_size > 25 AND lower(p_name) LIKE '%bolt%'""",
+)
+def _(spark, folder):
+    parts = read_table(spark, folder, "part").where((F.col("p_size") > 25) & text_match("p_name", "BOLT"))
+    renamed = parts.withColumnRenamed("p_name", "part_name")
+    return renamed.select((F.col("p_size") * 2).alias("double_size"), "*")
+
+
 PLACE_ORDER = "ORDER BY rating_numeric DESC NULLS LAST, place_url LIMIT 50"
 PLACE_FACETS = dict(term="heon", country="EN")
 

@@ -25,9 +25,9 @@ from staysift.plans.fixtures import update_events
 from staysift.plans.registry import query
 from staysift.session import cut_lineage, scratch_path
 from staysift.sources.changes import snapshot_diff
-from staysift.sources.jsonrows import json_rows
+from staysift.sources.jsonrows import json_rows, write_json_rows
 from staysift.sources.profile import table_profile
-from staysift.sources.tables import read_merged, read_table, union_schemas
+from staysift.sources.tables import read_merged, read_table, replace_path, union_schemas
 from staysift.streaming.sync import compact_index, live_chunks, sync_index
 from staysift.streaming.updates import flatten_updates
 
@@ -362,6 +362,25 @@ def _(spark, folder):
     return json_rows(read_table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag"))
 
 
+@query(
+    "json_lines_table",
+    "SELECT p_partkey, p_name, p_brand, p_size FROM part",
+)
+def _(spark, folder):
+    parts = read_table(spark, folder, "part", "p_partkey", "p_name", "p_brand", "p_size")
+    path = scratch_path(spark, "json")
+    write_json_rows(parts, path, "p_brand")
+    return spark.read.schema(parts.schema).json(path)
+
+
+@query("replaced_table", "SELECT doc_id, quality, quality + toxic AS total FROM labels")
+def _(spark, folder):
+    labels = read_table(spark, folder, "labels")
+    path = scratch_path(spark, "replaced")
+    replace_path(labels, path)
+    return replace_path(labels.select("doc_id", "quality", (F.col("quality") + F.col("toxic")).alias("total")), path)
+
+
 PROFILED = {
     "c_custkey": "bigint",
     "c_name": "string",

@@ -6,7 +6,15 @@ from pyspark.sql import functions as F
 from staysift.operators import joins
 from staysift.operators.joins import hot_keys, join_on_unique, keep_ids
 from staysift.operators.ranking import first_rows, top_k_per_group, top_n
-from staysift.session import broadcast_if_small, cut_and_measure, cut_lineage, scratch_path, shared_dir, spread
+from staysift.session import (
+    broadcast_if_small,
+    cut_and_measure,
+    cut_lineage,
+    remove_scratch,
+    scratch_path,
+    shared_dir,
+    spread,
+)
 
 
 @pytest.fixture(scope="module")
@@ -86,6 +94,18 @@ def test_shared_folder_is_the_one_the_session_names(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
 
 
+def test_scratch_can_be_removed(spark):
+    other = spark.newSession()
+    copy = cut_lineage(other.range(5).toDF("id"))
+    assert copy.count() == 5
+    kept = f"{shared_dir(spark)}/kept"
+    spark.range(3).write.parquet(kept)
+    remove_scratch(other)
+    assert spark.read.parquet(kept).count() == 3
+    with pytest.raises(Exception):
+        copy.count()
+
+
 def test_without_the_setting_only_local_mode_has_a_folder(spark):
     class Session:
         def __init__(self, master):

@@ -198,6 +198,14 @@ def test_ragged_vectors_are_refused(spark, vector_frames):
         vector_topk(bad, asked, 3, "vid", "qid").collect()
 
 
+def test_equal_id_names_are_refused(index, asked, vector_frames):
+    _, _, frame, _ = vector_frames
+    with pytest.raises(ValueError, match="rename"):
+        vector_topk(frame, frame, 3, "vid", "vid")
+    with pytest.raises(ValueError, match="rename"):
+        keyword.bm25_topk(index, asked.withColumnRenamed("q", "doc"), 3, "doc", "text")
+
+
 def test_no_queries_no_rows(vector_frames):
     _, _, frame, asked = vector_frames
     assert vector_topk(frame, asked.where("false"), 3, "vid", "qid").count() == 0
