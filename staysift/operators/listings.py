@@ -96,10 +96,13 @@ def hotel_hits(
 
 
 def hotel_search(hotels: DataFrame, term: str = TERM, city: str | None = CITY, **how) -> DataFrame:
-    """``hotel_hits`` with the best review score first."""
-    return hotel_hits(hotels, term, city, **how).orderBy(
-        F.desc_nulls_last("review_score"), F.asc("hotel_id")
-    )
+    """``hotel_hits`` with the best review score first.
+
+    A sort samples its input before it runs. The hits are shuffled first, so that the sample is
+    taken from them and the hotels are searched once.
+    """
+    hits = hotel_hits(hotels, term, city, **how).repartition("hotel_id")
+    return hits.orderBy(F.desc_nulls_last("review_score"), F.asc("hotel_id"))
 
 
 def mentions_any_column(term: str, text_cols: Sequence[str], nested_cols: Sequence[str] = ()):

@@ -80,3 +80,12 @@ def test_partial_aggregates_come_before_shuffles(spark, plan_of):
         plan = plan_of(df)
         tree = plan[: plan.index("(1)")]
         assert tree.count("Exchange") <= exchanges and "HashAggregate" in tree
+
+
+def test_hotels_are_searched_once_for_the_sort(spark, searches, plan_of):
+    plan = plan_of(listings.hotel_search(spark.read.parquet(f"{FOLDER}/documents.parquet").selectExpr(
+        "doc_id AS hotel_id", "text AS description", "text AS fine_print", "text AS property_highlights",
+        "array(named_struct('review', text)) AS top_reviews", "array(named_struct('description', text)) AS house_rules",
+        "double(n_chars) AS review_score", "lang AS city")))
+    tree = plan[: plan.index("(1)")]
+    assert tree.count("Exchange") == 2
