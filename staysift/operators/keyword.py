@@ -21,6 +21,8 @@ DIGITS = 6
 SLACK = 1e-5
 # Postings read per query to find a first bound on its k-th score.
 PROBE = 2000
+# Up to this many different words are named in the scan of the index.
+NAMED_WORDS = 1000
 # Up to this many (query, posting) pairs everything is scored in one pass; above, in three steps.
 DIRECT_PAIRS = 50_000_000
 
@@ -61,17 +63,22 @@ def term_counts(postings: DataFrame) -> DataFrame:
     )
 
 
+def write_term_counts(spark: SparkSession, path: str) -> None:
+    counts = term_counts(spark.read.parquet(f"{path}/postings")).sortWithinPartitions("term")
+    counts.write.mode("overwrite").parquet(f"{path}/terms")
+
+
 def build_index(docs: DataFrame, path: str, key: str, text: str) -> KeywordIndex:
     """Write the index tables of ``docs`` (unique ``key``) below ``path`` and open them.
 
-    Each postings file is sorted by term, so a search reads only the pages of its terms.
+    The files are sorted by term, so a search for few words reads only the pages that hold them.
     """
     docs = docs.where(F.col(text).isNotNull())
     make_postings(docs, key, text).sortWithinPartitions("term").write.mode("overwrite").parquet(
         f"{path}/postings"
     )
     spark = docs.sparkSession
-    term_counts(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/terms")
+    write_term_counts(spark, path)
     docs.agg(F.count("*").alias("n_docs")).write.mode("overwrite").parquet(f"{path}/stats")
     return open_index(spark, path, key)
 
@@ -85,14 +92,24 @@ def _weight(tf: Column, doc_len: Column, mean_len: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * doc_len / mean_len))
 
 
-def query_terms(index: KeywordIndex, queries: DataFrame, qid: str, text: str) -> DataFrame:
-    """``qid, term, df, idf, mean_len, cap``: cap bounds what the term can add to any score.
+def _asked_words(queries: DataFrame, qid: str, text: str) -> tuple[DataFrame, Column]:
+    """``qid, term`` of the queries, and a filter on ``term`` that the scan of the index can use.
+
+    A join filter does not reach the files. A short list of words does, and their pages are found
+    by the statistics; for more words than NAMED_WORDS the filter is TRUE.
+    """
+    asked = queries.select(qid, F.explode(F.array_distinct(tokens(text))).alias("term"))
+    some = [r["term"] for r in asked.select("term").distinct().limit(NAMED_WORDS + 1).collect()]
+    return asked, F.col("term").isin(some) if len(some) <= NAMED_WORDS else F.lit(True)
+
+
+def query_terms(index: KeywordIndex, asked: DataFrame, qid: str, named: Column) -> DataFrame:
+    """``qid, term, df, idf, mean_len, cap`` of the words that occur: cap bounds what the term can add to any score.
 
     Weights grow with tf and fall with length, so the largest tf and the smallest length of a
     term bound it whatever the mean length is; both survive merging of index parts.
     """
-    asked = queries.select(qid, F.explode(F.array_distinct(tokens(text))).alias("term"))
-    known = index.terms.join(broadcast_if_small(asked), "term")
+    known = index.terms.where(named).join(broadcast_if_small(asked), "term")
     n_docs = index.stats.select(F.sum("n_docs").cast("double")).scalar()
     n_words = index.terms.select(F.sum("total_tf").cast("double")).scalar()
     return (
@@ -157,8 +174,9 @@ def bm25_topk(
     key = index.key
     if qid == key:
         raise ValueError(f"rename the query id: the documents have a column {key} too")
-    asked, seen = cut_and_measure(query_terms(index, queries, qid, text), pairs=F.sum("df"))
-    postings = index.postings
+    words, named = _asked_words(queries, qid, text)
+    asked, seen = cut_and_measure(query_terms(index, words, qid, named), pairs=F.sum("df"))
+    postings = index.postings.where(named)
     if allowed is not None:
         postings = postings.join(broadcast_if_small(allowed.select(key).distinct()), key, "left_semi")
     if (seen["pairs"] or 0) <= direct_pairs:

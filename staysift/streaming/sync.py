@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from staysift.operators.joins import join_on_unique
-from staysift.operators.keyword import KeywordIndex, make_postings, open_index, term_counts
+from staysift.operators.keyword import KeywordIndex, make_postings, open_index, write_term_counts
 from staysift.operators.ranking import latest_per_key
 
 BATCH = "batch"
@@ -73,9 +73,7 @@ def compact_index(spark: SparkSession, path: str, target: str, key: str) -> Keyw
     """Merge the batches into one keyword index over the live chunks, for searching."""
     postings = _live(spark, path, "postings", key).drop(BATCH, key)
     postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{target}/postings")
-    term_counts(spark.read.parquet(f"{target}/postings")).write.mode("overwrite").parquet(
-        f"{target}/terms"
-    )
+    write_term_counts(spark, target)
     live = live_chunks(spark, path, key).agg(F.count("*").alias("n_docs"))
     live.write.mode("overwrite").parquet(f"{target}/stats")
     return open_index(spark, target, "chunk_id")

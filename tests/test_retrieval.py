@@ -113,6 +113,15 @@ def test_bm25_filters_before_ranking(spark, index, asked, direct_pairs):
     close(hits(got), brute_bm25(DOCS, ASKED, 4, set(ids)))
 
 
+@pytest.mark.parametrize("named", [0, 10**6])
+def test_words_named_in_the_scan(index, asked, monkeypatch, plan_of, named):
+    monkeypatch.setattr(keyword, "NAMED_WORDS", named)
+    close(hits(keyword.bm25_topk(index, asked, 5, "q", "text")), brute_bm25(DOCS, ASKED, 5))
+    few = keyword.bm25_topk(index, asked.where("q = 'q5'"), 5, "q", "text")
+    assert ("EqualTo(term,w0)" in plan_of(few)) == bool(named)
+    close(hits(few), brute_bm25(DOCS, {"q5": ASKED["q5"]}, 5))
+
+
 def test_index_tables(index):
     terms = {r.term: r for r in index.terms.collect()}
     tf = {d: Counter(words(t)) for d, t in DOCS.items()}
