@@ -51,7 +51,7 @@ scored AS (
   FROM asked JOIN tf USING (term) JOIN idf USING (term), size
   WHERE {allowed} GROUP BY ALL),
 bm25 AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {qid} ORDER BY score DESC, {key}) AS rank FROM scored)
+  SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {qid} ORDER BY score DESC, {key}) AS INTEGER) AS rank FROM scored)
   WHERE rank <= {k})"""
 
 
@@ -62,7 +62,7 @@ def cosine_sql(vectors: str, vid: str, queries: str, qid: str, k: int) -> str:
          round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
   FROM {queries} q, {vectors} v),
 nearest AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {qid} ORDER BY score DESC, {vid}) AS rank
+  SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {qid} ORDER BY score DESC, {vid}) AS INTEGER) AS rank
                  FROM compared) WHERE rank <= {k})"""
 
 
@@ -235,7 +235,7 @@ fused AS (
   FROM (SELECT item_id, doc_id, rank FROM bm25 UNION ALL SELECT item_id, doc_id, rank FROM nearest)
   GROUP BY ALL)
 SELECT * FROM (
-  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM fused)
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM fused)
 WHERE rank <= 5"""
 
 
