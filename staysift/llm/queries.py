@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from staysift.llm import simhash
+from staysift.llm import packing, simhash, suffix, token_store
 from staysift.sources.tables import read_table
 
 QUERIES = {}
 CHECKS = {}
 
 
+def tokenizer_path() -> str:
+    """The tokenizer file that the queries use; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def query(build):
     QUERIES[build.__name__] = build
     return build
@@ -21,3 +28,29 @@ def op4_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     found = simhash.near_duplicates(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op6_suffix_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return suffix.remove_repeats(docs).select(
+        "doc_id", "_repeats.n_bytes", "_repeats.n_removed", "_repeats.n_spans",
+        F.sha2("_repeats.kept", 256).alias("kept_sha256"),
+    )
+
+
+@query
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    pieces = packing.pack(docs, tokenizer_path())
+    return pieces.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
+    )
+
+
+@query
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    store = token_store.write_store(docs, tokenizer_path())
+    read = token_store.fetch(store, docs).union(token_store.fetch_unkeyed(store))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
