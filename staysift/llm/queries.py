@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from staysift.llm import packing, simhash, suffix, token_store
+from staysift.llm import checks, packing, projection, simhash, suffix, token_store, topk
 from staysift.sources.tables import read_table
 
 QUERIES = {}
@@ -54,3 +54,18 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = token_store.write_store(docs, tokenizer_path())
     read = token_store.fetch(store, docs).union(token_store.fetch_unkeyed(store))
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return topk.exact_topk(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+@query
+def op7_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    return projection.near_vectors(vectors)
+
+
+CHECKS |= {"op5_exact_topk": checks.OP5.strip(), "op7_projection_passes": checks.OP7.strip()}
