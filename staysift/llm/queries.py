@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from staysift.llm import checks, packing, projection, simhash, suffix, token_store, topk
+from staysift.llm import checks, mixing, packing, projection, simhash, suffix, token_store, topk
 from staysift.sources.tables import read_table
 
 QUERIES = {}
@@ -69,3 +69,9 @@ def op7_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHECKS |= {"op5_exact_topk": checks.OP5.strip(), "op7_projection_passes": checks.OP7.strip()}
+
+
+@query
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return mixing.mix(docs)
