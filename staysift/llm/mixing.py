@@ -78,8 +78,8 @@ def source_targets(
     length = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("source_size") / LEAST)))
     rows = rows.withColumn("block", length.cast("long"))
     rows = rows.withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
-    quota = F.least(F.floor(F.col("target") / F.col("block") + 0.5), MOST * F.col("blocks"))
-    rows = rows.withColumn("quota", quota.cast("long"))
+    near = F.least(F.floor(F.col("target") / F.col("block") + 0.5), MOST * F.col("blocks"))
+    rows = rows.withColumn("quota", F.when(F.col("stops"), MOST * F.col("blocks")).otherwise(near).cast("long"))
     # The first prime of the list, read from the source's rank on, that does not divide the blocks.
     primes = F.array(*map(F.lit, PRIMES))
     turned = F.concat(
