@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from staysift.llm import checks, mixing, packing, projection, simhash, suffix, token_store, topk
+from staysift.llm import checks, mixing, packing, projection, simhash, suffix, token_store, topk, toxicity
 from staysift.sources.tables import read_table
 
 QUERIES = {}
@@ -75,3 +75,15 @@ CHECKS |= {"op5_exact_topk": checks.OP5.strip(), "op7_projection_passes": checks
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return mixing.mix(docs)
+
+
+@query
+def op3_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    machine = toxicity.train(docs, read_table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.score(docs, machine).select(
+        "doc_id",
+        toxicity.held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"),
+    )
