@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from staysift.llm import checks, mixing, packing, projection, simhash, suffix, token_store, topk, toxicity
+from staysift.llm import (
+    checks,
+    html_layout,
+    licenses,
+    mixing,
+    packing,
+    projection,
+    simhash,
+    suffix,
+    token_store,
+    topk,
+    toxicity,
+)
 from staysift.sources.tables import read_table
 
 QUERIES = {}
@@ -87,3 +99,14 @@ def op3_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"),
     )
+
+
+@query
+def op2_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return html_layout.extract(pages).select("page_id", "url", "text")
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents", "doc_id", "text"))
