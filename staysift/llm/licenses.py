@@ -163,7 +163,8 @@ def align(template: list[str], text: list[str], shift: int, band: int) -> list[t
 def scan_text(text: str, index: Index, coverage: float = COVERAGE, band: int = BAND):
     """Matches in one text: template name, matched words, template words, first and last character.
 
-    Hits of one template whose diagonals and places lie close together are one candidate. A match
+    Hits of one template whose diagonals and places lie close together are one candidate; the band
+    around the diagonal is ``band`` words, or a quarter of a shorter template. A match
     keeps ``coverage`` of the template's words or more, within a stretch of text not much longer. Of
     matches that lie inside one with more matched words none is reported again.
     """
@@ -178,15 +179,16 @@ def scan_text(text: str, index: Index, coverage: float = COVERAGE, band: int = B
     while i < len(hits):
         t, first, place = hits[i]
         template, j = index.words[t], i + 1
+        near = max(1, min(band, len(template) // 4))  # so that two notices in a row stay two
         diagonals = [first - place]
         while (
-            j < len(hits) and hits[j][0] == t and hits[j][1] - first <= len(template) + band
-            and abs(hits[j][1] - hits[j][2] - diagonals[0]) <= band
+            j < len(hits) and hits[j][0] == t and hits[j][1] - first <= len(template) + near
+            and abs(hits[j][1] - hits[j][2] - diagonals[0]) <= near
         ):
             diagonals.append(hits[j][1] - hits[j][2])
             j += 1
         shift = int(np.median(diagonals))
-        pairs = align(template, words, shift, band)
+        pairs = align(template, words, shift, near)
         if pairs and len(pairs) >= coverage * len(template):
             a, b = pairs[0][1], pairs[-1][1]
             if (b - a + 1) * coverage <= len(template) + 1:

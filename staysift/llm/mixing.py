@@ -85,9 +85,9 @@ def source_targets(
     turned = F.concat(
         F.slice(primes, (F.col("sid") % len(PRIMES) + 1).cast("int"), F.lit(len(PRIMES))), primes
     )
-    step = F.element_at(F.filter(turned, lambda p: F.col("blocks") % p != 0), 1)
+    step = F.try_element_at(F.filter(turned, lambda p: F.col("blocks") % p != 0), F.lit(1))
     return rows.select(
-        "sid", "source", "source_size", "target", "block", "blocks", "quota", step.cast("long").alias("step")
+        "sid", "source", "source_size", "target", "block", "blocks", "quota", F.coalesce(step, F.lit(1)).cast("long").alias("step")
     )
 
 

@@ -167,7 +167,7 @@ def test_slots_are_drawn_once_each(spark):
 
 
 def test_mix_uses_no_python(spark, plan_of):
-    df = spark.createDataFrame(mix_rows(30), MIX)
+    df = spark.read.parquet(f"{FOLDER}/documents.parquet")
     for plan in (plan_of(mixing.mix(df)), plan_of(mixing.mixed_documents(df))):
         assert not re.search("Python|Pandas|Arrow|Cartesian|BroadcastNestedLoop", plan)
 
@@ -250,7 +250,7 @@ PAGES = [
     ("<div style='display:none'>n</div><span hidden>n</span><template>n</template>y", "y"),
     ("<style>.q, #i {display: none} p{margin:0}</style><p class='x q'>n<p id=i>n<p>a<p>b", "a\nb"),
     ("<div style='visibility:hidden'>n<b style='visibility:visible'>y</b></div>", "y"),
-    ("<head><title>n</title></head><body>y<script>n<b></script><!-- n --><noscript>n</noscript>", "y\nn"),
+    ("<head><title>n</title></head><body>y<script>n<b></script><!-- n --><noscript>m</noscript>", "ym"),
     ("<details><summary>s</summary>n</details><details open><summary>t</summary>u</details>", "s\nt\nu"),
     ("x &lt;b&gt; &amp;amp; &copy;&nbsp;y", "x <b> &amp; © y"),
     ("<h1>T</h1>end", "T\n\nend"),
@@ -266,8 +266,7 @@ PAGES = [
 
 @pytest.mark.parametrize("page, text", PAGES)
 def test_pages(page, text):
-    want = "y" if page and "<noscript>" in page else text
-    assert html_layout.visible_text(page) == want
+    assert html_layout.visible_text(page) == text
 
 
 def plain_page(rng, depth=0):
@@ -324,16 +323,17 @@ def test_extraction_of_odd_rows(spark):
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    folder = "/root/testdata/sf0.01"  # fewer labels than here teach too little
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
     columns, before = docs.columns, docs
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, before, FOLDER)
+        out = stage(spark, before, folder)
         rows, old = out.collect(), before.collect()
         if name != "best_fit_packing":
             assert out.columns == columns
         if name == "toxicity":
             gone = {r.doc_id for r in old} - {r.doc_id for r in rows}
-            marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
+            marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
             assert sum(marks.get(i) == 0 for i in gone) <= 1
         elif name == "simhash_near_dedup":
             from test_texts import plain_components, plain_fingerprint
