@@ -24,9 +24,9 @@ from staysift.session import broadcast_if_small, cut_and_measure
 THRESHOLD = 200
 GRAM = 32
 # A gram with more occurrences than this has its strings counted one by one, in all tasks.
-HOT = 50_000
+HOT = 20_000
 # Bytes handled at once; places in them fit into the low 24 bits of a hash.
-_PART = 1 << 22
+_PART = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 # Odd multipliers of the gram hash.
 _ODD = np.array(
@@ -124,6 +124,17 @@ def radix_order(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.nda
     return order, depth
 
 
+def bytes_from(data: np.ndarray, start: np.ndarray, step: int, size: np.ndarray, width: int) -> np.ndarray:
+    """A row of ``size`` bytes for each start, read up (step 1) or down (-1), filled with zeros."""
+    out = np.zeros((len(start), width), np.uint8)
+    columns = np.arange(width)
+    for i in range(0, len(start), 2048):
+        inside = columns < size[i : i + 2048, None]
+        places = np.where(inside, start[i : i + 2048, None] + step * columns, 0)
+        out[i : i + 2048] = np.where(inside, data[places], 0)
+    return out
+
+
 def repeated_depths(
     group: np.ndarray, data: np.ndarray, at: np.ndarray, left: np.ndarray, count: np.ndarray,
     threshold: int = THRESHOLD,
@@ -137,12 +148,8 @@ def repeated_depths(
     most_left = threshold - GRAM
     reach = -(-most_left // 8) * 8, -(-threshold // 8) * 8
     low = left - count + 1  # least depth of the anchor's strings
-    columns = np.arange(reach[0])
-    inside = columns < left[:, None]
-    lefts = np.where(inside, data[np.where(inside, (at + left)[:, None] - 1 - columns, 0)], 0).astype(np.uint8)
-    columns = np.arange(reach[1])
-    inside = columns < (threshold - low)[:, None]
-    rights = np.where(inside, data[np.where(inside, (at + left)[:, None] + columns, 0)], 0).astype(np.uint8)
+    lefts = bytes_from(data, at + left - 1, -1, left, reach[0])
+    rights = bytes_from(data, at + left, 1, threshold - low, reach[1])
     by_left, agree_left = radix_order(lefts, group)
     by_right, agree_right = radix_order(rights, group)
     least, greatest = np.full(n, -1), np.full(n, -1)
