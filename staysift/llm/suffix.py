@@ -4,9 +4,10 @@ Every string of ``threshold`` bytes is a suffix cut at that depth; equal groups
 exactly the repeated strings. The most significant digit of a string is its rarest-looking gram:
 the GRAM bytes with the least hash in it, leftmost on ties. Equal strings agree on that gram and on
 its place in them, so the first pass deals suffixes by the gram, and it needs one record for all the
-strings that share a gram occurrence (its anchor), with the bytes around it. The further passes sort
-the bytes right of the gram and the bytes left of it, eight at a time, and only among records that
-are still equal. Two strings are equal if the left parts agree to the depth of their start and the
+strings that share a gram occurrence (its anchor). The second takes all bytes of an anchor's strings
+as one digit: anchors equal in it have every string repeated. What is left is fetched with its bytes,
+and the further passes sort the bytes right of the gram and the bytes left of it, eight at a time, and
+only among records that are still equal. Two strings are equal if the left parts agree to the depth of their start and the
 right parts to the depth of their end, which the depths of neighbours in the two orders tell.
 """
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from staysift.llm.work import group_runs, starts_of, text_bytes
-from staysift.session import broadcast_if_small, cut_and_measure
+from staysift.session import broadcast_if_small, cut_and_measure, cut_lineage
 
 THRESHOLD = 200
 GRAM = 32
@@ -169,38 +170,96 @@ def repeated_depths(
     return least, greatest
 
 
-def _emit(df: DataFrame, threshold: int, with_bytes: bool) -> DataFrame:
-    """One row per anchor: gram, key, hash, place, left and the bytes of its strings; or counts."""
+IDS = ["_id1", "_id2"]
+
+
+def _anchors(docs: DataFrame, threshold: int, whole: bool) -> DataFrame:
+    """First pass: a row per anchor (``whole``), or the number of anchors by gram.
+
+    An anchor's ``digest`` is that of the bytes of all its strings.
+    """
 
     def rows(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column(2))
+            data, offsets = text_bytes(batch.column(0))
             gram, doc, place, left, count = anchors(data, offsets, threshold)
             if not len(gram):
                 continue
-            if not with_bytes:
+            if not whole:
                 value, times = np.unique(gram, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(times)], names=["gram", "n"])
                 continue
-            raw = data.tobytes()
-            starts = offsets[doc] + place
-            for i in range(0, len(gram), 20_000):
-                s = slice(i, i + 20_000)
-                ends = (starts[s] + count[s] + threshold - 1).tolist()
-                picked = pa.array([raw[a:b] for a, b in zip(starts[s].tolist(), ends)], pa.binary())
+            raw, starts = data.tobytes(), offsets[doc] + place
+            stops = starts + count + threshold - 1
+            digest = hashlib.blake2b
+            digests = b"".join(
+                [digest(raw[i:j], digest_size=8).digest() for i, j in zip(starts.tolist(), stops.tolist())]
+            )
+            at = pa.array(doc)
+            columns = [pa.array(gram), pa.array(np.frombuffer(digests, "<i8")), batch.column(1).take(at),
+                       batch.column(2).take(at), *(pa.array(x.astype(np.int32)) for x in (place, left, count))]
+            yield pa.RecordBatch.from_arrays(
+                columns, names=["gram", "digest", *IDS, "place", "left", "count"]
+            )
+
+    picked = docs.select("_text", *IDS)
+    slim = "gram long, digest long, _id1 long, _id2 long, place int, left int, count int"
+    return picked.mapInArrow(rows, slim if whole else "gram long, n long")
+
+
+def _classes(found: DataFrame, threshold: int) -> DataFrame:
+    """Second pass: of each gram, anchors that are alike in all their bytes.
+
+    Grams that occur once are done. Anchors of one class have all their strings repeated: they give
+    a span. Where a gram has several classes, an anchor of each goes on to the third pass.
+    """
+    names = ["gram", *IDS, "place", "left", "count", "done"]
+
+    def rows(batches):
+        for table, _ in group_runs(batches, ["gram"]):
+            cuts = starts_of(table, ["gram", "digest"])
+            size = np.diff(cuts)
+            gram = table["gram"].to_numpy()[cuts[:-1]]
+            alone = np.append(True, gram[1:] != gram[:-1])
+            alone &= np.append(alone[1:], True)  # the only class of its gram
+            for at, done in ((np.flatnonzero(np.repeat(size > 1, size)), True), (cuts[:-1][~alone], False)):
+                if len(at):
+                    part = table.take(pa.array(at)).drop_columns(["digest"])
+                    part = part.append_column("done", pa.array(np.full(len(at), done)))
+                    yield from part.select(names).to_batches()
+
+    placed = found.repartition("gram").sortWithinPartitions("gram", "digest")
+    return placed.mapInArrow(
+        rows, "gram long, _id1 long, _id2 long, place int, left int, count int, done boolean"
+    )
+
+
+def _with_bytes(docs: DataFrame, found: DataFrame, threshold: int) -> DataFrame:
+    """The bytes of the strings of ``found`` anchors, read from their documents."""
+    at = F.struct("gram", "place", "left", "count")
+    wanted = found.groupBy(*IDS).agg(F.collect_list(at).alias("_wanted"))  # of one document
+    joined = docs.join(wanted, IDS)
+    text, ids = docs.columns.index("_text"), [docs.columns.index(c) for c in IDS]
+
+    def rows(batches):
+        for batch in batches:
+            for i, (t, wanted) in enumerate(zip(batch.column(text).to_pylist(), batch.column("_wanted").to_pylist())):
+                raw, n = t.encode(), len(wanted)
+                columns = [pa.array([w[c] for w in wanted], pa.int64()) for c in ("gram", "place", "left")]
+                picked = [raw[w["place"] : w["place"] + w["count"] + threshold - 1] for w in wanted]
+                own = [pa.array(np.full(n, batch.column(c)[i].as_py())) for c in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram[s]), batch.column(0).take(pa.array(doc[s])),
-                     batch.column(1).take(pa.array(doc[s])), pa.array(place[s]), pa.array(left[s]), picked],
-                    names=["gram", "_key", "_hash", "place", "left", "bytes"],
-                )
+                    [columns[0], *own, *columns[1:], pa.array(picked, pa.binary())],
+                    names=["gram", *IDS, "place", "left", "bytes"],
+                )
 
-    kind = dict(df.dtypes)["_key"]
-    schema = f"gram long, _key {kind}, _hash long, place long, left long, bytes binary"
-    return df.mapInArrow(rows, schema if with_bytes else "gram long, n long")
+    # All columns of the documents, so that this join and the last one read the same exchange.
+    every = joined.select(*docs.columns, "_wanted")
+    return every.mapInArrow(rows, "gram long, _id1 long, _id2 long, place long, left long, bytes binary")
 
 
-def _sorted_spans(found: DataFrame, kind: str, threshold: int) -> DataFrame:
-    """Spans ``_key``, ``_hash``, ``start``, ``stop`` from anchors, by sorting each gram's suffixes."""
+def _sorted_spans(found: DataFrame, threshold: int) -> DataFrame:
+    """Third pass: spans ``_id1``, ``_id2``, ``start``, ``stop`` by sorting each gram's suffixes."""
 
     def rows(batches):
         for table, _ in group_runs(batches, ["gram"]):
@@ -211,8 +270,7 @@ def _sorted_spans(found: DataFrame, kind: str, threshold: int) -> DataFrame:
                 continue
             table = table.take(pa.array(keep))
             group = np.repeat(np.arange((size > 1).sum()), size[size > 1])
-            packed = table["bytes"].combine_chunks()
-            packed = packed.cast(pa.large_binary())
+            packed = table["bytes"].combine_chunks().cast(pa.large_binary())
             packed = packed.chunk(0) if isinstance(packed, pa.ChunkedArray) else packed
             _, offsets, data = packed.buffers()
             at = np.frombuffer(offsets, np.int64)[packed.offset : packed.offset + len(packed) + 1]
@@ -227,16 +285,16 @@ def _sorted_spans(found: DataFrame, kind: str, threshold: int) -> DataFrame:
             anchor = table["place"].to_numpy()[hit] + left[hit]
             picked = table.take(pa.array(hit))
             done = pa.table(
-                [picked["_key"], picked["_hash"], anchor - greatest[hit], anchor - least[hit] + threshold],
-                names=["_key", "_hash", "start", "stop"],
+                [*(picked[c] for c in IDS), anchor - greatest[hit], anchor - least[hit] + threshold],
+                names=[*IDS, "start", "stop"],
             )
             yield from done.to_batches()
 
     placed = found.repartition("gram").sortWithinPartitions("gram")
-    return placed.mapInArrow(rows, f"_key {kind}, _hash long, start long, stop long")
+    return placed.mapInArrow(rows, "_id1 long, _id2 long, start long, stop long")
 
 
-def _counted_spans(found: DataFrame, kind: str, threshold: int) -> DataFrame:
+def _counted_spans(found: DataFrame, threshold: int) -> DataFrame:
     """The same for grams with very many occurrences: every string is a row, counted by digest.
 
     Counts combine inside the tasks, and the join back is one that adaptive execution can split,
@@ -255,42 +313,55 @@ def _counted_spans(found: DataFrame, kind: str, threshold: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(pair[:, 0]), pa.array(pair[:, 1]), batch.column(1).take(spot),
                      batch.column(2).take(spot), pa.array(np.arange(n) + place)],
-                    names=["h1", "h2", "_key", "_hash", "start"],
+                    names=["h1", "h2", *IDS, "start"],
                 )
 
-    strings = found.mapInArrow(rows, f"h1 long, h2 long, _key {kind}, _hash long, start long")
+    strings = found.mapInArrow(rows, "h1 long, h2 long, _id1 long, _id2 long, start long")
     repeated = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     hits = strings.join(repeated.drop("n"), ["h1", "h2"])
     # Strings that start less than half a threshold apart overlap, so their union is one span.
     near = F.floor(F.col("start") / (threshold // 2))
     return (
-        hits.groupBy("_key", "_hash", near.alias("near"))
+        hits.groupBy(*IDS, near.alias("near"))
         .agg(F.min("start").alias("start"), (F.max("start") + threshold).alias("stop"))
         .drop("near")
     )
 
 
-def repeated_spans(
-    df: DataFrame, key: str, text: str, threshold: int = THRESHOLD, hot: int = HOT
-) -> DataFrame:
+def _identified(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``df`` with ``_text`` and two hashes of key and text, by which spans come back to their rows.
+
+    Rows equal in both share them; their strings are the same, and so are their spans.
+    """
+    ids = F.xxhash64(key, text), F.xxhash64(text, F.lit(1), key)
+    rows = df.drop("_text", *IDS) if text != "_text" else df
+    return rows.withColumns(dict(zip(["_text", *IDS], [F.col(text), *ids])))
+
+
+def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, hot: int = HOT) -> DataFrame:
     """Spans of bytes that a string of ``threshold`` bytes covers which also starts elsewhere.
 
-    Columns ``_key``, ``_hash`` (xxhash64 of the text), ``start``, ``stop``; spans may overlap.
+    ``docs`` has ``_text`` and two ids; columns ``_id1``, ``_id2``, ``start``, ``stop``; spans may overlap.
     """
     if threshold < 2 * GRAM:
         raise ValueError(f"threshold must be at least {2 * GRAM} bytes")
-    rows = df.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
-    kind = dict(rows.dtypes)["_key"]
-    counts = _emit(rows, threshold, False).groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = _anchors(docs, threshold, False).groupBy("gram").agg(F.sum("n").alias("n"))
     frequent, seen = cut_and_measure(counts.where(F.col("n") > hot).select("gram"))
-    found = _emit(rows, threshold, True)
-    if not seen["rows"]:
-        return _sorted_spans(found, kind, threshold)
-    frequent = broadcast_if_small(frequent, rows=seen["rows"])
-    usual = _sorted_spans(found.join(frequent, "gram", "left_anti"), kind, threshold)
-    return usual.unionByName(
-        _counted_spans(found.join(frequent, "gram", "left_semi"), kind, threshold)
-    )
+    every = _anchors(docs, threshold, True)
+    usual = every
+    if seen["rows"]:
+        frequent = broadcast_if_small(frequent, rows=seen["rows"])
+        usual = every.join(frequent, "gram", "left_anti")
+    classes = cut_lineage(_classes(usual, threshold))
+    stop = F.col("place").cast("long") + F.col("count") + threshold - 1
+    spans = classes.where("done").select(*IDS, F.col("place").cast("long").alias("start"), stop.alias("stop"))
+    left = _with_bytes(docs, classes.where("NOT done").drop("done"), threshold)
+    spans = spans.union(_sorted_spans(left, threshold))
+    if seen["rows"]:
+        # Equal anchors of equal rows are wanted once; the join gives them back once for each row.
+        many = every.join(frequent, "gram", "left_semi").drop("digest").distinct()
+        spans = spans.union(_counted_spans(_with_bytes(docs, many, threshold), threshold))
+    return spans
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -314,21 +385,21 @@ def remove_repeats(
     A byte goes if a string of ``threshold`` bytes that covers it also starts at any other place of
     any row; every copy goes, the first too. Strings never cross rows. A null text counts as
     empty; a text shorter than the threshold stays whole; repeated rows are different places, so
-    rows of the threshold's length or more that occur twice are emptied. Null and repeated keys are fine: spans
-    belong to the pair of key and text. ``as_text`` gives ``kept`` as a string, without the bytes of
-    characters of which only a part is kept. A column named ``_repeats`` is replaced; an empty
+    rows of the threshold's length or more that occur twice are emptied. Null and repeated keys are
+    fine: spans belong to the pair of key and text. ``as_text`` gives ``kept`` as a string, without the bytes of
+    characters of which only a part is kept. A column named ``_repeats`` is replaced, columns
+    named ``_text``, ``_id1`` or ``_id2`` (unless one is the text) are not kept; an empty
     table gives no rows.
     """
+    base = _identified(df.drop("_repeats"), key, text)
     spans = (
-        repeated_spans(df, key, text, threshold, hot)
+        repeated_spans(base, threshold, hot)
         .distinct()
-        .groupBy(F.col("_key").alias("_span_key"), F.col("_hash").alias("_span_hash"))
+        .groupBy(*IDS)
         .agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
     )
-    base = df.drop("_repeats").withColumn("_hash", F.xxhash64(text))
-    joined = base.join(
-        spans, F.col(key).eqNullSafe(F.col("_span_key")) & (F.col("_hash") == F.col("_span_hash")), "left"
-    ).drop("_hash", "_span_key", "_span_hash")
+    columns = [c for c in base.columns if c not in ("_text", *IDS)]
+    joined = base.join(spans, IDS, "left").select(*columns, "_spans")
     kept = pa.string() if as_text else pa.binary()
     fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", kept)]
 
@@ -352,5 +423,5 @@ def remove_repeats(
             yield rest.append_column("_repeats", packed)
 
     shape = "struct<n_bytes: long, n_removed: long, n_spans: long, kept: {}>"
-    schema = ", ".join(f"`{n}` {k}" for n, k in base.drop("_hash").dtypes)
+    schema = ", ".join(f"`{n}` {k}" for n, k in df.select(*columns).dtypes)
     return joined.mapInArrow(rows, f"{schema}, _repeats {shape.format('string' if as_text else 'binary')}")
