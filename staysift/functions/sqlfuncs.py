@@ -22,11 +22,11 @@ def register_place_search(spark: SparkSession, view: str, name: str = "place_sea
     """``name(address, zipcode, city, business_category, term)`` over a view of places."""
     filters = " AND ".join(
         [
-            f"contains(lower(accessibility), lower({name}.term))",
-            _switch("address", f"{name}.address"),
-            _switch("address", f"{name}.zipcode"),
             _switch("city", f"{name}.city"),
             _switch("business_category", f"{name}.business_category"),
+            _switch("address", f"{name}.address"),
+            _switch("address", f"{name}.zipcode"),
+            f"contains(lower(accessibility), lower({name}.term))",
         ]
     )
     spark.sql(rf"""
@@ -77,7 +77,7 @@ def register_hotel_search(spark: SparkSession, view: str, name: str = "hotel_sea
           SELECT description, fine_print, property_highlights, top_reviews, house_rules,
                  review_score, hotel_id
           FROM {view}
-          WHERE ({' OR '.join(texts + nested)}) AND {_switch('city', f'{name}.city')}
+          WHERE {_switch('city', f'{name}.city')} AND ({' OR '.join(texts + nested)})
           ORDER BY review_score DESC NULLS LAST, hotel_id""")
 
 

@@ -15,6 +15,11 @@ OVERLAP = 200
 SEPARATORS = ("\n\n", "\n", " ", "")
 
 
+def _check(size: int, overlap: int) -> None:
+    if not 0 <= overlap < size:
+        raise ValueError(f"the overlap has to be from 0 to below the size, got {overlap} and {size}")
+
+
 def chunk_key(*parts: Column | str) -> Column:
     """Key that is the same on every run: sha-256 of the row key and the chunk number."""
     return F.sha2(F.concat_ws(":", *[F.col(p) if isinstance(p, str) else p for p in parts]), 256)
@@ -35,6 +40,7 @@ def fixed_chunks(
     stride, so the cost stays linear in the text. A last window that lies inside the one before
     it is left out. All other columns are carried along. No Python worker, no shuffle.
     """
+    _check(size, overlap)
     stride = size - overlap
     windows = F.regexp_extract_all(
         F.col(text), F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{stride}}}"), F.lit(1)
@@ -60,10 +66,12 @@ def chunk_spans(
 ) -> Iterator[tuple[int, int]]:
     """Spans of the chunks of ``text[lo:hi]``.
 
-    The first separator that occurs cuts the text in front of each occurrence. Pieces shorter than
+    The first separator that occurs (the last one if none does) cuts the text in front of each
+    occurrence. Pieces shorter than
     ``size`` are packed; a longer one ends the packing and is split by the remaining separators.
     """
-    level = next(i for i, s in enumerate(separators) if s == "" or text.find(s, lo, hi) >= 0)
+    last = len(separators) - 1
+    level = next((i for i, s in enumerate(separators) if s == "" or text.find(s, lo, hi) >= 0), last)
     sep, finer = separators[level], separators[level + 1 :]
     if sep == "":
         stride = size - overlap
@@ -93,6 +101,9 @@ def text_splitter(
     size: int = SIZE, overlap: int = OVERLAP, separators: Sequence[str] = SEPARATORS
 ):
     """Pandas UDF from a text to its chunks; blank chunks are left out."""
+    _check(size, overlap)
+    if not separators:
+        raise ValueError("at least one separator is needed")
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(texts: pd.Series) -> pd.Series:

@@ -40,8 +40,11 @@ def prompt_per_group(
     order: Sequence[Column],
     columns: Sequence[str],
     template: str,
-    n: int = 10,
+    page_rows: int,
 ) -> DataFrame:
-    """``template`` with its one ``%s`` filled by the JSON records of each group's first ``n`` rows."""
-    context = json_records(df, group, order, columns, n)
-    return context.select(group, F.format_string(template, "records").alias("prompt"))
+    """``template`` with its one ``%s`` filled by JSON records: one prompt per page of a group.
+
+    A page holds at most ``page_rows`` rows, so all rows of a group are in its prompts.
+    """
+    context = json_records(df, group, order, columns, page_rows)
+    return context.select(group, "page_no", F.format_string(template, "records").alias("prompt"))

@@ -12,12 +12,12 @@ from staysift.operators.joins import join_on_unique, keep_ids
 from staysift.operators.keyword import KeywordIndex, bm25_topk, build_index, open_index
 from staysift.operators.ranking import top_k_per_group
 from staysift.operators.vectors import fit_text_vectors, text_vectors, vector_topk
-from staysift.session import BROADCAST_ROWS
+from staysift.session import BROADCAST_ROWS, cut_and_measure
 
 # The constant of reciprocal rank fusion, and the results per query.
 RRF = 60
 K = 5
-# Length of the two rankings that are fused.
+# Least length of the two rankings that are fused.
 DEPTH = 50
 DIGITS = 6
 
@@ -85,21 +85,31 @@ def hybrid_topk(
     text: str,
     vec: str = "embedding",
     k: int = K,
-    depth: int = DEPTH,
+    depth: int | None = None,
     filter_ids: DataFrame | Iterable | None = None,
 ) -> DataFrame:
     """The ``k`` best chunks of every query by keyword and vector rank together.
 
     ``vectors`` holds the index key and the vector; ``queries`` the query id, its text and vector.
-    ``filter_ids`` restricts the chunks before either ranking is made, so k results remain.
+    Chunks without a vector are found by their words, queries without one (null) too.
+    ``filter_ids``, a list or a frame, restricts the chunks before either ranking is made, so k
+    results remain. The ``depth`` best of each ranking are fused: a chunk further down in one of them
+    gets nothing from that one. It is DEPTH, or ``k`` if that is more, unless given; less than ``k``
+    is refused.
     """
     key = index.key
+    depth = max(DEPTH, k) if depth is None else depth
+    if k > depth:
+        raise ValueError(f"depth has to be at least k, got {depth} and {k}")
     allowed = None
     if filter_ids is not None:
-        vectors = keep_ids(vectors, key, filter_ids)
-        allowed = filter_ids if isinstance(filter_ids, DataFrame) else vectors.select(key)
+        allowed = filter_ids
+        if not isinstance(allowed, DataFrame):
+            kind = index.postings.schema[key].dataType.simpleString()
+            allowed = queries.sparkSession.createDataFrame([(i,) for i in set(filter_ids)], f"`{key}` {kind}")
+        vectors = keep_ids(vectors, key, allowed)
     by_word = bm25_topk(index, queries, depth, qid, text, allowed)
-    by_vector = vector_topk(vectors, queries, depth, key, qid, vec)
+    by_vector = vector_topk(vectors, queries.where(F.col(vec).isNotNull()), depth, key, qid, vec)
     return fuse_ranks([by_word, by_vector], k, qid, key)
 
 
@@ -107,8 +117,9 @@ def with_attributes(hits: DataFrame, chunks: DataFrame, key: str, qid: str, max_
     """Hits with the columns of their chunk.
 
     Few hits are broadcast to the scan of the chunks; otherwise hits of a much returned chunk are
-    spread over tasks.
+    spread over tasks. The hits are written once, so the search behind them runs once.
     """
-    if hits.limit(max_rows + 1).count() <= max_rows:
+    hits, seen = cut_and_measure(hits)
+    if seen["rows"] <= max_rows:
         return chunks.join(F.broadcast(hits), key)
     return join_on_unique(hits, chunks, key, spread_by=qid)

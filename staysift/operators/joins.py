@@ -6,23 +6,19 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, functions as F
 
-from staysift.session import broadcast_if_small
+from staysift.session import broadcast_if_small, cut_and_measure
 
-# The most frequent keys of a side are looked up by a top-n of this size, so their list is bounded
-# and a key outside it holds less than 1/HOT_KEYS of the rows.
-HOT_KEYS = 1000
+# A key with this many rows or more is split, into about this many rows a task. Rows without a key
+# are spread over SALTS tasks.
 HOT_ROWS = 1_000_000
 SALTS = 64
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with at least ``hot_rows`` rows: never more than HOT_KEYS of them."""
+    """Every key with at least ``hot_rows`` rows, and ``_salts``, the tasks its rows are spread over."""
     counted = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    return (
-        counted.where(F.col("_n") >= hot_rows)
-        .orderBy(F.desc("_n"), F.asc(key))
-        .limit(HOT_KEYS)
-        .select(key, F.lit(True).alias("_hot"))
+    return counted.where(F.col("_n") >= hot_rows).select(
+        key, (F.ceil(F.col("_n") / hot_rows) + 1).cast("int").alias("_salts")
     )
 
 
@@ -36,18 +32,19 @@ def join_on_unique(
 ) -> DataFrame:
     """Join ``rows`` with a ``lookup`` that has one row per key, spreading the hot keys.
 
-    Rows of a hot key are split over SALTS tasks by a hash of ``spread_by`` (all other columns if
-    not given) and the one lookup row is repeated for each; all other keys take the usual shuffle.
+    Rows of a hot key are split over tasks, the more the more rows it has, by a hash of
+    ``spread_by`` (all other columns if not given), and the one lookup row is repeated for each; all
+    other keys take the usual shuffle. Rows with a null key, which match nothing, are spread too.
     Only the key column is read to find the hot keys. ``how`` is inner, left or left_semi.
     """
     columns = [spread_by] if spread_by else [c for c in rows.columns if c != key]
-    hot = F.broadcast(hot_keys(rows, key, hot_rows))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*columns), F.lit(SALTS))).otherwise(F.lit(0))
-    every_salt = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    left = rows.join(hot, key, "left").withColumn("_salt", salt.cast("int")).drop("_hot")
-    right = lookup.join(hot, key, "left").withColumn("_salt", F.explode(every_salt)).drop("_hot")
+    hot, seen = cut_and_measure(hot_keys(rows, key, hot_rows))
+    hot = broadcast_if_small(hot, rows=seen["rows"])
+    parts = F.when(F.col(key).isNull(), SALTS).otherwise(F.coalesce("_salts", F.lit(1)))
+    salt = F.pmod(F.xxhash64(*columns), parts) if columns else F.lit(0)
+    every_salt = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    left = rows.join(hot, key, "left").withColumn("_salt", salt.cast("int")).drop("_salts")
+    right = lookup.join(hot, key, "left").withColumn("_salt", F.explode(every_salt)).drop("_salts")
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 

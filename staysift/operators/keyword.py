@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from staysift.functions.text import tokens
-from staysift.operators.joins import HOT_KEYS, HOT_ROWS, SALTS
+from staysift.operators.joins import HOT_ROWS
 from staysift.operators.ranking import top_k_per_group
 from staysift.session import BROADCAST_ROWS, broadcast_if_small, cut_and_measure, cut_lineage
 
@@ -134,13 +134,13 @@ def _match(postings: DataFrame, asked: DataFrame, rows: int, key: str) -> DataFr
     """
     if rows <= BROADCAST_ROWS:
         return postings.join(F.broadcast(asked), "term")
-    frequent = asked.where(F.col("df") >= HOT_ROWS).select("term", "df").distinct()
-    hot = frequent.orderBy(F.desc("df"), "term").limit(HOT_KEYS).select("term", F.lit(True).alias("_hot"))
-    hot = F.broadcast(hot)
-    split = F.when(F.col("_hot"), F.pmod(F.xxhash64(key), F.lit(SALTS))).otherwise(F.lit(0))
-    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    left = postings.join(hot, "term", "left").withColumn("_salt", split.cast("int")).drop("_hot")
-    right = asked.join(hot, "term", "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    salts = (F.ceil(F.col("df") / HOT_ROWS) + 1).cast("int").alias("_salts")
+    hot = broadcast_if_small(asked.where(F.col("df") >= HOT_ROWS).select("term", salts).distinct())
+    own = F.coalesce("_salts", F.lit(1))
+    split = F.pmod(F.xxhash64(key), own).cast("int")
+    left = postings.join(hot, "term", "left").withColumn("_salt", split).drop("_salts")
+    right = asked.join(hot, "term", "left")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), own - 1))).drop("_salts")
     return left.join(right, ["term", "_salt"]).drop("_salt")
 
 

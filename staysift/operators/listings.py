@@ -64,11 +64,11 @@ def place_search(
     in_country = places if country is None else places.where(F.col("country") == country)
     hits = where_all(
         place_rows(in_country),
-        text_match("accessibility", term),
+        optional_match("city", city),
+        optional_match("business_category", category),
         optional_match("address", address),
         optional_match("address", zipcode),
-        optional_match("business_category", category),
-        optional_match("city", city),
+        text_match("accessibility", term),
     )
     return top_n(hits, n, F.desc_nulls_last("rating_numeric"), F.asc_nulls_last("place_url"))
 
@@ -92,7 +92,7 @@ def hotel_hits(
         [text_match(c, term, mode=m) for c, m in modes.items()]
         + [nested_match(c, f, term) for c, f in HOTEL_NESTED.items()]
     )
-    return where_all(hotels, mentions, optional_match("city", city))
+    return where_all(hotels, optional_match("city", city), mentions)
 
 
 def hotel_search(hotels: DataFrame, term: str = TERM, city: str | None = CITY, **how) -> DataFrame:
@@ -176,17 +176,52 @@ def multi_review_listings(
     return kept.orderBy(F.asc(key), F.asc(tie))
 
 
-# A quoted text in SQL: single or double quotes, backslash or doubled quote as escape.
-_QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`[^`]*`", re.S)
-_SUBQUERY = re.compile(r"\b(select|from|with|table|values)\b", re.I)
+# The parts of a predicate: quoted texts, quoted names, numbers, words, operators. Comments are none.
+_PART = re.compile(
+    r"\s+|(?P<text>'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\")|(?P<name>`[^`]*`)|\d+(?:\.\d+)?"
+    r"|(?P<word>[A-Za-z_]\w*)|(?P<sign><=>|->|!=|<>|<=|>=|==|\|\||[-+*/%(),.<>=!&|^~\[\]])",
+    re.S,
+)
+# What may stand before a bracket: logic, and functions of one row without effects.
+CALLS = frozenset(
+    "and or not in like ilike rlike between any all case when then else is "
+    "exists forall filter transform size array_contains array_size element_at get "
+    "lower upper trim ltrim rtrim length char_length substring substr left right instr locate position replace "
+    "concat concat_ws split startswith endswith contains regexp_like regexp_extract regexp_count "
+    "coalesce nullif nvl ifnull if isnull isnotnull isnan greatest least "
+    "abs ceil floor round sqrt power mod pmod sign cast try_cast "
+    "int bigint double float string date timestamp boolean decimal "
+    "to_date year month day dayofmonth hour datediff date_add date_sub".split()
+)
+_SUBQUERY = frozenset("select from with table values map reduce".split())
+
+
+def check_predicate(predicate: str) -> None:
+    """Refuse a predicate that holds a comment, a subquery, or a call of a function not in CALLS."""
+    at, before, opened = 0, "", False
+    while at < len(predicate):
+        part = _PART.match(predicate, at)
+        if not part or predicate.startswith(("--", "/*"), at):
+            raise ValueError(f"the predicate cannot be read at {predicate[at : at + 20]!r}")
+        at = part.end()
+        if part.group().isspace():
+            continue
+        word, sign = (part.group("word") or "").lower(), part.group("sign")
+        # A column may have such a name; then a comparison follows.
+        if opened and word in _SUBQUERY and not re.match(r"\s*[=<>!]", predicate[at:]):
+            raise ValueError("the predicate must not contain a subquery")
+        if sign == "(" and before and before not in CALLS:
+            raise ValueError(f"{before} is not among the functions of a predicate")
+        opened = sign == "("
+        before = word or part.group("name") or part.group("text") or ""
 
 
 def guarded_filter(df: DataFrame, predicate: str, key: str = "property_id", n: int = 50) -> DataFrame:
     """Keys of at most ``n`` rows that meet a predicate given as SQL text.
 
     The text can only be a row predicate: aggregates and windows are refused by Spark inside a
-    filter, subqueries are refused here, and the result is the key column alone.
+    filter; comments, subqueries and functions that are not in CALLS are refused here, and the
+    result is the key column alone.
     """
-    if _SUBQUERY.search(_QUOTED.sub("''", predicate)):
-        raise ValueError("the predicate must not contain a subquery")
+    check_predicate(predicate)
     return top_n(df.where(F.expr(predicate)).select(key), n, F.asc(key))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from staysift.functions.predicates import (
@@ -25,11 +27,11 @@ from staysift.operators.listings import (
     place_search,
     review_search,
 )
-from staysift.operators.ranking import latest_per_key, top_n
+from staysift.operators.ranking import latest_per_key, top_k_per_group, top_n
 from staysift.plans.fixtures import CURATED_SQL, HOTELS_SQL, PLACES_SQL, hotels, places, stays
 from staysift.plans.registry import query
 from staysift.session import cut_lineage, scratch_path
-from staysift.sources.tables import read_table, replace_path
+from staysift.sources.tables import read_table, replace_path, replace_table
 
 
 
@@ -338,6 +340,39 @@ def _(spark, folder):
     return guarded_filter(read_table(spark, folder, "part"), wanted, key="p_partkey")
 
 
+@query(
+    "top_2000_orders",
+    """SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 2000""",
+)
+def _(spark, folder):
+    orders = read_table(spark, folder, "orders", "o_orderkey", "o_totalprice")
+    return top_n(orders, 2000, F.desc("o_totalprice"), F.asc("o_orderkey"))
+
+
+@query(
+    "top_1200_per_priority",
+    """SELECT * FROM (
+         SELECT o_orderpriority, o_orderkey, CAST(row_number() OVER (
+           PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank FROM orders)
+       WHERE rank <= 1200""",
+)
+def _(spark, folder):
+    orders = read_table(spark, folder, "orders", "o_orderkey", "o_orderpriority", "o_totalprice")
+    order = [F.desc("o_totalprice"), F.asc("o_orderkey")]
+    return top_k_per_group(orders, "o_orderpriority", order, 1200).drop("o_totalprice")
+
+
+@query("replaced_catalog_table", "SELECT o_custkey, count(*) AS n, sum(o_totalprice::DECIMAL(20,2))::DOUBLE AS total FROM orders GROUP BY o_custkey")
+def _(spark, folder):
+    """A bucketed table in the catalog, replaced once, then grouped by its bucket key in place."""
+    orders = read_table(spark, folder, "orders", "o_custkey", "o_orderkey", "o_totalprice")
+    name = f"orders_by_customer_{uuid.uuid4().hex}"
+    replace_table(orders.drop("o_totalprice"), name, "o_custkey", 8)
+    table = replace_table(orders, name, "o_custkey", 8)
+    total = F.sum(F.col("o_totalprice").cast("decimal(20,2)")).cast("double").alias("total")
+    return table.groupBy("o_custkey").agg(F.count("*").alias("n"), total)
+
+
 @query(
     "clean_join",
     """WITH ranked AS (
@@ -345,29 +380,29 @@ def _(spark, folder):
        cells AS (
          SELECT p_brand, r, unnest([p_name || ' ' || p_size::VARCHAR, p_type, p_size::VARCHAR]) AS v,
                 unnest([1, 2, 3]) AS c
-         FROM ranked WHERE r <= 50)
-       SELECT p_brand,
+         FROM ranked)
+       SELECT p_brand, CAST((r - 1) // 50 AS INTEGER) AS page_no,
               string_agg(trim(regexp_replace(v, '\\b\\d+\\b', '', 'g')), ', ' ORDER BY r, c) AS joined
-       FROM cells WHERE v <> '' GROUP BY p_brand""",
+       FROM cells WHERE v <> '' GROUP BY ALL""",
 )
 def _(spark, folder):
     parts = read_table(spark, folder, "part").withColumn("label", F.concat_ws(" ", "p_name", "p_size"))
     order = [F.desc("p_retailprice"), F.asc("p_partkey")]
-    return clean_join(parts, "p_brand", order, ["label", "p_type", "p_size"], n=50)
+    return clean_join(parts, "p_brand", order, ["label", "p_type", "p_size"], page_rows=50)
 
 
 @query(
     "json_records",
-    """SELECT o_custkey, to_json(list({'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus,
+    """SELECT o_custkey, CAST((r - 1) // 10 AS INTEGER) AS page_no, to_json(list({'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus,
                                        'o_orderpriority': o_orderpriority} ORDER BY r))::VARCHAR AS records
        FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r
              FROM orders)
-       WHERE r <= 10 GROUP BY o_custkey""",
+       GROUP BY ALL""",
 )
 def _(spark, folder):
     order = [F.desc("o_totalprice"), F.asc("o_orderkey")]
     columns = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
-    return json_records(read_table(spark, folder, "orders"), "o_custkey", order, columns, n=10)
+    return json_records(read_table(spark, folder, "orders"), "o_custkey", order, columns, page_rows=10)
 
 
 @query(

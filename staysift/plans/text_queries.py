@@ -220,37 +220,35 @@ def _(spark, folder):
     return with_attributes(hits, shown, "doc_id", "item_id")
 
 
-HYBRID_BASE = """pairs AS (SELECT doc_id, text, embedding FROM documents JOIN embeddings ON doc_id = vec_id {where}),
-questions AS (SELECT item_id, text, embedding FROM benchmark JOIN embeddings ON item_id = vec_id)"""
+HYBRID_BASE = """pairs AS (SELECT doc_id, embedding FROM documents JOIN embeddings ON doc_id = vec_id),
+questions AS (SELECT item_id, embedding FROM benchmark JOIN embeddings ON item_id = vec_id)"""
 
 
-def hybrid_sql(where: str = "") -> str:
-    """Rankings over the documents that have a vector; word statistics over all of those."""
-    return f"""WITH {HYBRID_BASE.format(where="")},
-{bm25_sql("pairs", "doc_id", "questions", "item_id", 50, allowed=where or "TRUE")},
-kept AS (SELECT * FROM pairs WHERE {where or "TRUE"}),
-{cosine_sql("kept", "doc_id", "questions", "item_id", 50)},
+def hybrid_sql(where: str = "TRUE", k: int = 5, depth: int = 50) -> str:
+    """Keyword ranks over all documents and questions, vector ranks over those with vectors."""
+    return f"""WITH {HYBRID_BASE},
+{bm25_sql("documents", "doc_id", "benchmark", "item_id", depth, allowed=where)},
+kept AS (SELECT * FROM pairs WHERE {where}),
+{cosine_sql("kept", "doc_id", "questions", "item_id", depth)},
 fused AS (
   SELECT item_id, doc_id, round(sum(1.0 / (60 + rank)), 6)::DOUBLE AS score
   FROM (SELECT item_id, doc_id, rank FROM bm25 UNION ALL SELECT item_id, doc_id, rank FROM nearest)
   GROUP BY ALL)
 SELECT * FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM fused)
-WHERE rank <= 5"""
+WHERE rank <= {k}"""
 
 
-def _hybrid(spark, folder, filter_ids=None):
+def _hybrid(spark, folder, **how):
     vectors = read_table(spark, folder, "embeddings", "vec_id", "embedding", spread_by="vec_id")
     docs = _documents(spark, folder, "doc_id", "text")
-    vectors = vectors.withColumnRenamed("vec_id", "doc_id")
-    index = build_index(
-        docs.join(vectors.select("doc_id"), "doc_id", "left_semi"), scratch_path(spark, "index"), "doc_id", "text"
-    )
-    vectors = cut_lineage(vectors.join(docs.select("doc_id"), "doc_id", "left_semi"))
+    index = _document_index(spark, folder)
     asked = read_table(spark, folder, "benchmark").join(
-        vectors.withColumnRenamed("doc_id", "item_id"), "item_id"
+        vectors.withColumnRenamed("vec_id", "item_id"), "item_id", "left"
     )
-    return hybrid_topk(index, vectors, cut_lineage(asked), "item_id", "text", filter_ids=filter_ids)
+    vectors = vectors.withColumnRenamed("vec_id", "doc_id")
+    vectors = cut_lineage(vectors.join(docs.select("doc_id"), "doc_id", "left_semi"))
+    return hybrid_topk(index, vectors, cut_lineage(asked), "item_id", "text", **how)
 
 
 @query("hybrid_topk", hybrid_sql())
@@ -264,6 +262,16 @@ def _(spark, folder):
     return _hybrid(spark, folder, filter_ids=good)
 
 
+@query("hybrid_topk_deep", hybrid_sql(k=120, depth=120))
+def _(spark, folder):
+    return _hybrid(spark, folder, k=120)
+
+
+@query("hybrid_topk_id_list", hybrid_sql("doc_id IN (3, 5, 8, 13, 21, 34, 55, 89, 144, 233, 377, 610, 987)"))
+def _(spark, folder):
+    return _hybrid(spark, folder, filter_ids=[3, 5, 8, 13, 21, 34, 55, 89, 144, 233, 377, 610, 987])
+
+
 @query("hybrid_topk_hashed")
 def _(spark, folder):
     docs = _documents(spark, folder, "doc_id", "text")
@@ -402,9 +410,21 @@ def _(spark, folder):
     return table_profile(read_table(spark, folder, "customer"), exact=True)
 
 
-@query("table_profile_estimated")
+@query(
+    "table_profile_estimated",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, '{t}' AS column_type, count(*) AS n_rows,"
+        f" count(*) - count({c}) AS n_nulls, true AS within_15_percent FROM customer"
+        for c, t in PROFILED.items()
+    ),
+)
 def _(spark, folder):
-    return table_profile(read_table(spark, folder, "lineitem"))
+    """The estimated profile with its error judged against the exact one."""
+    customers = read_table(spark, folder, "customer")
+    exact = table_profile(customers, exact=True).select("column_name", F.col("n_distinct").alias("n"))
+    near = F.abs(F.col("n_distinct") - F.col("n")) <= 0.15 * F.col("n")
+    judged = table_profile(customers).join(exact, "column_name").withColumn("within_15_percent", near)
+    return judged.drop("n_distinct", "n")
 
 
 def _synced(spark, folder):
@@ -412,7 +432,7 @@ def _synced(spark, folder):
     schema = read_table(spark, folder, "documents").schema
     files = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(folder)
     rows = files.select("doc_id", "lang", "text")
-    sync_index(rows, path, "doc_id", "text", fixed_chunks)
+    sync_index(rows, path, "doc_id", "text", fixed_chunks, newest_first=[F.desc("text")])
     return path
 
 
@@ -469,12 +489,12 @@ def _(spark, folder):
 
 @query(
     "prompt_per_group",
-    """SELECT s_nationkey, 'Summarise these suppliers. JSON data: '
+    """SELECT s_nationkey, CAST((r - 1) // 10 AS INTEGER) AS page_no, 'Summarise these suppliers. JSON data: '
               || to_json(list({'s_suppkey': s_suppkey, 's_name': s_name} ORDER BY s_suppkey)) AS prompt
        FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier)
-       WHERE r <= 10 GROUP BY s_nationkey""",
+       GROUP BY ALL""",
 )
 def _(spark, folder):
     suppliers = read_table(spark, folder, "supplier")
     template = "Summarise these suppliers. JSON data: %s"
-    return prompt_per_group(suppliers, "s_nationkey", [F.asc("s_suppkey")], ["s_suppkey", "s_name"], template)
+    return prompt_per_group(suppliers, "s_nationkey", [F.asc("s_suppkey")], ["s_suppkey", "s_name"], template, page_rows=10)

@@ -11,12 +11,15 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     Rows are compared as (key, hash of the other columns) with a count on each side, so repeated
     rows and repeated keys are handled and nothing is paired up. Both groupings combine inside
     the tasks first: only key, hash and counts are shuffled, and a hot key is already cut down to
-    its distinct rows, which the first shuffle spreads.
+    its distinct rows, which the first shuffle spreads. A column that only one snapshot has is
+    null in the other, so a row changes if it holds a value there.
     """
-    columns = sorted(set(new.columns) - {key})
-    digest = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    columns = sorted((set(new.columns) | set(old.columns)) - {key})
 
     def side(df: DataFrame, n_old: int, n_new: int) -> DataFrame:
+        other = dict(old.dtypes) | dict(new.dtypes)
+        cells = [F.col(c) if c in df.columns else F.lit(None).cast(other[c]).alias(c) for c in columns]
+        digest = F.sha2(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}), 256)
         return df.select(
             key, digest.alias("_row"), F.lit(n_old).alias("_old"), F.lit(n_new).alias("_new")
         )

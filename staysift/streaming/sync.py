@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from staysift.operators.joins import join_on_unique
 from staysift.operators.keyword import KeywordIndex, make_postings, open_index, write_term_counts
 from staysift.operators.ranking import latest_per_key
+from staysift.session import cut_lineage
 
 BATCH = "batch"
 
@@ -37,7 +38,7 @@ def sync_index(
     key: str,
     text: str,
     chunker: Callable[[DataFrame, str, str], DataFrame],
-    newest_first: list[Column] | None = None,
+    newest_first: list[Column],
     deleted: Column | None = None,
 ) -> None:
     """Take all rows of a streaming frame that were not taken before, then stop.
@@ -47,14 +48,13 @@ def sync_index(
     where ``deleted`` is true only remove them. ``newest_first`` orders versions of a key that
     arrive together. Progress is kept below ``path``, which has to be a shared folder.
     """
-    order = newest_first or [F.desc(text)]
     flag = F.lit(False) if deleted is None else F.coalesce(deleted, F.lit(False))
 
     def take(batch: DataFrame, number: int) -> None:
         def write(df: DataFrame, table: str) -> None:
             df.write.mode("overwrite").parquet(f"{path}/{table}/{BATCH}={number}")
 
-        rows = latest_per_key(batch.withColumn("deleted", flag), key, order)
+        rows = cut_lineage(latest_per_key(batch.withColumn("deleted", flag), key, newest_first))
         write(rows.select(key, "deleted"), "versions")
         write(chunker(rows.where(~F.col("deleted")).drop("deleted"), key, text), "chunks")
         written = batch.sparkSession.read.parquet(f"{path}/chunks/{BATCH}={number}")

@@ -113,3 +113,17 @@ def test_chunks_in_sql(spark):
     got = spark.sql("SELECT id, n, c FROM texts LATERAL VIEW posexplode(few_chars(text)) t AS n, c").collect()
     want = recursive_chunks(df, "id", "text", size=20, overlap=5).select("id", "chunk_no", "text").collect()
     assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in want)
+
+
+def test_the_last_separator_is_the_fallback(spark):
+    df = spark.createDataFrame([(1, "abcdef" * 10), (2, "a b")], "id long, text string")
+    out = recursive_chunks(df, "id", "text", size=5, overlap=1, separators=("\n", " ")).collect()
+    assert sorted((r.id, r.text) for r in out) == [(1, "abcdef" * 10), (2, "a b")]
+
+
+@pytest.mark.parametrize("size, overlap", [(5, 5), (5, 9), (5, -1), (0, 0)])
+def test_overlap_has_to_be_below_the_size(spark, size, overlap):
+    df = spark.createDataFrame([(1, "abc")], "id long, text string")
+    for chunks in (fixed_chunks, recursive_chunks):
+        with pytest.raises(ValueError):
+            chunks(df, "id", "text", size=size, overlap=overlap)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from staysift.operators import joins
 from staysift.operators.joins import hot_keys, join_on_unique, keep_ids
-from staysift.operators.ranking import first_rows, top_k_per_group, top_n
+from staysift.operators.ranking import first_rows, numbered, top_k_per_group, top_n
 from staysift.session import (
     broadcast_if_small,
     cut_and_measure,
@@ -63,7 +63,7 @@ def test_keep_ids(sides, spark, monkeypatch):
     want = sorted(rows.where("k < 40").collect())
     assert sorted(keep_ids(rows, "k", range(40)).collect()) == want
     assert sorted(keep_ids(rows, "k", ids).collect()) == want
-    monkeypatch.setattr(joins, "broadcast_if_small", lambda df: df)
+    monkeypatch.setattr(joins, "broadcast_if_small", lambda df, **_: df)
     assert sorted(keep_ids(rows, "k", ids, hot_rows=100).collect()) == want
 
 
@@ -129,3 +129,53 @@ def test_spread(spark):
     assert spread(few, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.range(100).repartition(16)
     assert spread(many, "id") is many
+
+
+def test_every_key_above_the_bound_is_split(spark):
+    rows = spark.range(6000).select((F.col("id") % 1500).alias("k"), "id")
+    lookup = spark.range(1500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    assert hot_keys(rows, "k", 4).count() == 1500
+    assert {r._salts for r in hot_keys(rows, "k", 2).collect()} == {3}
+    got = join_on_unique(rows, lookup, "k", "id", hot_rows=2)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(lookup, "k").collect()))
+
+
+def test_rows_without_a_key_are_spread_in_a_left_join(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 10 == 0, F.col("id")).alias("k"), "id")
+    lookup = spark.range(100).select((F.col("id") * 10).alias("k"), F.lit("v").alias("v"))
+    got = join_on_unique(rows, lookup, "k", "id", how="left")
+    assert got.count() == 3000 and got.where("v IS NOT NULL").count() == 100
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        placed = join_on_unique(rows, lookup, "k", "id", how="left").where("k IS NULL")
+        assert placed.groupBy(F.spark_partition_id()).count().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("k", [3, 1000, 1001])
+def test_top_k_beyond_the_group_limit(spark, k):
+    rows = spark.range(4000).select(F.when(F.col("id") % 5 > 0, F.lit("big")).alias("g"), (F.col("id") * 7 % 4001).alias("v"), "id")
+    order = [F.desc("v"), F.asc("id")]
+    got = sorted((r.g or "", r["rank"], r.id) for r in top_k_per_group(rows.repartition(7), "g", order, k).collect())
+    want = []
+    for g in ("big", ""):
+        own = sorted(((-r.v, r.id) for r in rows.collect() if (r.g or "") == g))[:k]
+        want += [(g, i, x[1]) for i, x in enumerate(own, 1)]
+    assert got == sorted(want)
+    best = [r.id for r in top_n(rows.repartition(7), k, *order).collect()]
+    assert best == [r.id for r in rows.orderBy(*order).limit(k).collect()]
+
+
+def test_numbers_of_a_group_run_through_all_ranges(spark):
+    rows = spark.range(1000).select((F.col("id") % 3).alias("g"), "id").repartition(5)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = numbered(rows, "g", [F.desc("id")], "no").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    for g in range(3):
+        own = sorted((r.no, r.id) for r in got if r.g == g)
+        assert own == list(enumerate(sorted((i for i in range(1000) if i % 3 == g), reverse=True), 1))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from staysift.functions.sqlfuncs import register_all
 from staysift.operators import listings
-from staysift.operators.aggregates import clean_join, json_records, keys_with_more_than
+from staysift.operators.aggregates import clean_join, json_records, keys_with_more_than, top_json_records
 from staysift.operators.curate import COLUMNS, LISTS, NESTED, RENAMED, curated_listings
 from staysift.operators.ranking import latest_per_key
 
@@ -152,6 +152,21 @@ def test_guarded_filter(spark):
     assert listings.guarded_filter(df, "rating >= 0").columns == ["property_id"]
     assert listings.guarded_filter(df, "rating >= 0").count() == 50
     listings.guarded_filter(df, "concat('select ', rating) = 'select 3'").collect()
+    names = df.withColumnsRenamed({"rating": "from"})
+    assert listings.guarded_filter(names, "(from > 5) and `from` in (6, 7)").count() == 14
+    arrays = df.withColumn("marks", F.array("rating"))
+    assert listings.guarded_filter(arrays, "exists(marks, x -> x = 3) OR lower('A') = 'b'").count() == 14
+    for bad in (
+        "rating > 10 /* ' */ or exists (select 1 from other) /* ' */",
+        "rating > 10 -- ' \n or exists (select 1 from other) -- '",
+        "reflect('java.lang.System', 'getProperty', 'user.home') is not null",
+        "java_method('java.lang.System', 'getProperty', 'user.home') is not null",
+        "`reflect`('java.lang.System', 'getProperty', 'user.home') is not null",
+        "exists (select * from other)",
+        "rating in (with a as (select 1) select * from a)",
+    ):
+        with pytest.raises(ValueError):
+            listings.guarded_filter(df, bad)
     for bad in ("property_id IN (SELECT 1)", "exists(select 1)", "1 = 1) UNION (SELECT 1", "count(1) > 0", "DROP TABLE x"):
         with pytest.raises(Exception):
             listings.guarded_filter(df, bad).collect()
@@ -202,9 +217,13 @@ def test_json_records_and_clean_join(spark):
         [("g", 2, "b 12", ""), ("g", 1, "a7", None), ("g", 3, "drop", "drop"), ("h", 1, " 5 ", "x")],
         "g string, n int, s string, t string",
     )
-    out = {r.g: r.records for r in json_records(df, "g", [F.asc("n")], ["n", "s"], 2).collect()}
-    assert out == {"g": '[{"n":1,"s":"a7"},{"n":2,"s":"b 12"}]', "h": '[{"n":1,"s":" 5 "}]'}
-    joined = {r.g: r.joined for r in clean_join(df, "g", [F.asc("n")], ["s", "t"], 2).collect()}
-    assert joined == {"g": "a7, b", "h": ", x"}
-    kept = {r.g: r.joined for r in clean_join(df, "g", [F.asc("n")], ["s", "n"], 2, keep_numbers=True).collect()}
-    assert kept == {"g": "a7, 1, b 12, 2", "h": "5, 1"}
+    first = {"g": '[{"n":1,"s":"a7"},{"n":2,"s":"b 12"}]', "h": '[{"n":1,"s":" 5 "}]'}
+    out = {(r.g, r.page_no): r.records for r in json_records(df, "g", [F.asc("n")], ["n", "s"], 2).collect()}
+    assert out == {("g", 0): first["g"], ("g", 1): '[{"n":3,"s":"drop"}]', ("h", 0): first["h"]}
+    assert {r.g: r.records for r in top_json_records(df, "g", [F.asc("n")], ["n", "s"], 2).collect()} == first
+    joined = {(r.g, r.page_no): r.joined for r in clean_join(df, "g", [F.asc("n")], ["s", "t"], 2).collect()}
+    assert joined == {("g", 0): "a7, b", ("g", 1): "drop, drop", ("h", 0): ", x"}
+    kept = clean_join(df, "g", [F.asc("n")], ["s", "n"], 2, keep_numbers=True).collect()
+    assert {(r.g, r.page_no): r.joined for r in kept} == {
+        ("g", 0): "a7, 1, b 12, 2", ("g", 1): "drop, 3", ("h", 0): "5, 1"
+    }

@@ -318,3 +318,22 @@ def test_containing_documents(spark):
     got = containing_documents(index, frame, "text", passages, "q", "passage")
     want = sorted((q, d) for q, p in asked.items() for d, t in docs.items() if p in t)
     assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_hybrid_depth_follows_k(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"))
+    index = keyword.build_index(docs, scratch_path(spark, "deep"), "doc", "text")
+    vectors = docs.where("doc < 20").select("doc", F.array(F.lit(1.0), F.col("doc") / 100.0).alias("embedding"))
+    asked = spark.createDataFrame([("q", "w", [1.0, 0.0]), ("no vector", "w", None)], "q string, text string, embedding array<double>")
+    rows = hybrid.hybrid_topk(index, vectors, asked, "q", "text", k=120).collect()
+    for q in ("q", "no vector"):
+        assert sorted(r["rank"] for r in rows if r.q == q) == list(range(1, 121))
+    with pytest.raises(ValueError):
+        hybrid.hybrid_topk(index, vectors, asked, "q", "text", k=20, depth=10)
+    ids = list(range(10, 40))  # half of them without a vector
+    frame = spark.createDataFrame([(i,) for i in ids], "doc long")
+    both = [
+        sorted(tuple(r) for r in hybrid.hybrid_topk(index, vectors, asked, "q", "text", k=50, filter_ids=f).collect())
+        for f in (ids, frame)
+    ]
+    assert both[0] == both[1] and {r[1] for r in both[0]} == set(ids)

@@ -107,6 +107,16 @@ def test_route(turns):
 
 
 def test_prompt(turns):
-    out = prompt_per_group(turns, "conv_id", [F.desc("turn")], ["turn", "text"], "Data: %s!", n=1)
-    prompts = {r.conv_id: r.prompt for r in out.collect()}
-    assert json.loads(prompts[1][6:-1]) == [{"turn": 1, "text": "call tool"}]
+    out = prompt_per_group(turns, "conv_id", [F.desc("turn")], ["turn", "text"], "Data: %s!", page_rows=1)
+    prompts = {(r.conv_id, r.page_no): r.prompt for r in out.collect()}
+    assert len(prompts) == turns.count()
+    assert json.loads(prompts[1, 0][6:-1]) == [{"turn": 1, "text": "call tool"}]
+
+
+def test_snapshot_diff_with_other_columns(spark):
+    old = spark.createDataFrame([(1, "a", 5), (2, "b", None)], "k long, v string, gone int")
+    new = spark.createDataFrame([(1, "a", None), (2, "b", 0.5)], "k long, v string, more double")
+    got = sorted(tuple(r) for r in snapshot_diff(old, new, "k").collect())
+    assert got == [(1, "update", 1, 1), (2, "update", 1, 1)]
+    same = old.where("k = 2").drop("gone")
+    assert snapshot_diff(old.where("k = 2"), same, "k").count() == 0
