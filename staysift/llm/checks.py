@@ -44,3 +44,85 @@ SELECT one.vec_id, coalesce(counted.n, 0)::BIGINT AS n_links,
        least(one.vec_id, coalesce(found.low, one.vec_id)) IS NOT DISTINCT FROM one.vec_id AS kept
 FROM one LEFT JOIN found USING (vec_id) LEFT JOIN counted USING (vec_id)
 """
+
+# The rules of the mix once more: words, targets, draws by md5, index permutations, overlaps.
+OP10 = """
+WITH docs AS (
+  SELECT source, doc_id AS key, md5(coalesce(text, '')) AS hash,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size
+  FROM documents
+), units AS (SELECT source, key, hash, size, count(*) AS n FROM docs GROUP BY ALL),
+per AS (
+  SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS sid
+  FROM (SELECT source, sum(size * n)::BIGINT AS source_size FROM units GROUP BY source)
+), weighed AS (
+  SELECT *, [5.0, 2.0, 1.0][(sid - 1) % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap,
+         1.5::DOUBLE * sum(source_size) OVER () AS total
+  FROM per
+), levels AS (
+  SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, sid
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY cap / weight, sid
+                                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed
+), aimed AS (
+  SELECT *, level >= cap / weight AS stops FROM levels
+), targets AS (
+  SELECT *, CASE WHEN stops THEN cap ELSE max(CASE WHEN NOT stops THEN level END) OVER () * weight END AS target,
+         greatest(1, least(256, source_size // 256)) AS block
+  FROM aimed
+), blocked AS (SELECT *, ceil(source_size / block)::BIGINT AS blocks FROM targets),
+sources AS (
+  SELECT *, CASE WHEN stops THEN 2 * blocks
+                 ELSE least(floor(target / block + 0.5), 2 * blocks) END::BIGINT AS quota,
+         coalesce(list_filter(list_concat(PRIMES[sid % 10 + 1:], PRIMES), lambda p: blocks % p <> 0)[1], 1) AS step
+  FROM blocked
+), ends AS (
+  SELECT sid, sum(quota) OVER (ORDER BY sid) - quota AS low, sum(quota) OVER (ORDER BY sid) AS high FROM sources
+), slots AS (
+  SELECT slot, ('0x' || md5(slot::VARCHAR)[1:12])::BIGINT % (SELECT sum(quota)::BIGINT FROM sources) AS draw
+  FROM (SELECT unnest(range((SELECT sum(quota)::BIGINT FROM sources))) AS slot)
+), drawn AS (
+  SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS j
+  FROM slots JOIN ends ON draw >= low AND draw < high
+), drew AS (
+  SELECT sid, quota, coalesce(any_value(n), 0) AS drew
+  FROM sources LEFT JOIN (SELECT sid, count(*) AS n FROM drawn GROUP BY sid) USING (sid) GROUP BY sid, quota
+), state AS (
+  SELECT *, sum(greatest(drew - quota, 0)) OVER (ORDER BY sid) - greatest(drew - quota, 0) AS over_first,
+         sum(greatest(quota - drew, 0)) OVER (ORDER BY sid) - greatest(quota - drew, 0) AS under_first
+  FROM drew
+), passed AS (
+  SELECT over_first + j - quota AS number FROM drawn JOIN state USING (sid) WHERE j >= quota
+), lacking AS (
+  SELECT sid, under_first + i AS number, drew + i AS j
+  FROM (SELECT *, unnest(range((quota - drew)::BIGINT)) AS i FROM state WHERE quota > drew)
+), placed AS (
+  SELECT sid, j FROM drawn JOIN state USING (sid) WHERE j < quota
+  UNION ALL SELECT sid, j FROM passed JOIN lacking USING (number)
+), uses AS (
+  SELECT sid, (step * (j % blocks + 1) + (j // blocks) * 7919) % blocks AS index, count(*) AS uses
+  FROM placed JOIN sources USING (sid) GROUP BY ALL
+), lots AS (
+  SELECT *, unnest(range((n - 1) // 1000 + 1)) AS lot FROM units
+), parts AS (
+  SELECT sid, key, hash, lot, size, least(1000, l.n - lot * 1000) AS n,
+         ('0x' || md5(concat_ws('|', coalesce(key::VARCHAR, ''), hash, lot::VARCHAR))[1:12])::BIGINT
+           % greatest(1, ceil((SELECT count(*) FROM units) / 50000)::BIGINT) AS chunk
+  FROM lots l JOIN sources s ON l.source IS NOT DISTINCT FROM s.source
+), summed AS (
+  SELECT *, coalesce(sum(size * n) OVER (PARTITION BY sid ORDER BY chunk, key NULLS FIRST, hash, lot
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM parts
+), spread AS (
+  SELECT sid, key, hash, lot, copy, size, before + copy * size AS place
+  FROM (SELECT *, unnest(range(n)) AS copy FROM summed)
+), covered AS (
+  SELECT p.*, block, (least(place + size, (u.index + 1) * block) - greatest(place, u.index * block)) * u.uses AS words
+  FROM (SELECT x.*, block FROM spread x JOIN sources USING (sid)) p
+  LEFT JOIN uses u ON u.sid = p.sid AND size > 0 AND u.index >= place // block AND u.index <= (place + size - 1) // block
+), taken AS (
+  SELECT sid, key, hash, lot, copy, size, coalesce(sum(words), 0)::BIGINT AS taken FROM covered GROUP BY ALL
+)
+SELECT key AS doc_id, size, source_size, target, taken FROM taken JOIN sources USING (sid)
+""".replace("PRIMES", "[1048583, 1048589, 1048601, 1048609, 1048613, 1048627, 1048633, 1048661, 1048681, 1048703]")

@@ -80,7 +80,11 @@ def op7_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.near_vectors(vectors)
 
 
-CHECKS |= {"op5_exact_topk": checks.OP5.strip(), "op7_projection_passes": checks.OP7.strip()}
+CHECKS |= {
+    "op5_exact_topk": checks.OP5.strip(),
+    "op7_projection_passes": checks.OP7.strip(),
+    "op10_source_mix": checks.OP10.strip(),
+}
 
 
 @query
