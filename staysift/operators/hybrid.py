@@ -24,19 +24,27 @@ DIGITS = 6
 
 @dataclass(frozen=True)
 class HybridIndex:
-    """A keyword index, the vectors of the same chunks, and the model that made them, if any."""
+    """A keyword index, the vectors of the same chunks, the model that made them, if any, and the
+    chunks' texts and attributes."""
 
     words: KeywordIndex
     vectors: DataFrame
     model: PipelineModel | None
+    chunks: DataFrame
 
 
 def build_hybrid_index(
-    chunks: DataFrame, path: str, key: str, text: str, vec: str | None = None, dims: int = 256
+    chunks: DataFrame,
+    path: str,
+    key: str,
+    text: str,
+    vec: str | None = None,
+    dims: int = 256,
+    attributes: Iterable[str] = (),
 ) -> HybridIndex:
     """Write the tables a hybrid search needs below ``path``.
 
-    ``vec`` names the column with the vectors of a model. Without it the texts get hashed term
+    ``attributes`` are columns that searches may filter by or return. ``vec`` names the column with the vectors of a model. Without it the texts get hashed term
     vectors, and the model is kept for the queries.
     """
     build_index(chunks, f"{path}/words", key, text)
@@ -45,26 +53,49 @@ def build_hybrid_index(
         model.write().overwrite().save(f"{path}/model")
         vectors = text_vectors(chunks.select(key, text), text, model).select(key, "embedding")
     else:
-        vectors = chunks.select(key, F.col(vec).alias("embedding"))
+        vectors = chunks.where(F.col(vec).isNotNull()).select(key, F.col(vec).alias("embedding"))
     vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    chunks.select(key, text, *attributes).write.mode("overwrite").parquet(f"{path}/chunks")
     return open_hybrid_index(chunks.sparkSession, path, key, hashed=vec is None)
 
 
 def open_hybrid_index(spark: SparkSession, path: str, key: str, hashed: bool) -> HybridIndex:
     model = PipelineModel.load(f"{path}/model") if hashed else None
+    read = spark.read.parquet
     return HybridIndex(
-        open_index(spark, f"{path}/words", key), spark.read.parquet(f"{path}/vectors"), model
+        open_index(spark, f"{path}/words", key), read(f"{path}/vectors"), model, read(f"{path}/chunks")
     )
 
 
 def search(
-    index: HybridIndex, queries: DataFrame, qid: str, text: str, vec: str = "embedding", **how
+    index: HybridIndex,
+    queries: DataFrame,
+    qid: str,
+    text: str,
+    vec: str = "embedding",
+    where: dict[str, Iterable] | None = None,
+    columns: Iterable[str] = (),
+    **how,
 ) -> DataFrame:
-    """``hybrid_topk`` over a built index; query vectors are made if the index has the model."""
+    """``hybrid_topk`` over a built index; query vectors are made if the index has the model.
+
+    ``where`` restricts the chunks by the values of attributes before they are ranked;
+    ``columns`` of the chunks (text, attributes) come along with the hits.
+    """
+    key = index.words.key
     if index.model is not None:
         queries = text_vectors(queries, text, index.model, vec)
+    if where:
+        if how.get("filter_ids") is not None:
+            raise ValueError("filter by ids or by attributes, not by both")
+        kept = index.chunks
+        for name, values in where.items():
+            kept = kept.where(F.col(name).isin(list(values)))
+        how["filter_ids"] = kept.select(key)
     vectors = index.vectors.withColumnRenamed("embedding", vec)
-    return hybrid_topk(index.words, vectors, queries, qid, text, vec, **how)
+    hits = hybrid_topk(index.words, vectors, queries, qid, text, vec, **how)
+    wanted = list(columns)
+    return with_attributes(hits, index.chunks.select(key, *wanted), key, qid) if wanted else hits
 
 
 def fuse_ranks(rankings: Iterable[DataFrame], k: int, qid: str, key: str) -> DataFrame:

@@ -64,19 +64,19 @@ def term_counts(postings: DataFrame) -> DataFrame:
 
 
 def write_term_counts(spark: SparkSession, path: str) -> None:
-    counts = term_counts(spark.read.parquet(f"{path}/postings")).sortWithinPartitions("term")
-    counts.write.mode("overwrite").parquet(f"{path}/terms")
+    counts = term_counts(spark.read.parquet(f"{path}/postings"))
+    counts.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
 
 
 def build_index(docs: DataFrame, path: str, key: str, text: str) -> KeywordIndex:
     """Write the index tables of ``docs`` (unique ``key``) below ``path`` and open them.
 
-    The files are sorted by term, so a search for few words reads only the pages that hold them.
+    Files hold ranges of (term, key) and are sorted by term, so a search for few words opens the
+    few files that can hold them; a frequent term spans several files.
     """
     docs = docs.where(F.col(text).isNotNull())
-    make_postings(docs, key, text).sortWithinPartitions("term").write.mode("overwrite").parquet(
-        f"{path}/postings"
-    )
+    ranged = make_postings(docs, key, text).repartitionByRange("term", key)
+    ranged.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
     spark = docs.sparkSession
     write_term_counts(spark, path)
     docs.agg(F.count("*").alias("n_docs")).write.mode("overwrite").parquet(f"{path}/stats")

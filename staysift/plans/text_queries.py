@@ -272,6 +272,26 @@ def _(spark, folder):
     return _hybrid(spark, folder, filter_ids=[3, 5, 8, 13, 21, 34, 55, 89, 144, 233, 377, 610, 987])
 
 
+@query(
+    "hybrid_topk_by_attribute",
+    f"""WITH hits AS ({hybrid_sql("doc_id IN (SELECT doc_id FROM documents WHERE source IN ('src3', 'src5'))")})
+    SELECT hits.*, source, text FROM hits JOIN documents USING (doc_id)""",
+)
+def _(spark, folder):
+    """A built index, filtered by an attribute; hits come with their text and the attribute."""
+    docs = _documents(spark, folder, "doc_id", "text", "source")
+    vectors = read_table(spark, folder, "embeddings", "vec_id", "embedding", spread_by="vec_id")
+    chunks = docs.join(vectors, docs["doc_id"] == vectors["vec_id"], "left").drop("vec_id")
+    path = scratch_path(spark, "attributes")
+    index = build_hybrid_index(chunks, path, "doc_id", "text", "embedding", attributes=["source"])
+    asked = read_table(spark, folder, "benchmark").join(
+        vectors.withColumnRenamed("vec_id", "item_id"), "item_id", "left"
+    )
+    return search(
+        index, cut_lineage(asked), "item_id", "text", where={"source": ["src3", "src5"]}, columns=["source", "text"]
+    )
+
+
 @query("hybrid_topk_hashed")
 def _(spark, folder):
     docs = _documents(spark, folder, "doc_id", "text")
