@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from staysift.functions.text import tokens
 from staysift.operators.keyword import KeywordIndex
-from staysift.session import BROADCAST_BYTES, broadcast_if_small, cut_lineage
+from staysift.session import BROADCAST_BYTES, broadcast_if_small, cut_and_measure, cut_lineage
 
 
 def retrieval_recall(hits: DataFrame, truth: DataFrame, qid: str, key: str) -> DataFrame:
@@ -31,6 +31,25 @@ def retrieval_summary(per_query: DataFrame) -> DataFrame:
     )
 
 
+# Short passages that are compared with a text at once.
+SHORT_BLOCK = 500
+
+
+def _containing_short(
+    docs: DataFrame, key: str, text: str, short: DataFrame, n: int, qid: str, passage: str
+) -> DataFrame:
+    """The same for ``n`` short passages, without an index: one scan of the texts, each compared
+    with blocks of passages."""
+    blocks = -(-n // SHORT_BLOCK)
+    packed = short.groupBy(F.pmod(F.xxhash64(qid), F.lit(blocks)).alias("_block")).agg(
+        F.collect_list(F.struct(F.col(qid).alias("q"), F.col(passage).alias("p"))).alias("_passages")
+    )
+    every = docs.select(key, text).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    joined = every.join(broadcast_if_small(packed, rows=n), "_block")
+    hits = F.filter("_passages", lambda x: F.contains(F.col(text), x["p"]))
+    return joined.select(F.explode(hits).alias("_hit"), key).select(F.col("_hit.q").alias(qid), key)
+
+
 def containing_documents(
     index: KeywordIndex, docs: DataFrame, text: str, passages: DataFrame, qid: str, passage: str
 ) -> DataFrame:
@@ -38,13 +57,13 @@ def containing_documents(
 
     A word inside a passage, not at its ends, occurs as a whole word in every text that contains
     the passage. Documents that have the rarest such word are looked up in the index and only
-    those are compared. Passages of fewer than three words are compared by their parts at the
-    ends and have no inner word; they are refused.
+    those are compared. Passages of fewer than three words have no inner word; they are compared
+    with all documents, in blocks. Null passages are in none.
     """
     key = index.key
-    words = passages.select(qid, passage, tokens(passage).alias("_w"))
-    if not words.where(F.size("_w") < 3).isEmpty():
-        raise ValueError("passages need at least three words")
+    words = passages.where(F.col(passage).isNotNull()).select(qid, passage, tokens(passage).alias("_w"))
+    short, seen = cut_and_measure(words.where(F.size("_w") < 3).select(qid, passage))
+    words = words.where(F.size("_w") >= 3)
     inner = words.select(
         qid, F.explode(F.array_distinct(F.slice("_w", 2, F.size("_w") - 2))).alias("term")
     )
@@ -72,4 +91,7 @@ def containing_documents(
         .join(broadcast_if_small(candidates), key)
         .join(texts, qid)
     )
-    return compared.where(F.contains(F.col(text), F.col("_passage"))).select(qid, key)
+    found = compared.where(F.contains(F.col(text), F.col("_passage"))).select(qid, key)
+    if not seen["rows"]:
+        return found
+    return found.union(_containing_short(docs, key, text, short, seen["rows"], qid, passage))

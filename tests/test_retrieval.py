@@ -311,10 +311,11 @@ def test_recall(spark):
 
 def test_containing_documents(spark):
     docs = {1: "One two three four. Five", 2: "xone two threeish", 3: "one TWO three", 4: "two three four one", 5: "one two three"}
-    asked = {"a": "one two three", "b": "ne two three", "c": "one unseen three", "d": "two three fo"}
+    asked = {"a": "one two three", "b": "ne two three", "c": "one unseen three", "d": "two three fo",
+             "e": "ne t", "f": ".", "g": "", "h": "TWO", "i": "no such"}
     frame = spark.createDataFrame(list(docs.items()), "doc long, text string")
     index = keyword.build_index(frame, scratch_path(spark, "t"), "doc", "text")
-    passages = spark.createDataFrame(list(asked.items()), "q string, passage string")
+    passages = spark.createDataFrame([*asked.items(), ("null", None)], "q string, passage string")
     got = containing_documents(index, frame, "text", passages, "q", "passage")
     want = sorted((q, d) for q, p in asked.items() for d, t in docs.items() if p in t)
     assert sorted(tuple(r) for r in got.collect()) == want
