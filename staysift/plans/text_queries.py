@@ -452,7 +452,7 @@ def _synced(spark, folder):
     schema = read_table(spark, folder, "documents").schema
     files = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(folder)
     rows = files.select("doc_id", "lang", "text")
-    sync_index(rows, path, "doc_id", "text", fixed_chunks, newest_first=[F.desc("text")])
+    sync_index(rows, path, "doc_id", "text", fixed_chunks, version=F.lit(0))
     return path
 
 

@@ -11,17 +11,19 @@ from staysift.operators.keyword import KeywordIndex, make_postings, open_index,
 from staysift.operators.ranking import latest_per_key
 from staysift.session import cut_lineage
 
-BATCH = "batch"
+BATCH, VERSION = "batch", "_version"
 
 
 def _live(spark: SparkSession, path: str, table: str, key: str) -> DataFrame:
-    """Rows of the newest batch of every key that is not deleted.
+    """Rows of the newest version of every key that is not deleted.
 
-    The versions table holds a key, a number and a flag per change, so finding the newest is
-    narrow; a key has few versions and is trimmed to one inside every task.
+    The versions table holds a key, its version, a batch number and a flag per change, so finding
+    the newest is narrow; a key has few versions and is trimmed to one inside every task. Of equal
+    versions the one that came last counts.
     """
     versions = spark.read.parquet(f"{path}/versions")
-    newest = latest_per_key(versions, key, [F.desc(BATCH)]).where(~F.col("deleted"))
+    order = [F.desc_nulls_last(VERSION), F.desc(BATCH)]
+    newest = latest_per_key(versions, key, order).where(~F.col("deleted"))
     rows = spark.read.parquet(f"{path}/{table}")
     newest = newest.select(key, F.col(BATCH).alias("_newest"))
     found = join_on_unique(rows, newest, key, spread_by="chunk_id")
@@ -38,15 +40,15 @@ def sync_index(
     key: str,
     text: str,
     chunker: Callable[[DataFrame, str, str], DataFrame],
-    newest_first: list[Column],
+    version: Column,
     deleted: Column | None = None,
 ) -> None:
     """Take all rows of a streaming frame that were not taken before, then stop.
 
     Each micro-batch is written to a folder named by its number, which a replay overwrites, so a
     lost executor or a restart changes nothing. A key seen again replaces its older chunks; rows
-    where ``deleted`` is true only remove them. ``newest_first`` orders versions of a key that
-    arrive together. Progress is kept below ``path``, which has to be a shared folder.
+    where ``deleted`` is true only remove them. The greatest ``version`` of a key (a column, or a
+    struct of several) is the newest, in whatever batch it arrives. Progress is kept below ``path``, which has to be a shared folder.
     """
     flag = F.lit(False) if deleted is None else F.coalesce(deleted, F.lit(False))
 
@@ -54,9 +56,11 @@ def sync_index(
         def write(df: DataFrame, table: str) -> None:
             df.write.mode("overwrite").parquet(f"{path}/{table}/{BATCH}={number}")
 
-        rows = cut_lineage(latest_per_key(batch.withColumn("deleted", flag), key, newest_first))
-        write(rows.select(key, "deleted"), "versions")
-        write(chunker(rows.where(~F.col("deleted")).drop("deleted"), key, text), "chunks")
+        marked = batch.withColumns({"deleted": flag, VERSION: version})
+        order = [F.desc_nulls_last(VERSION), F.desc(text)]
+        rows = cut_lineage(latest_per_key(marked, key, order))
+        write(rows.select(key, "deleted", VERSION), "versions")
+        write(chunker(rows.where(~F.col("deleted")).drop("deleted", VERSION), key, text), "chunks")
         written = batch.sparkSession.read.parquet(f"{path}/chunks/{BATCH}={number}")
         write(make_postings(written, "chunk_id", "text", key).sortWithinPartitions("term"), "postings")
 

@@ -24,7 +24,7 @@ def stream(spark, folder):
 def sync(spark, folder, path, chunker=fixed_chunks):
     sync_index(
         stream(spark, folder), path, "id", "text", chunker,
-        newest_first=[F.desc("version")], deleted=F.col("gone"),
+        version=F.col("version"), deleted=F.col("gone"),
     )
 
 
@@ -51,6 +51,9 @@ def test_two_runs_equal_one_batch(spark, tmp_path, chunker):
     before = rows_of(live_chunks(spark, path, "id"))
     sync(spark, folder, path, chunker)  # nothing new: nothing changes
     assert rows_of(live_chunks(spark, path, "id")) == before
+    drop_files(spark, folder, [(5, 0, False, "older, but late"), (3, 1, True, None)])
+    sync(spark, folder, path, chunker)
+    assert rows_of(live_chunks(spark, path, "id")) == before
 
 
 def test_compacted_index_equals_a_fresh_one(spark, tmp_path):
