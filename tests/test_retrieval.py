@@ -182,7 +182,7 @@ def test_vector_topk_cells(vector_frames, k, pivots, block):
     assert neighbours(got) == brute_cosine(v, q, k)
 
 
-def test_many_queries_take_the_cells(vector_frames, monkeypatch):
+def test_many_queries_are_cut_into_blocks(vector_frames):
     v, q, frame, asked = vector_frames
     got = vector_topk(frame, asked, 3, "vid", "qid", query_numbers=8)
     assert neighbours(got) == brute_cosine(v, q, 3)
