@@ -27,7 +27,8 @@ INPUTS, CLEAR, FACTORS = 4096, 10.8, 4
 SAMPLE = 20_000
 REJECT = 0.3
 _WORD = re.compile(r"\w+")
-_KNOWN = 300_000
+# Tokens that a worker remembers, with all their buckets, and with the inputs among them.
+_KNOWN, _KNOWN_INPUTS = 60_000, 250_000
 
 
 @dataclass
@@ -146,17 +147,30 @@ def fit_machine(
     return Machine(buckets, float(theta[-1, 0]), theta[:-1, 0].copy(), theta[:-1, 1:].copy())
 
 
-def machine_score(machine: Machine, text: str) -> float:
+def machine_scores(machine: Machine, texts: list[str]) -> list[float]:
     """Between 0 and 1; higher is likelier toxic."""
-    found = terms(text)
-    got = np.fromiter(found, np.int64, len(found))
-    at = np.searchsorted(machine.buckets, got)
-    at = at[at < len(machine.buckets)] if not len(machine.buckets) else np.minimum(at, len(machine.buckets) - 1)
-    hit = at[machine.buckets[at] == got] if len(at) else at
-    own = machine.factors[hit]
-    pairs = ((own.sum(axis=0) ** 2).sum() - (own**2).sum()) / 2
-    raw = machine.bias + machine.weights[hit].sum() + pairs
-    return float(1 / (1 + np.exp(-np.clip(raw, -700, 700))))
+    # Most tokens have no input of the machine, and the worker remembers that.
+    known: dict[str, tuple] = once(f"toxicity {zlib.crc32(machine.buckets.tobytes())}", dict)
+    place = {int(b): i for i, b in enumerate(machine.buckets)}
+    scores = []
+    for text in texts:
+        if len(known) > _KNOWN_INPUTS:
+            known.clear()
+        found: set[int] = set()
+        for token in set(text.lower().split()):
+            got = known.get(token)
+            if got is None:
+                got = tuple(place[b] for b in buckets_of(token) if b in place)
+                if len(token) <= 64:
+                    known[token] = got
+            if got:
+                found.update(got)
+        hit = np.array(sorted(found), np.int64)
+        own = machine.factors[hit]
+        pairs = ((own.sum(axis=0) ** 2).sum() - (own**2).sum()) / 2
+        raw = machine.bias + machine.weights[hit].sum() + pairs
+        scores.append(float(1 / (1 + np.exp(-np.clip(raw, -700, 700)))))
+    return scores
 
 
 def train(
@@ -210,7 +224,7 @@ def score(df: DataFrame, machine: Machine, text: str = "text", name: str = "scor
 
     def rows(batches):
         for batch in batches:
-            scores = [machine_score(machine, t) for t in texts_of(batch.column(text))]
+            scores = machine_scores(machine, texts_of(batch.column(text)))
             yield batch.append_column(name, pa.array(scores, pa.float64()))
 
     schema = ", ".join(f"`{n}` {k}" for n, k in base.dtypes)
