@@ -26,6 +26,8 @@ THRESHOLD = 200
 GRAM = 32
 # A gram with more occurrences than this has its strings counted one by one, in all tasks.
 HOT = 20_000
+# Documents handled at once, to bound what a worker holds.
+SLICE = 2000
 # Bytes handled at once; places in them fit into the low 24 bits of a hash.
 _PART = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
@@ -180,7 +182,7 @@ def _anchors(docs: DataFrame, threshold: int, whole: bool) -> DataFrame:
     """
 
     def rows(batches):
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             data, offsets = text_bytes(batch.column(0))
             gram, doc, place, left, count = anchors(data, offsets, threshold)
             if not len(gram):
