@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -24,8 +25,9 @@ _PIECES = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 # Only pieces of these characters are split here; letters beyond them are left to the library,
 # whose Unicode tables may be of another version.
 _PLAIN = re.compile("[\t\n\r -~\xa0-ɏ]*")
-# Dictionaries are emptied at this many entries; longer pieces are not kept.
-_KEPT, _LONG = 400_000, 64
+# Entries of a dictionary; when it is full it becomes the old one, whose entries come back when they
+# are met. Longer pieces are not kept.
+_KEPT, _LONG = 250_000, 64
 
 
 def _byte_characters() -> dict[int, str]:
@@ -60,15 +62,26 @@ class PieceCoder:
             rf"| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
         ).findall
         self.characters = _byte_characters()
+        self.blank = self.characters[0x20]
         self.by_piece: dict[str, bytes] = {}
         self.by_token: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
     def _mapped(self, mapped: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(mapped)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, piece: str) -> bytes:
-        if not _PLAIN.fullmatch(piece):
-            return b"".join(self._mapped(m) for m, _ in self.splitter.pre_tokenize_str(piece))
+        """Ids of a piece that was not met before."""
+        if not piece:
+            return b""
+        if piece.isascii():
+            if piece.isalpha():
+                return self._mapped(piece)
+            if piece[0] == " " and piece[1:].isalpha():
+                return self._mapped(self.blank + piece[1:])
+        elif not _PLAIN.fullmatch(piece):
+            return b"".join([self._mapped(m) for m, _ in self.splitter.pre_tokenize_str(piece)])
         ids = []
         for token in self.tokens_of(piece):
             known = self.by_token.get(token)
@@ -82,9 +95,10 @@ class PieceCoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes; ``texts`` should be a few MB at most."""
         whole = [not self.byte_level or bool(self.added.search(t)) for t in texts]
-        for kept in (self.by_piece, self.by_token):
-            if len(kept) > _KEPT:
-                kept.clear()
+        if len(self.by_piece) > _KEPT:
+            self.old_pieces, self.by_piece = self.by_piece, {}
+        if len(self.by_token) > _KEPT:
+            self.by_token.clear()
         cut, new = [], set()
         for text, direct in zip(texts, whole):
             if direct:
@@ -95,10 +109,11 @@ class PieceCoder:
                 pieces = text.replace(" ", "\0 ").split("\0")
             cut.append(pieces)
             new.update(pieces)
-        known = self.by_piece
+        known, old = self.by_piece, self.old_pieces
         new.difference_update(known)
         for piece in new:
-            known[piece] = self._piece(piece)
+            ids = old.get(piece)
+            known[piece] = self._piece(piece) if ids is None else ids
         out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
         for piece in new:
             if len(piece) > _LONG:
