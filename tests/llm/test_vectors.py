@@ -125,6 +125,33 @@ def test_a_group_larger_than_every_window_is_counted_in_full(spark, monkeypatch,
     assert near(df, window=window, passes=24) == plain_near(rows)
 
 
+def test_pairs_in_a_hot_cluster_are_found_among_many_neighbours(spark):
+    rng = np.random.default_rng(6)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def beside(v, cosine):
+        other = rng.normal(size=v.shape)
+        other = unit(other - (other * v).sum(axis=1, keepdims=True) * v)
+        return cosine * v + math.sqrt(1 - cosine**2) * other
+
+    centre = unit(rng.normal(size=(1, 64)))
+    cluster = beside(np.repeat(centre, 3000, axis=0), math.sqrt(0.93))
+    vectors = np.vstack([cluster, beside(cluster[:300], 0.982), unit(rng.normal(size=(3000, 64)))])
+    near_ones = vectors @ vectors.T >= projection.THRESHOLD
+    want = near_ones.sum(axis=1) - 1
+    assert (want[:300] > 0).all() and want.max() < 10
+    rows = [(i, [float(x) for x in v], 0, "q") for i, v in enumerate(vectors)]
+    got = near(spark.createDataFrame(rows, SCHEMA).repartition(4))
+    assert [n for _, n, *_ in sorted(got)] == want.tolist()
+
+
+def test_equal_vectors_count_each_other(spark):
+    rows = [(i, [1.0, 0.0 if i < 200 else 0.1], i % 2, "q") for i in range(300)]
+    assert near(spark.createDataFrame(rows, SCHEMA).repartition(4)) == plain_near(rows)
+
+
 def test_queries_over_embeddings(spark):
     from staysift.llm.queries import QUERIES
 
