@@ -47,9 +47,20 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_STOP = re.compile(r"[{};]|\"(?:[^\"\\]|\\.)*\"?|'(?:[^'\\]|\\.)*'?", re.S)
+_LENGTH = re.compile(r"([+-]?(?:\d+\.?\d*|\.\d+))(px|em|rem|in|cm|mm|pt|pc)?$")
+_SIDES = re.compile(r"\s*(<=|>=|<|>|=)\s*")
 _SIMPLE = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)$")
 DEEPEST = 400
+# The screen that pages are read on (px), its other media features, and px per CSS unit.
+SCREEN = {"width": 1280.0, "height": 800.0, "device-width": 1280.0, "device-height": 800.0}
+FEATURES = {
+    "orientation": "landscape", "hover": "hover", "any-hover": "hover", "pointer": "fine", "any-pointer": "fine",
+    "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference", "prefers-contrast": "no-preference",
+    "scripting": "enabled", "update": "fast", "forced-colors": "none", "display-mode": "browser", "grid": "0",
+    "color": "8", "monochrome": "0", "inverted-colors": "none",
+}
+PIXELS = {"px": 1, "em": 16, "rem": 16, "in": 96, "cm": 96 / 2.54, "mm": 96 / 25.4, "pt": 96 / 72, "pc": 16}
 
 
 class Node:
@@ -167,41 +178,237 @@ def parse(page: str) -> Node:
     return root
 
 
-def declarations(style: str) -> dict[str, str]:
-    found = {}
+def declarations(style: str) -> tuple[dict[str, str], dict[str, str]]:
+    """Declared values by name: the normal ones and the important ones."""
+    normal, important = {}, {}
     for part in style.split(";"):
         name, _, value = part.partition(":")
-        found[name.strip().lower()] = value.replace("!important", "").strip().lower()
-    return found
+        value, mark, _ = value.lower().partition("!")
+        (important if mark else normal)[name.strip().lower()] = value.strip()
+    return normal, important
+
+
+def _pixels(value: str) -> float | None:
+    m = _LENGTH.match(value.strip())
+    if not m or not m.group(2) and float(m.group(1)):
+        return None
+    return float(m.group(1)) * PIXELS[m.group(2) or "px"]
+
+
+def _feature(test: str) -> bool | None:
+    """Whether a media feature (without its parentheses) holds on SCREEN; None if it is unknown."""
+    name, colon, value = (x.strip() for x in test.partition(":"))
+    if colon:
+        low = name.startswith("min-")
+        side = SCREEN.get(name[4:] if low or name.startswith("max-") else name)
+        if side is not None:
+            size = _pixels(value)
+            if size is None:
+                return None
+            return side >= size if low else side <= size if name.startswith("max-") else side == size
+        return FEATURES[name] == value if name in FEATURES else None
+    parts = _SIDES.split(test.strip())
+    if len(parts) in (3, 5):
+        sizes = [SCREEN[p] if p in SCREEN else _pixels(p) for p in parts[::2]]
+        if None in sizes or not any(p in SCREEN for p in parts[::2]):
+            return None
+        return all(
+            {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b, "=": a == b}[sign]
+            for a, sign, b in zip(sizes, parts[1::2], sizes[1:])
+        )
+    if name in SCREEN:
+        return True
+    return FEATURES[name] not in ("0", "none", "no-preference") if name in FEATURES else None
+
+
+def _terms(text: str) -> list[str]:
+    """Words and whole (...) groups of a condition."""
+    out, depth, at = [], 0, 0
+    for i, c in enumerate(text + " "):
+        if c.isspace() and not depth:
+            if text[at:i].strip():
+                out.append(text[at:i].strip())
+            at = i
+        elif c == "(":
+            if not depth and text[at:i].strip():  # "and(": a word ends here
+                out.append(text[at:i].strip())
+                at = i
+            depth += 1
+        elif c == ")":
+            depth = max(0, depth - 1)
+            if not depth:
+                out.append(text[at : i + 1].strip())
+                at = i + 1
+    return out
+
+
+def _condition(terms: list[str]) -> bool | None:
+    """A media condition of words and groups: all of its terms, any of them, or not the one."""
+    if not terms or len(terms) > DEEPEST:
+        return None
+    if terms[0] == "not":
+        inner = _condition(terms[1:])
+        return None if inner is None else not inner
+    if len(terms) == 1:
+        term = terms[0]
+        if term in ("screen", "all"):
+            return True
+        if term in ("print", "speech", "tty", "tv", "projection", "handheld", "braille", "embossed", "aural"):
+            return False
+        if not (term.startswith("(") and term.endswith(")")):
+            return False if re.fullmatch(r"[\w-]+", term) else None
+        inner = _terms(term[1:-1])
+        nested = inner and (inner[0].startswith("(") or inner[0] == "not")
+        return _condition(inner) if nested else _feature(term[1:-1])
+    word = terms[1]
+    if word not in ("and", "or") or any(t != word for t in terms[1::2]) or len(terms) % 2 == 0:
+        # "screen and not (...)"
+        if word == "and" and terms[2:3] == ["not"]:
+            sides = [_condition(terms[:1]), _condition(terms[2:])]
+            return False if False in sides else None if None in sides else True
+        return None
+    sides = [_condition([t]) for t in terms[::2]]
+    sure = word == "or"
+    return sure if sure in sides else None if None in sides else not sure
+
+
+def on_screen(media: str) -> bool:
+    """Whether a media query list holds on a wide screen; what is not understood does not hold."""
+    if not media.strip():
+        return True
+    queries, depth, at = [], 0, 0
+    media = media.lower()
+    for i, c in enumerate(media + ","):
+        depth += (c == "(") - (c == ")")
+        if c == "," and (depth <= 0 or i == len(media)):
+            queries.append(media[at:i])
+            at, depth = i + 1, 0
+    for query in queries:
+        terms = _terms(query)
+        if terms[:1] == ["only"]:
+            terms = terms[1:]
+        negated = terms[:1] == ["not"] and len(terms) > 1 and not terms[1].startswith("(")
+        held = _condition(terms[1:] if negated else terms)
+        if held is not None and held != negated:
+            return True
+    return False
+
+
+def _block(text: str, at: int) -> tuple[str, str, str, int]:
+    """The next statement from ``at``: what ends it ("{", ";", "}" or ""), its head, its block, its end."""
+    start, depth, opened = at, 0, 0
+    for m in _STOP.finditer(text, at):
+        c = m.group()
+        if c == "{":
+            if not depth:
+                opened = m.end()
+            depth += 1
+        elif c == "}" and depth:
+            depth -= 1
+            if not depth:
+                return "{", text[start : opened - 1].strip(), text[opened : m.start()], m.end()
+        elif c in ";}" and not depth:
+            return c, text[start : m.start()].strip(), "", m.end()
+    if depth:  # an open block ends with the sheet
+        return "{", text[start : opened - 1].strip(), text[opened:], len(text)
+    return "", text[start:].strip(), "", len(text)
+
+
+def _holds(head: str) -> bool:
+    """Whether the rules inside an at-rule with this head apply on a wide screen."""
+    name, rest = re.match(r"@([\w-]*)(.*)", head, re.S).groups()
+    if name.lower() == "media":
+        return on_screen(rest)
+    if name.lower() == "supports":
+        return not rest.strip().lower().startswith("not")
+    return name.lower() == "layer"
 
 
 class Styles:
-    """Display, visibility and margins by simple selectors (element, class, id), from style elements."""
+    """Display, visibility and margins by simple selectors (element, class, id), from style elements.
+
+    At-rules count where they hold on a wide screen. Of several rules the more specific one wins,
+    then the later one; rules outside layers win over those inside, important ones over all.
+    """
 
     def __init__(self, root: Node):
-        self.rules: list[tuple[str, set[str], set[str], dict[str, str]]] = []
+        self._found, self._layers = [], []
         todo = [root]
         while todo:
             node = todo.pop()
-            if node.tag == "style":
-                text = re.sub(r"/\*.*?\*/", "", "".join(c for c in node.children if isinstance(c, str)), flags=re.S)
-                for selectors, body in _RULE.findall(text):
-                    for selector in selectors.split(","):
-                        m = _SIMPLE.match(selector.strip())
-                        if m and m.group(0):
-                            marks = re.findall(r"[.#][\w-]+", m.group(2))
-                            self.rules.append(
-                                ((m.group(1) or "*").lower(), {x[1:] for x in marks if x[0] == "."},
-                                 {x[1:] for x in marks if x[0] == "#"}, declarations(body))
-                            )
-            todo += [c for c in node.children if isinstance(c, Node)]
+            if node.tag == "style" and on_screen(node.attributes.get("media", "")):
+                text = "".join(c for c in node.children if isinstance(c, str))
+                text = re.sub(r"/\*.*?(?:\*/|\Z)|<!--|-->", " ", text, flags=re.S)
+                self._read(text, None, 0)
+            if node.tag != "template":
+                todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+        self.normal = self._ordered(0)
+        self.important = self._ordered(1)
+
+    def _layer(self, name: str) -> str:
+        if name not in self._layers:
+            self._layers.append(name)
+        return name
+
+    def _read(self, text: str, layer: str | None, depth: int) -> None:
+        at = 0
+        while at < len(text) and depth < DEEPEST:
+            end, head, body, at = _block(text, at)
+            if head.startswith("@"):
+                name = head[6:].strip() if head.lower().startswith("@layer") else None
+                if name is not None and end == ";":
+                    for n in name.split(","):
+                        self._layer(n.strip())
+                elif end == "{" and _holds(head):
+                    own = layer
+                    if name is not None:
+                        own = self._layer(name or f"layer {len(self._layers)}")
+                    self._read(body, own, depth + 1)
+            elif end == "{":
+                self._add(head, self._own(body, 0), layer)
+
+    def _own(self, body: str, depth: int) -> str:
+        """The declarations of a rule: without nested rules, with those of nested at-rules that hold."""
+        if "{" not in body:
+            return body
+        out, at = [], 0
+        while at < len(body) and depth < DEEPEST:
+            end, head, inner, at = _block(body, at)
+            if end != "{":
+                out.append(head)
+            elif head.startswith("@") and _holds(head):
+                out.append(self._own(inner, depth + 1))
+        return ";".join(out)
+
+    def _add(self, selectors: str, body: str, layer: str | None) -> None:
+        found = declarations(body)
+        for selector in selectors.split(","):
+            m = _SIMPLE.match(selector.strip())
+            if m and m.group(0):
+                marks = re.findall(r"[.#][\w-]+", m.group(2))
+                tag = (m.group(1) or "*").lower()
+                weight = (sum(x[0] == "#" for x in marks), sum(x[0] == "." for x in marks), tag != "*")
+                classes = {x[1:] for x in marks if x[0] == "."}
+                self._found.append((layer, weight, tag, classes, {x[1:] for x in marks if x[0] == "#"}, found))
+
+    def _ordered(self, kind: int) -> list[tuple[str, set[str], set[str], dict[str, str]]]:
+        """Rules that declare something of a kind, the winning ones last."""
+
+        def rank(rule):
+            place = len(self._layers) if rule[0] is None else self._layers.index(rule[0])
+            return -place if kind else place, rule[1]
+
+        return [(*r[2:5], r[5][kind]) for r in sorted(self._found, key=rank) if r[5][kind]]
 
     def of(self, node: Node) -> dict[str, str]:
-        classes, out = set(node.attributes.get("class", "").split()), {}
-        for tag, needed, ids, found in self.rules:
-            if tag in ("*", node.tag) and needed <= classes and ids <= {node.attributes.get("id", "")}:
-                out |= found
-        return out | declarations(node.attributes.get("style", "")) if "style" in node.attributes else out
+        classes, ids, out = set(node.attributes.get("class", "").split()), {node.attributes.get("id", "")}, {}
+        own = declarations(node.attributes["style"]) if "style" in node.attributes else ({}, {})
+        for rules, inline in ((self.normal, own[0]), (self.important, own[1])):
+            for tag, needed, named, found in rules:
+                if tag in ("*", node.tag) and needed <= classes and named <= ids:
+                    out |= found
+            out |= inline
+        return out
 
 
 class Writer:

@@ -269,6 +269,39 @@ def test_pages(page, text):
     assert html_layout.visible_text(page) == text
 
 
+STYLED = [
+    ("@media print { .n { display:none } }", "y\n\nz"),
+    ("@media (max-width:600px){.n{display:none}}", "y\n\nz"),
+    ("@media screen and (min-width: 40em) { .n { display:none } }", "z"),
+    ("@media only screen and (max-width:600px), print{.n{display:none}} #i{display:none}", "y"),
+    ("@media (400px <= width < 900px) {.n{display:none}}", "y\n\nz"),
+    ("@media not print { .n{display:none} }", "z"),
+    ("@media screen { @media (orientation: portrait) { .n{display:none} } p#i{display:none} }", "y"),
+    ("@media (min-width:1px) and (unheard-of: 3) { .n{display:none} }", "y\n\nz"),
+    ("@supports (display: grid) { .n{display:none} }", "z"),
+    ("@import 'x.css'; @font-face { font-family: n } .n{display:none}", "z"),
+    (".n { color: red; @media print { display: none } }", "y\n\nz"),
+    ("p.n{display:block} .n{display:none}", "y\n\nz"),
+    ("#i{display:none} p{display:block}", "y"),
+    (".n{display:none!important} p.n{display:block}", "z"),
+    (".n{display:block} @layer a { p.n{display:none} }", "y\n\nz"),
+    (".n:before{content:'}'} .n{display:none}", "z"),
+]
+
+
+@pytest.mark.parametrize("style, text", STYLED)
+def test_style_rules_hold_as_on_a_wide_screen(style, text):
+    page = f"<style>{style}</style><p class=n>y<p id=i>z"
+    assert html_layout.visible_text(page) == text
+
+
+def test_style_elements_count_by_order_and_media():
+    hide, show = "<style>.n{display:none}</style>", "<style>.n{display:block}</style>"
+    assert html_layout.visible_text(hide + show + "<p class=n>y") == "y"
+    assert html_layout.visible_text(show + hide + "<p class=n>y") == ""
+    assert html_layout.visible_text("<style media=print>.n{display:none}</style><p class=n>y") == "y"
+
+
 def plain_page(rng, depth=0):
     """A random tree as markup, some end tags left out, and the words that are visible."""
     out, words = [], []
