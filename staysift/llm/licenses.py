@@ -4,12 +4,17 @@ A text's words are cut into overlapping grams; of each few neighbouring grams th
 hash is its fingerprint, so any WINDOW + GRAM - 1 equal words in a row share one. The fingerprints
 of all templates form an inverted index. A template whose fingerprints fall into a text near a
 common diagonal is aligned with that stretch of the text word by word, inside a band around it.
+
+Edits may leave no such run of equal words, in a short notice or all over a long one. What the
+coverage forces is the number of template words in a stretch of bounded length, in any order: the
+stretches that reach it, counted over an index of single words, are candidates too.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +102,18 @@ def winnow(hashes: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[
     return mixed[at], at
 
 
+def least_of(size: int, coverage: float) -> int:
+    """The fewest words of a template of ``size`` words that are a match."""
+    least = max(1, int(coverage * size))
+    return least if least >= coverage * size else least + 1
+
+
+def longest_of(size: int, coverage: float) -> int:
+    """The longest stretch of text, in words, that a match of such a template may take."""
+    longest = int((size + 1) / coverage) + 1
+    return longest if longest * coverage <= size + 1 else longest - 1
+
+
 class Index:
     """Inverted index of the templates' fingerprints."""
 
@@ -114,10 +131,36 @@ class Index:
         self.prints = np.array([r[0] for r in rows], np.uint64)
         self.template = np.array([r[1] for r in rows], np.int64)
         self.place = np.array([r[2] for r in rows], np.int64)
+        # Single words: sorted hashes, and which templates hold each (the last row: none does).
+        self.vocabulary = np.unique(np.concatenate([word_hashes(w) for w in self.words] + [np.zeros(0, np.uint64)]))
+        self.holds = np.zeros((len(self.vocabulary) + 1, len(self.names)), bool)
+        for t, words in enumerate(self.words):
+            self.holds[np.searchsorted(self.vocabulary, word_hashes(words)), t] = True
+        self.bags = [Counter(w) for w in self.words]
+
+    def dense(self, hashes: np.ndarray, coverage: float) -> list[tuple[int, int]]:
+        """Template and first place of each stretch that may hold ``coverage`` of the template.
+
+        The stretch is as long as a match may be and starts with a word of the template.
+        """
+        out = []
+        if not len(hashes) or not len(self.vocabulary):
+            return out
+        ids = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        ids[self.vocabulary[ids] != hashes] = len(self.vocabulary)
+        known = np.flatnonzero(ids < len(self.vocabulary))  # only these count and start a stretch
+        held = self.holds[ids[known]]
+        for t in np.flatnonzero(held.sum(axis=0) >= [least_of(len(w), coverage) for w in self.words]):
+            at = known[held[:, t]]
+            size = len(self.words[t])
+            ends = np.searchsorted(at, at + longest_of(size, coverage))
+            starts = at[ends - np.arange(len(at)) >= least_of(size, coverage)]
+            out += [(int(t), int(a)) for a in starts]
+        return out
 
-    def hits(self, words: list[str]) -> list[tuple[int, int, int]]:
+    def hits(self, hashes: np.ndarray) -> list[tuple[int, int, int]]:
         """Template, place in the text and place in the template of each shared fingerprint."""
-        prints, at = winnow(word_hashes(words), self.gram, self.window)
+        prints, at = winnow(hashes, self.gram, self.window)
         low = np.searchsorted(self.prints, prints, "left")
         high = np.searchsorted(self.prints, prints, "right")
         return [
@@ -163,8 +206,9 @@ def align(template: list[str], text: list[str], shift: int, band: int) -> list[t
 def scan_text(text: str, index: Index, coverage: float = COVERAGE, band: int = BAND):
     """Matches in one text: template name, matched words, template words, first and last character.
 
-    Hits of one template whose diagonals and places lie close together are one candidate; the band
-    around the diagonal is ``band`` words, or a quarter of a shorter template. A match
+    Every stretch that holds ``coverage`` of a template in order is reported, or lies across a match
+    with as many words or more. Hits of one template whose diagonals and places lie close together
+    are one candidate; the band around the diagonal is ``band`` words, or a quarter of a shorter template. A match
     keeps ``coverage`` of the template's words or more, within a stretch of text not much longer. Of
     matches that lie inside one with more matched words none is reported again.
     """
@@ -173,8 +217,9 @@ def scan_text(text: str, index: Index, coverage: float = COVERAGE, band: int = B
         lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     spans = [m.span() for m in _WORD.finditer(lowered)]
     words = [lowered[a:b] for a, b in spans]
-    found = []
-    hits = sorted(index.hits(words))
+    found, places = [], []
+    hashes = word_hashes(words)
+    hits = sorted(index.hits(hashes))
     i = 0
     while i < len(hits):
         t, first, place = hits[i]
@@ -193,7 +238,26 @@ def scan_text(text: str, index: Index, coverage: float = COVERAGE, band: int = B
             a, b = pairs[0][1], pairs[-1][1]
             if (b - a + 1) * coverage <= len(template) + 1:
                 found.append((len(pairs), len(template), index.names[t], spans[a][0], spans[b][1]))
+                places.append((t, len(pairs), a, b))
         i = j
+    for t, a in index.dense(hashes, coverage):
+        template = index.words[t]
+        least, longest = least_of(len(template), coverage), longest_of(len(template), coverage)
+        stretch = words[a : a + longest]
+        # No alignment holds more words than the two have in common in any order.
+        most = sum((Counter(stretch) & index.bags[t]).values())
+        if most < least or any(o == t and first <= a <= last and n >= most for o, n, first, last in places):
+            continue
+        pairs = align(template, stretch, 0, max(len(template) - least, longest - least))
+        if len(pairs) >= least:
+            first, last = a + pairs[0][1], a + pairs[-1][1]
+            near_ones = [p for p in places if p[0] == t and p[2] <= last and first <= p[3]]
+            if all(p[1] < len(pairs) for p in near_ones):
+                gone = {(index.names[t], spans[p[2]][0], spans[p[3]][1]) for p in near_ones}
+                found = [f for f in found if f[2:] not in gone]
+                places = [p for p in places if p not in near_ones]
+                places.append((t, len(pairs), first, last))
+                found.append((len(pairs), len(template), index.names[t], spans[first][0], spans[last][1]))
     found.sort(key=lambda f: (-f[0], -f[0] / f[1], f[2], f[3]))
     kept = []
     for f in found:
@@ -210,7 +274,7 @@ def scan_licenses(
     ``start`` and ``stop`` (characters of the text), ``matched_text``.
 
     Whole texts are scanned. Null, empty and clean texts give no rows; null and repeated keys are
-    kept as they are, so repeated rows give repeated matches. Templates need GRAM words or more.
+    kept as they are, so repeated rows give repeated matches. Templates need a word or more.
     Other columns are not read.
     """
     chosen = TEMPLATES if templates is None else templates

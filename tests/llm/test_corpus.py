@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
@@ -212,6 +213,32 @@ def test_license_scan_finds_what_full_alignment_finds():
                 assert near, (name, other, text)
 
 
+def test_license_scan_finds_all_that_reaches_the_coverage():
+    rng = random.Random(11)
+    index = licenses.Index(licenses.TEMPLATES)
+    words_of = {n: licenses._WORD.findall(t.lower()) for n, t in licenses.TEMPLATES.items()}
+    texts = ["Released under an MIT License.", "Distributed under the MIT License", "Released, under x the y MIT z License"]
+    for name, words in words_of.items():
+        lost = len(words) - math.ceil(0.8 * len(words))
+        if len(words) < 12:
+            texts += [" ".join([*words[:i], "other", *words[i + 1 :]]) for i in range(len(words)) if lost]
+        for _ in range(3):
+            gone = set(rng.sample(range(len(words)), lost))
+            texts.append(" ".join("other" if i in gone else w for i, w in enumerate(words)))
+        texts.append(" ".join("other" if i % 5 == 4 and i // 5 < lost else w for i, w in enumerate(words)))
+    for text in texts:
+        text = " ".join([*(f"n{rng.randrange(40)}" for _ in range(9)), text, "n1 n2"])
+        got = licenses.scan_text(text, index)
+        plain = [w.lower() for w in licenses._WORD.findall(text)]
+        for found, hit, size, a, b in got:
+            assert size == len(words_of[found]) and hit >= 0.8 * size
+            assert plain_subsequence(words_of[found], licenses._WORD.findall(text[a:b].lower())) == hit
+        for other, template in words_of.items():
+            best = plain_best(template, plain, 0.8)
+            if best >= 0.8 * len(template):
+                assert [g for g in got if g[1] >= best], (other, text)
+
+
 def test_license_scan_of_odd_rows(spark):
     mit = licenses.TEMPLATES["MIT"]
     rows = [(1, None, "a"), (1, "", "a"), (None, f"{mit} x", "a"), (2, f"{mit}\n{mit}", "b"), (2, f"{mit}\n{mit}", "b"),
