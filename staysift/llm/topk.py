@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from staysift.llm.work import numbers
@@ -88,14 +89,19 @@ def _blocks(queries: DataFrame) -> DataFrame:
     return queries.mapInArrow(rows, "dim long, n long, ids binary, values binary")
 
 
-def _round(rows: DataFrame, blocks: list, k: int) -> DataFrame:
-    """Best ``k`` rows of each task for every query of ``blocks`` (bounded by ROUND_BYTES)."""
+def _round(rows: DataFrame, blocks: list, k: int) -> tuple[DataFrame, Broadcast]:
+    """Best ``k`` rows of each task for every query of ``blocks`` (bounded by ROUND_BYTES).
+
+    The blocks lie in the broadcast, which the caller may destroy once the rows are written.
+    """
     held = [(b["dim"], bytes(b["ids"]), bytes(b["values"])) for b in blocks]
+    shared = rows.sparkSession.sparkContext.broadcast(held)
+    del held
 
     def search(batches):
         sides = [
             (dim, np.frombuffer(ids, np.int64), np.frombuffer(values).reshape(-1, dim))
-            for dim, ids, values in held
+            for dim, ids, values in shared.value
         ]
         best: list = [None] * len(sides)
         for batch in batches:
@@ -132,7 +138,7 @@ def _round(rows: DataFrame, blocks: list, k: int) -> DataFrame:
                     names=["query_id", "vec_id", "score", "lane"],
                 )
 
-    return rows.mapInArrow(search, "query_id long, vec_id long, score long, lane long")
+    return rows.mapInArrow(search, "query_id long, vec_id long, score long, lane long"), shared
 
 
 def exact_topk(
@@ -146,7 +152,9 @@ def exact_topk(
     counts. Vectors of different lengths are not compared. Scores beyond a long are cut to it.
     Integer keys; other columns are not read. With fewer than ``k`` candidates all come out.
 
-    Query blocks are handed to the tasks in rounds of bounded size. A task multiplies each of its
+    Query blocks are handed to the tasks in rounds of bounded size, with a scan of the candidates
+    each; a round's best rows are written before the next one is collected, so the driver holds one
+    round whatever the number of queries. A task multiplies each of its
     tiles with each block, selects per tile and merges, so only k rows per query leave it; lanes of
     tasks are merged next, then the lanes.
     """
@@ -157,12 +165,16 @@ def exact_topk(
     numbered = cut_lineage(blocks.withColumn("round", F.pmod(F.xxhash64("ids"), F.lit(rounds))))
     if rounds > 1:
         rows = cut_lineage(rows)
+    order = [F.col("score").desc(), F.col("vec_id")]
     found = None
     for r in range(rounds):
         # About ROUND_BYTES of query vectors: rounds split all blocks evenly by hash.
-        part = _round(rows, numbered.where(F.col("round") == r).collect(), k)
-        found = part if found is None else found.unionByName(part)
-    order = [F.col("score").desc(), F.col("vec_id")]
-    lanes = top_k_per_group(found, ["query_id", "lane"], order, k, "_rank").drop("_rank", "lane")
-    best = top_k_per_group(lanes, "query_id", order, k)
-    return best.select("query_id", "rank", "vec_id", "score")
+        part, shared = _round(rows, numbered.where(F.col("round") == r).collect(), k)
+        lanes = top_k_per_group(part, ["query_id", "lane"], order, k, "_rank").drop("_rank", "lane")
+        # A query is in one round only.
+        best = top_k_per_group(lanes, "query_id", order, k).select("query_id", "rank", "vec_id", "score")
+        if rounds > 1:
+            best = cut_lineage(best)
+            shared.destroy()
+        found = best if found is None else found.unionByName(best)
+    return found

@@ -64,6 +64,48 @@ def test_topk_with_ties_in_many_tiles_and_rounds(spark, monkeypatch):
     assert listed(got) == plain_topk(rows, asked, 5)
 
 
+def test_the_driver_holds_one_block_of_queries_at_a_time(spark, monkeypatch):
+    from pyspark import Broadcast, SparkContext
+
+    from staysift.operators import vectors
+
+    held, most = set(), []
+    make, drop, toarrow = SparkContext.broadcast, Broadcast.destroy, type(spark.range(1)).toArrow
+    collect = type(spark.range(1)).collect
+
+    def made(self, value):
+        out = make(self, value)
+        held.add(id(out))
+        most.append(len(held))
+        return out
+
+    def dropped(self, blocking=False):
+        held.discard(id(self))
+        return drop(self, blocking)
+
+    fetched = []
+    monkeypatch.setattr(SparkContext, "broadcast", made)
+    monkeypatch.setattr(Broadcast, "destroy", dropped)
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda self: (fetched.append(len(held)), collect(self))[1])
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", lambda self: (fetched.append(len(held)), toarrow(self))[1])
+    for name, value in (("QUERIES", 11), ("ROUND_BYTES", 1500)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=6)], 0, "q") for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = topk.exact_topk(df, df.where("vec_id % 5 = 0"), 3)
+    assert len(most) > 1 and max(most) == 1 and max(fetched) == 0 and not held
+    assert listed(found) == plain_topk(rows, [i for i in range(300) if i % 5 == 0], 3)
+    most.clear(), fetched.clear()
+    asked = df.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "q")
+    near_ones = vectors.vector_topk(df, asked, 3, "vec_id", "q", query_numbers=60)
+    assert len(most) > 1 and max(most) == 1 and max(fetched) == 0 and not held
+    unit = np.array([v for _, v, *_ in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    got = {(r.q, r["rank"]): r.vec_id for r in near_ones.collect()}
+    assert got == {(i, n): int(j) for i in range(0, 300, 5) for n, j in enumerate(np.argsort(-(unit @ unit[i]))[:3], 1)}
+
+
 def test_products_are_exact():
     big = np.array([[2.0**40, -(2.0**40) + 1], [3.0, 5.0]])
     assert topk.products(big, big).tolist() == [
