@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from staysift.llm.quality_rules import SPELLINGS
+
 OP5 = """
 WITH v AS (
   SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::HUGEINT)) AS q
@@ -126,3 +128,40 @@ sources AS (
 )
 SELECT key AS doc_id, size, source_size, target, taken FROM taken JOIN sources USING (sid)
 """.replace("PRIMES", "[1048583, 1048589, 1048601, 1048609, 1048613, 1048627, 1048633, 1048661, 1048681, 1048703]")
+
+# The table of rules once more, over words, lines and windows of three words as rows.
+OP13 = r"""
+WITH numbered AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+texts AS (
+  SELECT row, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM numbered
+), windows AS (
+  SELECT row, i, count(*) OVER (PARTITION BY row, words[i], words[i + 1], words[i + 2]) AS times
+  FROM (SELECT row, words, unnest(range(1, len(words) - 1)) AS i FROM texts)
+), repeats AS (
+  SELECT row, count(DISTINCT place) AS n_repeat_words
+  FROM (SELECT row, unnest([i, i + 1, i + 2]) AS place FROM windows WHERE times > 1) GROUP BY row
+), counted AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         len(regexp_extract_all(text, '!')) AS n_exclamations,
+         len(regexp_extract_all(text, '\p{Lu}')) AS n_capitals,
+         len(list_filter(words, lambda w: w IN (STOP))) AS n_stop_words,
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         len(list_filter(lines, lambda x: regexp_matches(x, '^[ \t]*[-*•·‣]'))) AS n_bullet_lines,
+         len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_cut_lines
+  FROM texts LEFT JOIN repeats USING (row)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND n_words <= 500000
+       AND word_chars / n_words BETWEEN 2 AND 15 AND n_symbols / n_words <= 0.1
+       AND n_exclamations / n_words <= 0.1 AND n_capitals / word_chars <= 0.3
+       AND n_stop_words / n_words >= 0.02 AND n_repeat_words / n_words <= 0.5
+       AND n_dup_lines / n_lines <= 0.5 AND n_bullet_lines / n_lines <= 0.9
+       AND n_cut_lines / n_lines <= 0.3 AS kept
+FROM judged
+""".replace("STOP", ", ".join(f"'{w}'" for w in SPELLINGS))

@@ -11,6 +11,7 @@ from staysift.llm import (
     mixing,
     packing,
     projection,
+    quality_rules,
     simhash,
     suffix,
     token_store,
@@ -114,3 +115,13 @@ def op2_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality_rules.judge(docs).select("doc_id", *[f"quality.{c}" for c in counts])
+
+
+CHECKS["op13_quality_rules"] = checks.OP13.strip()
