@@ -165,3 +165,73 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        AND n_cut_lines / n_lines <= 0.3 AS kept
 FROM judged
 """.replace("STOP", ", ".join(f"'{w}'" for w in SPELLINGS))
+
+# CRC-32 of an ASCII text: eight shifts a character.
+CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(TEXT) + 1),
+  lambda i: ord(substring(TEXT, i, 1))::BIGINT)),
+  lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda t, z: CASE WHEN t & 1 = 1 THEN xor(t >> 1, 3988292384) ELSE t >> 1 END)), 4294967295)"""
+
+# The repair as a walk through the grammar's states (0 start, 1 system, 2 user, 3 assistant), turn by
+# turn, with the cheapest and least script to each state.
+OP11 = """
+WITH RECURSIVE named AS (
+  SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations
+), drawn AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, CRC % 20 AS kind FROM named
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM drawn WHERE kind <> 0
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         substring(role, 1, 1) AS c,
+         lag(substring(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS before,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+         NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+         NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS cut
+  FROM damaged
+), faults AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+         count(*) FILTER (blank)::BIGINT AS blank, count(*) FILTER (NOT blank AND again)::BIGINT AS duplicate,
+         count(*) FILTER (NOT blank AND NOT again AND cut)::BIGINT AS truncated,
+         count(*) FILTER (before || c NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal, max(i) AS n
+  FROM ordered GROUP BY conv_id
+), inserted(q, p, cost, audit, out) AS (
+  VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
+         (0, 2, 5, 'I', 'user:' || chr(10)), (1, 2, 5, 'I', 'user:' || chr(10)),
+         (2, 3, 5, 'I', 'assistant:' || chr(10)), (3, 2, 5, 'I', 'user:' || chr(10)),
+         (0, 3, 10, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)),
+         (1, 3, 10, 'II', 'user:' || chr(10) || 'assistant:' || chr(10))
+), emitted(p, c, q, name) AS (
+  VALUES (0, 's', 1, ''), (0, 'u', 2, 'user'), (1, 'u', 2, 'user'), (3, 'u', 2, 'user'), (2, 'a', 3, 'assistant')
+), scripts AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS q, {'cost': 0, 'audit': '', 'out': ''} AS best FROM faults
+  UNION ALL
+  SELECT conv_id, i, q, min(best) FROM (
+    SELECT s.conv_id, r.i, m.q, {'cost': (s.best.cost + w.cost + m.cost)::INTEGER,
+           'audit': s.best.audit || w.audit || m.edit, 'out': s.best.out || w.out || m.line} AS best
+    FROM scripts s JOIN ordered r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i + 1
+    JOIN inserted w ON w.q = s.q
+    CROSS JOIN LATERAL (
+      SELECT w.p AS q, 2 AS cost, 'D' AS edit, '' AS line
+      UNION ALL SELECT e.q, 5 * r.cut::INTEGER, 'K', r.role || ':' || r.text || chr(10) FROM emitted e
+        WHERE e.p = w.p AND e.c = r.c AND NOT r.blank AND NOT r.again
+      UNION ALL SELECT e.q, 1 + 5 * r.cut::INTEGER, 'R', e.name || ':' || r.text || chr(10) FROM emitted e
+        WHERE e.p = w.p AND e.name <> '' AND NOT r.blank AND NOT r.again) m
+  ) GROUP BY conv_id, i, q
+), ended AS (
+  SELECT s.conv_id, min({'cost': (s.best.cost + w.cost)::INTEGER, 'audit': s.best.audit || w.audit,
+                         'out': s.best.out || w.out}) AS best
+  FROM scripts s JOIN faults f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.n = s.i
+  JOIN inserted w ON w.q = s.q WHERE w.p IN (0, 3) GROUP BY s.conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit,
+       sha256(coalesce(best.out[:-2], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+""".replace("CRC", CRC32.replace("TEXT", "name"))

@@ -17,6 +17,7 @@ from staysift.llm import (
     token_store,
     topk,
     toxicity,
+    turns,
 )
 from staysift.sources.tables import read_table
 
@@ -125,3 +126,36 @@ def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHECKS["op13_quality_rules"] = checks.OP13.strip()
+
+
+def damaged(df: DataFrame) -> DataFrame:
+    """Conversations with faults by a hash of conversation and turn; nulls become one space first."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    kind = F.crc32(F.concat_ws(":", *parts)) % 20
+    role, text = (F.coalesce(c, F.lit(" ")) for c in ("role", "text"))
+    told = df.select(
+        "conv_id", "turn",
+        F.when(kind == 4, "user").otherwise(role).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1).alias("times"),
+    )
+    copies = F.explode(F.array_repeat(F.lit(1), F.col("times")))
+    return told.select("*", copies.alias("one")).drop("times", "one")
+
+
+@query
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    found = turns.digests(turns.repair(damaged(rows)))
+    every = rows.select("conv_id").distinct()
+    told = every.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    nothing = F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    return told.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in (*turns.FAULTS, "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        nothing,
+    )
+
+
+CHECKS["op11_structure_repair"] = checks.OP11.strip()
