@@ -143,7 +143,7 @@ def align(kinds: str, start: int = START, end: int | None = None) -> tuple[int,
     ways = []  # cost, turns deleted or kept as system before the alignment, symbols
     for k in [-1, *[k for k in range(n) if start == START and kinds[k] in "sS"]]:
         before = 0 if k < 0 else DELETE * k + (TRUNCATED if kinds[k] == "S" else 0)
-        if before > incumbent:
+        if DELETE * k > incumbent:
             break
         low, costs = rows[k + 1]
         for r in range(low, low + len(costs)):
