@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import random
-import sys
-from functools import lru_cache
 from itertools import product
 
 from hypothesis import given, settings, strategies as st
@@ -13,8 +11,6 @@ from hypothesis import given, settings, strategies as st
 from staysift.llm import turns
 from staysift.llm.queries import damaged, op11_structure_repair
 
-sys.setrecursionlimit(20_000)
-
 STEP = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
 NAMES = {"u": "user", "a": "assistant"}
 
@@ -65,27 +61,27 @@ def test_align_is_the_cheapest_script_of_all():
 def cheapest(kinds):
     """The same by states instead of lengths, for conversations of any length."""
 
-    @lru_cache(None)
-    def best(i, state, inserts):
-        ways = [(0, "")] if i == len(kinds) and state in (0, 3) else []
-
-        def add(cost, edit, way):
-            if way:
-                ways.append((cost + way[0], edit + way[1]))
-
-        if inserts < 2:
-            for c in "ua":
-                if (state, c) in STEP:
-                    add(5, "I", best(i, STEP[state, c], inserts + 1))
-        if i < len(kinds):
-            add(2, "D", best(i + 1, state, 0))
-            own, extra = kinds[i].lower(), 5 if kinds[i].isupper() else 0
-            for c in "sua":
-                if kinds[i] != "D" and (state, c) in STEP and (c == own or c != "s"):
-                    add(extra + (c != own), "K" if c == own else "R", best(i + 1, STEP[state, c], 0))
-        return min(ways, default=None)
-
-    return best(0, 0, 0)
+    table = {}
+    for i in range(len(kinds), -1, -1):
+        for inserts, state in product((2, 1, 0), range(4)):
+            ways = [(0, "")] if i == len(kinds) and state in (0, 3) else []
+
+            def add(cost, edit, way):
+                if way:
+                    ways.append((cost + way[0], edit + way[1]))
+
+            if inserts < 2:
+                for c in "ua":
+                    if (state, c) in STEP:
+                        add(5, "I", table[i, STEP[state, c], inserts + 1])
+            if i < len(kinds):
+                add(2, "D", table[i + 1, state, 0])
+                own, extra = kinds[i].lower(), 5 if kinds[i].isupper() else 0
+                for c in "sua":
+                    if kinds[i] != "D" and (state, c) in STEP and (c == own or c != "s"):
+                        add(extra + (c != own), "K" if c == own else "R", table[i + 1, STEP[state, c], 0])
+            table[i, state, inserts] = min(ways, default=None)
+    return table[0, 0, 0]
 
 
 @settings(max_examples=300, deadline=None)
