@@ -235,3 +235,41 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o
 LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
 """.replace("CRC", CRC32.replace("TEXT", "name"))
+
+# The trie as rows: one for each conversation and depth, prefixes named by a digest of their turns.
+OP12 = """
+WITH rows AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+           coalesce(text, '')) AS place,
+         md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+         length(coalesce(text, '')) AS size
+  FROM conversations WHERE conv_id IS NOT NULL
+), heads AS (SELECT c, CRC % 6 AS h FROM (SELECT DISTINCT c, c::VARCHAR AS name FROM rows)),
+rebuilt AS (
+  SELECT heads.c, 0 AS own, place, digest, size FROM heads JOIN rows ON rows.c = heads.c - heads.c % 100 AND place <= h
+  UNION ALL SELECT rows.c, 1, place, digest, size FROM rows JOIN heads USING (c) WHERE place > h
+), sequences AS (
+  SELECT c, coalesce(list(digest ORDER BY own, place) FILTER (digest IS NOT NULL), []) AS digests,
+         coalesce(list(size ORDER BY own, place) FILTER (digest IS NOT NULL), []) AS sizes
+  FROM heads LEFT JOIN rebuilt USING (c) GROUP BY c
+), named AS (
+  SELECT *, list_transform(range(0, len(digests) + 1), lambda d: md5(d || ':' || array_to_string(digests[1:d], ','))) AS names
+  FROM sequences
+), steps AS (
+  SELECT c, sizes, names, unnest(range(1, len(names) + 1)) AS k FROM named
+), nodes AS (
+  SELECT names[k] AS name, k - 1 AS depth, min(c) AS conv_id, count(*) AS n,
+         any_value(CASE WHEN k > 1 THEN names[k - 1] END) AS above, any_value(names[1:k]) AS line,
+         any_value(CASE WHEN k > 1 THEN sizes[k - 1] ELSE 0 END) AS size,
+         string_agg(CASE WHEN k = len(names) THEN c::VARCHAR END, ',' ORDER BY c) AS ends
+  FROM steps GROUP BY names[k], k
+), children AS (SELECT above AS name, count(*) AS n_children FROM nodes WHERE above IS NOT NULL GROUP BY above),
+under AS (
+  SELECT name, sum(CASE WHEN n_children IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((n - 1) * size)::BIGINT AS saved_tokens
+  FROM (SELECT unnest(line) AS name, n, size, n_children FROM nodes LEFT JOIN children USING (name)) GROUP BY name
+)
+SELECT x.conv_id, x.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, x.n::BIGINT AS n_convs,
+       coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved_tokens, sha256(coalesce(x.ends, '')) AS ends_sha256
+FROM nodes x LEFT JOIN nodes p ON p.name = x.above LEFT JOIN children ON children.name = x.name
+JOIN under ON under.name = x.name
+""".replace("CRC", CRC32.replace("TEXT", "name"))

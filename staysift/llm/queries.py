@@ -10,6 +10,7 @@ from staysift.llm import (
     licenses,
     mixing,
     packing,
+    prefix_trie,
     projection,
     quality_rules,
     simhash,
@@ -19,6 +20,7 @@ from staysift.llm import (
     toxicity,
     turns,
 )
+from staysift.session import cut_lineage
 from staysift.sources.tables import read_table
 
 QUERIES = {}
@@ -159,3 +161,51 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHECKS["op11_structure_repair"] = checks.OP11.strip()
+
+
+def rebuilt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns (conv, depth, digests, size) and ids of conversations that begin like that of their hundred.
+
+    The first h turns come from conversation c - c % 100, h = crc32(c) % 6, then c's own turns behind
+    its first h. Rows without a conversation take no part; turns of equal number go by role and text.
+    """
+    role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
+    conv = F.col("conv_id").cast("long").alias("conv")
+    size = F.length(text).cast("long").alias("size")
+    rows = df.where(F.col("conv_id").isNotNull()).select(
+        conv, "turn", role.alias("role"), text.alias("text"), *prefix_trie.turn_digest(role, text), size
+    )
+    order = [F.asc("turn"), F.asc("role"), F.asc("text")]
+    ranked = prefix_trie.positions(rows, "conv", order, "place").select("conv", "place", "ta", "tb", "size")
+    ranked = cut_lineage(ranked)
+    head = (F.crc32(F.col("conv").cast("string").cast("binary")) % 6).alias("head")
+    base = (F.col("conv") - F.col("conv") % 100).alias("base")
+    convs = ranked.select("conv").distinct()
+    first = ranked.where((F.col("place") <= 5) & (F.col("conv") % 100 == 0)).withColumnRenamed("conv", "base")
+    lent = convs.select("conv", base, head).join(first, "base").where("place <= head")
+    lent = lent.select("conv", F.col("place").alias("depth"), "ta", "tb", "size")
+    have = first.groupBy("base").agg(F.max("place").alias("have"))
+    own = ranked.select("*", base, head).where("place > head").join(have, "base", "left")
+    shift = F.least("head", F.coalesce("have", F.lit(0))) - F.col("head")
+    own = own.select("conv", (F.col("place") + shift).alias("depth"), "ta", "tb", "size")
+    return lent.unionByName(own), convs
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    trie = prefix_trie.build_trie(*rebuilt(rows))
+    ends = prefix_trie.end_digests(trie)
+    return trie.nodes.join(ends, prefix_trie.NAME, "left").select(
+        F.col("conv").alias("conv_id"),
+        "depth",
+        F.col("parent_conv").alias("parent_conv_id"),
+        "n_convs",
+        "n_children",
+        "n_leaves",
+        F.col("saved").alias("saved_tokens"),
+        F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
+    )
+
+
+CHECKS["op12_prefix_trie"] = checks.OP12.strip()
