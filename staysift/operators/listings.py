@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
@@ -176,15 +177,9 @@ def multi_review_listings(
     return kept.orderBy(F.asc(key), F.asc(tie))
 
 
-# The parts of a predicate: quoted texts, quoted names, numbers, words, operators. Comments are none.
-_PART = re.compile(
-    r"\s+|(?P<text>'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\")|(?P<name>`[^`]*`)|\d+(?:\.\d+)?"
-    r"|(?P<word>[A-Za-z_]\w*)|(?P<sign><=>|->|!=|<>|<=|>=|==|\|\||[-+*/%(),.<>=!&|^~\[\]])",
-    re.S,
-)
-# What may stand before a bracket: logic, and functions of one row without effects.
+# Functions that a predicate may call: of one row, without effects.
 CALLS = frozenset(
-    "and or not in like ilike rlike between any all case when then else is "
+    "in like ilike rlike between "
     "exists forall filter transform size array_contains array_size element_at get "
     "lower upper trim ltrim rtrim length char_length substring substr left right instr locate position replace "
     "concat concat_ws split startswith endswith contains regexp_like regexp_extract regexp_count "
@@ -193,35 +188,49 @@ CALLS = frozenset(
     "int bigint double float string date timestamp boolean decimal "
     "to_date year month day dayofmonth hour datediff date_add date_sub".split()
 )
-_SUBQUERY = frozenset("select from with table values map reduce".split())
-
-
-def check_predicate(predicate: str) -> None:
-    """Refuse a predicate that holds a comment, a subquery, or a call of a function not in CALLS."""
-    at, before, opened = 0, "", False
-    while at < len(predicate):
-        part = _PART.match(predicate, at)
-        if not part or predicate.startswith(("--", "/*"), at):
-            raise ValueError(f"the predicate cannot be read at {predicate[at : at + 20]!r}")
-        at = part.end()
-        if part.group().isspace():
-            continue
-        word, sign = (part.group("word") or "").lower(), part.group("sign")
-        # A column may have such a name; then a comparison follows.
-        if opened and word in _SUBQUERY and not re.match(r"\s*[=<>!]", predicate[at:]):
-            raise ValueError("the predicate must not contain a subquery")
-        if sign == "(" and before and before not in CALLS:
-            raise ValueError(f"{before} is not among the functions of a predicate")
-        opened = sign == "("
-        before = word or part.group("name") or part.group("text") or ""
+# What else a parsed predicate may consist of; subqueries, windows, stars, parameters are none of it.
+NODES = frozenset(
+    "And Or Not EqualTo EqualNullSafe GreaterThan GreaterThanOrEqual LessThan LessThanOrEqual "
+    "In IsNull IsNotNull IsTrue IsNotTrue IsUnknown IsNotUnknown Like ILike RLike LikeAny LikeAll NotLikeAny NotLikeAll Lower "
+    "Add Subtract Multiply Divide IntegralDivide Remainder UnaryMinus UnaryPositive "
+    "BitwiseAnd BitwiseOr BitwiseXor BitwiseNot Concat CaseWhen If Cast TryCast Literal "
+    "UnresolvedAttribute UnresolvedExtractValue LambdaFunction UnresolvedNamedLambdaVariable UnresolvedFunction".split()
+)
+
+
+def check_predicate(predicate: str, df: DataFrame) -> None:
+    """Refuse a predicate unless all it consists of, as Spark parses it, is known to be harmless.
+
+    Every node of the parsed expression has to be in NODES, every function in CALLS, and every
+    name a column of ``df``, so neither another table nor the session can be read. Comments are
+    refused too.
+    """
+    spark = df.sparkSession
+    try:
+        parsed = spark._jsparkSession.sessionState().sqlParser().parseExpression(predicate)
+        nodes = json.loads(parsed.toJSON())
+    except Exception as error:
+        raise ValueError(f"the predicate cannot be read: {str(error)[:200]}") from error
+    if re.search(r"--|/[*]", re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`[^`]*`", "", predicate)):
+        raise ValueError("the predicate must not contain a comment")
+    columns = {c.lower() for c in df.columns}
+    for node in nodes:
+        kind = node["class"].rpartition(".")[2]
+        if kind not in NODES:
+            raise ValueError(f"{kind} is not among the parts of a predicate")
+        name = str(node.get("nameParts", "")).strip("[]").lower()
+        if kind == "UnresolvedFunction" and name not in CALLS:
+            raise ValueError(f"{name} is not among the functions of a predicate")
+        if kind == "UnresolvedAttribute" and name not in columns and name.split(",")[0] not in columns:
+            raise ValueError(f"{name} is not a column")
 
 
 def guarded_filter(df: DataFrame, predicate: str, key: str = "property_id", n: int = 50) -> DataFrame:
     """Keys of at most ``n`` rows that meet a predicate given as SQL text.
 
     The text can only be a row predicate: aggregates and windows are refused by Spark inside a
-    filter; comments, subqueries and functions that are not in CALLS are refused here, and the
-    result is the key column alone.
+    filter; comments, subqueries, names that are no columns and functions that are not in CALLS are
+    refused here, and the result is the key column alone.
     """
-    check_predicate(predicate)
+    check_predicate(predicate, df)
     return top_n(df.where(F.expr(predicate)).select(key), n, F.asc(key))

@@ -172,6 +172,39 @@ def test_guarded_filter(spark):
             listings.guarded_filter(df, bad).collect()
 
 
+def test_guard_reads_the_parsed_predicate(spark):
+    df = spark.range(20).select(F.col("id").alias("property_id"), (F.col("id") % 7).alias("rating"))
+    spark.createDataFrame([(2, False)], "id int, flag boolean").createOrReplaceTempView("secret")
+    odd = df.withColumnsRenamed({"rating": "select"}).withColumn("table", F.array("property_id"))
+    for good in ("select = 3", "(select) > 2 and select <= 3", "`select` in (3)", "select <=> 3", "size(table) = 1 and select = 3",
+                 "case when select = 3 then true else false end", "select between 3 and 3", "cast(select as int) - 3 = 0",
+                 "forall(table, x -> x % 7 = 3)", "table[0] % 7 = 3", "not select <> 3", "'--' <> '/*' and select = 3"):
+        assert [r[0] for r in listings.guarded_filter(odd, good).collect()] == [3, 10, 17], good
+    for bad in (
+        "exists (select !flag from secret where id = 2)",
+        "exists (select =1 from secret)",
+        "exists (from secret)",
+        "exists (table secret)",
+        "rating = (select max(id) from secret)",
+        "rating in (select id from secret)",
+        "rating in (values 1, 2)",
+        "exists(select <> 1 from secret)",
+        "('a')(1)",
+        "array(1)[0](1)",
+        "rank() over (order by rating) > 1",
+        "count(*) > 1",
+        "struct(*) is not null",
+        "current_user = 'root'",
+        "other > 1",
+        "system.builtin.reflect('java.lang.System', 'getProperty', 'user.home') = 'x'",
+        "identifier('reflect')('a') = 1",
+        "assert_true(rating > 1) is null",
+        ":name = 1",
+    ):
+        with pytest.raises(ValueError):
+            listings.guarded_filter(df, bad)
+
+
 def test_latest_per_key(spark):
     df = spark.createDataFrame(
         [(1, "a", 1), (1, "b", 2), (1, "b", 3), (2, None, 4), (None, "z", 5)], "k int, url string, t int"
