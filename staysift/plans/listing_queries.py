@@ -14,7 +14,7 @@ from staysift.functions.predicates import (
     text_match,
 )
 from staysift.functions.sqlfuncs import register_all
-from staysift.functions.text import first_number
+from staysift.functions.text import first_number, join_list
 from staysift.operators.aggregates import clean_join, json_records, keys_with_more_than
 from staysift.operators.curate import curated_listings
 from staysift.operators.joins import join_on_unique, keep_ids
@@ -28,6 +28,7 @@ from staysift.operators.listings import (
     review_search,
 )
 from staysift.operators.ranking import latest_per_key, top_k_per_group, top_n
+from staysift.operators.substring import build_substring_index, rows_that_may_contain
 from staysift.plans.fixtures import CURATED_SQL, HOTELS_SQL, PLACES_SQL, hotels, places, stays
 from staysift.plans.registry import query
 from staysift.session import cut_lineage, scratch_path
@@ -179,6 +180,50 @@ def _(spark, folder):
     return found.select("hotel_id", "description", "fine_print", "property_highlights")
 
 
+def _hotel_index(spark, folder, nested, block_rows=256):
+    """Hotels with the texts that a search reads, nested columns in the form it searches."""
+    texts = [F.col(c) for c in ("description", "fine_print", "property_highlights")]
+    path = scratch_path(spark, "substrings")
+    return build_substring_index(
+        hotels(spark, folder), path, [*texts, *nested], ["location", "hotel_id"], block_rows
+    )
+
+
+@query(
+    "keyword_any_indexed",
+    f"""WITH {HOTELS_SQL} SELECT hotel_id, description, fine_print, property_highlights FROM hotels
+        WHERE location ILIKE '%src1%' AND (description ILIKE '%eauvi%' OR fine_print ILIKE '%eauvi%'
+          OR property_highlights ILIKE '%eauvi%' OR array_to_string(reviews, ', ') ILIKE '%eauvi%'
+          OR array_to_string(rules, ', ') ILIKE '%eauvi%') ORDER BY hotel_id LIMIT 10""",
+)
+def _(spark, folder):
+    index = _hotel_index(spark, folder, [F.to_json("top_reviews"), F.to_json("house_rules")])
+    found = keyword_any(rows_that_may_contain(index, "eauvi"), term="eauvi", location="src1")
+    return found.select("hotel_id", "description", "fine_print", "property_highlights")
+
+
+@query(
+    "hotel_search_indexed",
+    f"""WITH {HOTELS_SQL} SELECT hotel_id, city, review_score, description, fine_print
+        FROM hotels WHERE city ILIKE '%EN%' AND {HOTEL_HIT}
+        ORDER BY review_score DESC NULLS LAST, hotel_id""",
+)
+def _(spark, folder):
+    joined = [F.concat_ws(", ", F.col(c)[f]) for c, f in (("top_reviews", "review"), ("house_rules", "description"))]
+    index = _hotel_index(spark, folder, joined)
+    found = hotel_search(rows_that_may_contain(index, "heon"), term="heon", city="EN")
+    return found.select("hotel_id", "city", "review_score", "description", "fine_print")
+
+
+@query("place_search_indexed", _place_check("AND city ILIKE '%example%' AND business_category ILIKE '%sch%'"))
+def _(spark, folder):
+    notes = join_list(F.col("accessibility")["description"], ", ")
+    path = scratch_path(spark, "substrings")
+    index = build_substring_index(places(spark, folder), path, [notes], ["country", "place_url"], 256)
+    found = place_search(rows_that_may_contain(index, "heon"), city="EXAMPLE", category="Sch", **PLACE_FACETS)
+    return found.drop("accessibility_list")
+
+
 @query(
     "review_search",
     """SELECT doc_id // 10 AS property_id, doc_id, n_chars FROM documents
