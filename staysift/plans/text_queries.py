@@ -24,7 +24,7 @@ from staysift.operators.vectors import (
 from staysift.plans.fixtures import update_events
 from staysift.plans.registry import query
 from staysift.session import cut_lineage, scratch_path
-from staysift.sources.changes import snapshot_diff
+from staysift.sources.changes import apply_changes, changed_rows, snapshot_diff, write_snapshot
 from staysift.sources.jsonrows import json_rows, write_json_rows
 from staysift.sources.profile import table_profile
 from staysift.sources.tables import read_merged, read_table, replace_path, union_schemas
@@ -356,6 +356,51 @@ def _(spark, folder):
     return snapshot_diff(docs, edited, "doc_id")
 
 
+EDITED_SQL = """edited AS (
+  SELECT doc_id, CASE WHEN lang = 'de' THEN 'Neu. ' || text ELSE text END AS text, lang, source,
+         CASE WHEN lang = 'fr' THEN n_chars END AS size
+  FROM documents WHERE source <> 'src3'
+  UNION ALL SELECT doc_id + 1000000000, text, lang, source, NULL FROM documents WHERE lang = 'es')"""
+
+
+def _edited(docs):
+    """Some texts changed, some rows gone, some new, and a new column filled for one language."""
+    text = F.when(F.col("lang") == "de", F.concat(F.lit("Neu. "), "text")).otherwise(F.col("text"))
+    size = F.when(F.col("lang") == "fr", F.col("n_chars"))
+    added = docs.where("lang = 'es'").withColumn("doc_id", F.col("doc_id") + 1_000_000_000)
+    edited = docs.where("source <> 'src3'").withColumns({"text": text, "size": size})
+    return edited.unionByName(added, allowMissingColumns=True).select("doc_id", "text", "lang", "source", "size")
+
+
+def _snapshots(spark, folder):
+    docs = _documents(spark, folder, "doc_id", "text", "lang", "source", "n_chars")
+    path = scratch_path(spark, "snapshots")
+    old = write_snapshot(docs.drop("n_chars"), f"{path}/old", "doc_id", buckets=64)
+    return old, write_snapshot(_edited(docs), f"{path}/new", "doc_id", buckets=64)
+
+
+@query(
+    "change_rows",
+    f"""WITH {EDITED_SQL}, joined AS (
+          SELECT o.doc_id AS had, n.doc_id AS has, o.text <> n.text OR n.size IS NOT NULL AS differs, o, n
+          FROM documents o FULL JOIN edited n ON o.doc_id = n.doc_id)
+        SELECT CASE WHEN has IS NULL THEN 'delete' ELSE 'update_before' END AS _change,
+               o.doc_id AS doc_id, o.text AS text, o.lang AS lang, o.source AS source, NULL::BIGINT AS size
+        FROM joined WHERE had IS NOT NULL AND (has IS NULL OR differs)
+        UNION ALL
+        SELECT CASE WHEN had IS NULL THEN 'insert' ELSE 'update_after' END, n.doc_id, n.text, n.lang, n.source, n.size
+        FROM joined WHERE has IS NOT NULL AND (had IS NULL OR differs)""",
+)
+def _(spark, folder):
+    return changed_rows(*_snapshots(spark, folder))
+
+
+@query("changes_applied", f"WITH {EDITED_SQL} SELECT * FROM edited")
+def _(spark, folder):
+    old, new = _snapshots(spark, folder)
+    return apply_changes(old.rows.select(*old.columns), changed_rows(old, new), "doc_id")
+
+
 @query(
     "merged_schema",
     """SELECT doc_id, quality, toxic FROM labels

@@ -1,8 +1,13 @@
-"""Row changes between two snapshots of a table."""
+"""Row changes between two snapshots of a table: keys and counts, or a feed of whole rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from staysift.session import broadcast_if_small, cut_lineage
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -38,3 +43,125 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     )
     changed = per_key.where((F.col("n_removed") > 0) | (F.col("n_added") > 0))
     return changed.select(key, change.alias("change_type"), "n_removed", "n_added")
+
+
+# Hash buckets of a stored snapshot; a bucket is the least that a comparison reads.
+BUCKETS = 256
+BUCKET, CHANGE = "_bucket", "_change"
+INSERT, DELETE, BEFORE, AFTER = "insert", "delete", "update_before", "update_after"
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """A stored table: its rows by hash bucket of the key, and a digest of every bucket beside them."""
+
+    rows: DataFrame
+    digests: DataFrame
+    key: str
+
+    @property
+    def columns(self) -> list[str]:
+        return [c for c in self.rows.columns if c != BUCKET]
+
+
+def _row_text(df: DataFrame, columns: Iterable[str]) -> Column:
+    """A row as text; null cells are left out, so a column that is nowhere filled changes nothing."""
+    return F.to_json(F.struct(*sorted(columns)))
+
+
+def write_snapshot(df: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> Snapshot:
+    """Store a table in hash buckets of its key, with a digest and a row count for each bucket.
+
+    The digest is a sum over the rows, so their order does not count and repeated rows do. Large
+    buckets, as of a key with very many rows, are written by several tasks.
+    """
+    if {BUCKET, CHANGE} & set(df.columns):
+        raise ValueError(f"{BUCKET} and {CHANGE} are names of the snapshot")
+    spark = df.sparkSession
+    placed = df.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    placed.hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/rows")
+    rows = _read_rows(spark, path, df)
+    digest = F.md5(_row_text(df, df.columns))
+    halves = [F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 16)]
+    sums = rows.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("n"), *[F.sum(h).alias(f"digest{i}") for i, h in enumerate(halves)])
+    sums.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/digests")
+    df.limit(0).write.mode("overwrite").parquet(f"{path}/schema")
+    return open_snapshot(spark, path, key)
+
+
+def _read_rows(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    fields = [*[f"`{f.name}` {f.dataType.simpleString()}" for f in like.schema], f"{BUCKET} int"]
+    return spark.read.schema(", ".join(fields)).parquet(f"{path}/rows")
+
+
+def open_snapshot(spark: SparkSession, path: str, key: str) -> Snapshot:
+    like = spark.read.parquet(f"{path}/schema")
+    return Snapshot(_read_rows(spark, path, like), spark.read.parquet(f"{path}/digests"), key)
+
+
+def differing_buckets(old: Snapshot, new: Snapshot) -> list[int]:
+    """Buckets whose digests or row counts differ; a bucket is a row here, so they are few thousand at most."""
+    counts = [s.digests.agg(F.max("buckets")).first()[0] for s in (old, new)]
+    if None not in counts and counts[0] != counts[1]:
+        raise ValueError(f"the snapshots have {counts[0]} and {counts[1]} buckets")
+    one = old.digests.select(BUCKET, F.struct("n", "digest0", "digest1").alias("old"))
+    two = new.digests.select(BUCKET, F.struct("n", "digest0", "digest1").alias("new"))
+    both = one.join(two, BUCKET, "full").where(~F.col("old").eqNullSafe(F.col("new")))
+    return sorted(r[0] for r in both.select(BUCKET).collect())
+
+
+def changed_rows(old: Snapshot, new: Snapshot) -> DataFrame:
+    """The change feed between two snapshots: ``_change`` and whole rows under the union of the columns.
+
+    A row that is gone comes as ``delete``, or as ``update_before`` if its key still has rows; a row that is
+    new as ``insert``, or ``update_after`` if its key had rows. Repeated rows come as often as
+    their number changed. Only buckets with different digests are read. Rows are compared by digest
+    with partial counts, so a key with very many rows is spread over tasks.
+    """
+    if old.key != new.key:
+        raise ValueError("the snapshots have different keys")
+    key, buckets = old.key, differing_buckets(old, new)
+    columns = [*new.columns, *[c for c in old.columns if c not in new.columns]]
+    kinds = dict(old.rows.dtypes) | dict(new.rows.dtypes)
+
+    def side(snapshot: Snapshot, n_old: int, n_new: int) -> DataFrame:
+        rows = snapshot.rows.where(F.col(BUCKET).isin(buckets)).drop(BUCKET)
+        cells = [F.col(c) if c in rows.columns else F.lit(None).cast(kinds[c]).alias(c) for c in columns]
+        digest = F.sha2(_row_text(rows, snapshot.columns), 256)
+        return rows.select(F.struct(*cells).alias("_cells"), digest.alias("_digest"), F.lit(n_old).alias("_old"), F.lit(n_new).alias("_new"))
+
+    both = side(old, 1, 0).unionAll(side(new, 0, 1)).withColumn("_key", F.col("_cells")[key])
+    counted = both.groupBy("_key", "_digest").agg(
+        F.sum("_old").alias("_old"), F.sum("_new").alias("_new"), F.first("_cells").alias("_cells")
+    )
+    counted = cut_lineage(counted)
+    changed = counted.where("_old <> _new")
+    sides = counted.groupBy("_key").agg(F.max(F.col("_old") > 0).alias("_had"), F.max(F.col("_new") > 0).alias("_has"))
+    sides = sides.withColumnRenamed("_key", "_of")
+    marked = changed.join(sides, F.col("_key").eqNullSafe(F.col("_of")))
+    kept = F.col("_had") & F.col("_has")
+    kind = F.when(F.col("_old") > F.col("_new"), F.when(kept, BEFORE).otherwise(DELETE)).otherwise(F.when(kept, AFTER).otherwise(INSERT))
+    times = F.array_repeat(F.lit(0), F.abs(F.col("_old") - F.col("_new")).cast("int"))
+    return marked.select(kind.alias(CHANGE), "_cells", F.explode(times)).select(CHANGE, "_cells.*")
+
+
+def apply_changes(table: DataFrame, feed: DataFrame, key: str) -> DataFrame:
+    """The table after a change feed, under the feed's columns.
+
+    Rows of keys without a change pass through. Rows of the others are counted by digest: those before the
+    change are taken off, those after it are added.
+    """
+    columns = [c for c in feed.columns if c != CHANGE]
+    kinds = dict(feed.dtypes)
+    cells = [F.col(c).cast(kinds[c]) if c in table.columns else F.lit(None).cast(kinds[c]).alias(c) for c in columns]
+    rows = table.select(*cells)
+    keys = feed.select(F.col(key).alias("_of")).distinct()
+    touched = F.col(key).eqNullSafe(F.col("_of"))
+    few = broadcast_if_small(keys)
+    same = rows.join(few, touched, "left_anti")
+    gone = F.col(CHANGE).isin(DELETE, BEFORE)
+    signed = rows.join(few, touched, "left_semi").select(F.struct(*columns).alias("_cells"), F.lit(1).alias("_n"))
+    signed = signed.unionAll(feed.select(F.struct(*columns).alias("_cells"), F.when(gone, -1).otherwise(1).alias("_n")))
+    by_digest = signed.withColumn("_digest", F.sha2(F.to_json("_cells"), 256)).groupBy("_digest")
+    left = by_digest.agg(F.sum("_n").cast("int").alias("_n"), F.first("_cells").alias("_cells")).where("_n > 0")
+    return same.unionAll(left.select("_cells", F.explode(F.array_repeat(F.lit(0), F.col("_n")))).select("_cells.*"))
