@@ -13,6 +13,7 @@ from staysift.operators.conversations import (
 )
 from staysift.operators.evaluate import containing_documents, retrieval_recall, retrieval_summary
 from staysift.operators.hybrid import build_hybrid_index, hybrid_topk, search, with_attributes
+from staysift.operators.joins import join_on_unique
 from staysift.operators.keyword import bm25_topk, build_index
 from staysift.operators.vectors import (
     fit_text_vectors,
@@ -28,6 +29,7 @@ from staysift.sources.changes import apply_changes, changed_rows, snapshot_diff,
 from staysift.sources.jsonrows import json_rows, write_json_rows
 from staysift.sources.profile import table_profile
 from staysift.sources.tables import read_merged, read_table, replace_path, union_schemas
+from staysift.streaming.parts import PartIndex
 from staysift.streaming.sync import compact_index, live_chunks, sync_index
 from staysift.streaming.updates import flatten_updates
 
@@ -375,8 +377,8 @@ def _edited(docs):
 def _snapshots(spark, folder):
     docs = _documents(spark, folder, "doc_id", "text", "lang", "source", "n_chars")
     path = scratch_path(spark, "snapshots")
-    old = write_snapshot(docs.drop("n_chars"), f"{path}/old", "doc_id", buckets=64)
-    return old, write_snapshot(_edited(docs), f"{path}/new", "doc_id", buckets=64)
+    old = write_snapshot(docs.drop("n_chars"), f"{path}/old", "doc_id", buckets=16)
+    return old, write_snapshot(_edited(docs), f"{path}/new", "doc_id", buckets=16)
 
 
 @query(
@@ -521,6 +523,47 @@ def _(spark, folder):
     return with_attributes(hits, chunks, "chunk_id", "item_id")
 
 
+def _part_index(spark, folder, **sizes):
+    """An index of the documents' chunks with the vector of their document, as parts."""
+    vectors = read_table(spark, folder, "embeddings", "vec_id", "embedding")
+
+    def embed(chunks):
+        return join_on_unique(chunks, vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id", spread_by="chunk_id")
+
+    path = scratch_path(spark, "parts")
+    index = PartIndex(spark, path, "doc_id", "text", fixed_chunks, embed, **sizes)
+    schema = read_table(spark, folder, "documents").schema
+    files = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(folder)
+    rows = files.select("doc_id", "text", "lang", "source")
+    index.sync(rows, version=F.struct(F.lit(0).alias("number"), F.lit(True).alias("here")))
+    return index
+
+
+CHUNKS_OF_EDITED = fixed_chunks_sql(1000, 200).replace("FROM documents", "FROM edited")
+
+
+@query(
+    "synced_hybrid_search",
+    f"""WITH {EDITED_SQL}, {CHUNKS_OF_EDITED},
+pairs AS (SELECT chunk_id, embedding FROM chunks JOIN embeddings ON doc_id = vec_id),
+questions AS (SELECT item_id, embedding FROM benchmark JOIN embeddings ON item_id = vec_id),
+{bm25_sql("chunks", "chunk_id", "benchmark", "item_id", 50)},
+{cosine_sql("pairs", "chunk_id", "questions", "item_id", 50)},
+fused AS (
+  SELECT item_id, chunk_id, round(sum(1.0 / (60 + rank)), 6)::DOUBLE AS score
+  FROM (SELECT item_id, chunk_id, rank FROM bm25 UNION ALL SELECT item_id, chunk_id, rank FROM nearest) GROUP BY ALL),
+best AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM fused)
+SELECT item_id, chunk_id, score, rank, doc_id, text FROM best JOIN chunks USING (chunk_id) WHERE rank <= 5""",
+)
+def _(spark, folder):
+    """Documents come by a stream, then a change feed edits, removes and adds some; both halves follow."""
+    index = _part_index(spark, folder)
+    index.add_feed(changed_rows(*_snapshots(spark, folder)), 1)
+    vectors = read_table(spark, folder, "embeddings", "vec_id", "embedding")
+    asked = read_table(spark, folder, "benchmark").join(vectors.withColumnRenamed("vec_id", "item_id"), "item_id", "left")
+    return search(index.open(), cut_lineage(asked), "item_id", "text", columns=["doc_id", "text"])
+
+
 @query(
     "flatten_updates",
     """SELECT conv_id || ':' || turn AS event_id, 0 AS node_no, role AS node,

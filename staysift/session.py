@@ -44,7 +44,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def remove_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables; results that still read them are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    delete_folder(spark, _scratch_root(spark))
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
