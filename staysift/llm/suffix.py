@@ -360,9 +360,16 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, hot: int = HOT)
     left = _with_bytes(docs, classes.where("NOT done").drop("done"), threshold)
     spans = spans.union(_sorted_spans(left, threshold))
     if seen["rows"]:
-        # Equal anchors of equal rows are wanted once; the join gives them back once for each row.
-        many = every.join(frequent, "gram", "left_semi").drop("digest").distinct()
-        spans = spans.union(_counted_spans(_with_bytes(docs, many, threshold), threshold))
+        # Anchors alike in all bytes are one class, counted by digest: a class of several is repeated
+        # whole, and one member of each class meets the strings of the others.
+        many = cut_lineage(every.join(frequent, "gram", "left_semi"))
+        member = F.struct(*IDS, "place", "left", "count").alias("member")
+        alike = cut_lineage(many.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(member).alias("member")))
+        several = broadcast_if_small(alike.where("n > 1").select("gram", "digest"))
+        whole = many.join(several, ["gram", "digest"], "left_semi")
+        spans = spans.union(whole.select(*IDS, F.col("place").cast("long").alias("start"), stop.alias("stop")))
+        single = alike.select("gram", "member.*")
+        spans = spans.union(_counted_spans(_with_bytes(docs, single, threshold), threshold))
     return spans
 
 
