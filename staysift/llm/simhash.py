@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from staysift.llm.work import Union, components, group_runs, starts_of, texts_of
+from staysift.llm.work import Union, components, forget, group_runs, starts_of, texts_of
 from staysift.operators.ranking import top_k_per_group
 from staysift.session import cut_and_measure, cut_lineage
 
@@ -49,6 +49,7 @@ def fingerprints(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """
 
     def rows(batches):
+        forget()
         for batch in batches:
             fps = [fingerprint(t) for t in texts_of(batch.column(0))]
             fps = pa.array(np.array(fps, np.uint64).view(np.int64))

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from staysift.llm.work import group_runs, starts_of, text_bytes
+from staysift.llm.work import by_bytes, forget, group_runs, starts_of, text_bytes
 from staysift.session import broadcast_if_small, cut_and_measure, cut_lineage
 
 THRESHOLD = 200
@@ -182,6 +182,7 @@ def _anchors(docs: DataFrame, threshold: int, whole: bool) -> DataFrame:
     """
 
     def rows(batches):
+        forget()
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             data, offsets = text_bytes(batch.column(0))
             gram, doc, place, left, count = anchors(data, offsets, threshold)
@@ -244,7 +245,7 @@ def _with_bytes(docs: DataFrame, found: DataFrame, threshold: int) -> DataFrame:
     text, ids = docs.columns.index("_text"), [docs.columns.index(c) for c in IDS]
 
     def rows(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in by_bytes(b, text)):
             for i, (t, wanted) in enumerate(zip(batch.column(text).to_pylist(), batch.column("_wanted").to_pylist())):
                 raw, n = t.encode(), len(wanted)
                 columns = [pa.array([w[c] for w in wanted], pa.int64()) for c in ("gram", "place", "left")]
@@ -413,7 +414,8 @@ def remove_repeats(
     fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", kept)]
 
     def rows(batches):
-        for batch in batches:
+        forget()
+        for batch in (part for b in batches for part in by_bytes(b, text)):
             texts, spans = batch.column(text).to_pylist(), batch.column("_spans").to_pylist()
             out = []
             for t, found in zip(texts, spans):

@@ -14,7 +14,7 @@ import struct
 
 import numpy as np
 
-from staysift.llm.work import once
+from staysift.llm.work import forget, once
 
 END_ID = 2
 # White space as the pre-tokenizer's pattern knows it.
@@ -127,6 +127,7 @@ class PieceCoder:
 
 def coder(path: str) -> PieceCoder:
     """The worker's coder for a tokenizer file, loaded once."""
+    forget("coder")
     return once(f"coder {path}", lambda: PieceCoder(path))
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from staysift.session import cut_and_measure, cut_lineage
@@ -21,6 +22,24 @@ def once(key: str, make: Callable):
     return store.__dict__[key]
 
 
+def forget(kept: str = "") -> None:
+    """Drop the values of a reused worker whose key does not begin with ``kept``: those of earlier operators."""
+    store = sys.modules.get("_llm_worker_values")
+    for key in [k for k in vars(store or types.ModuleType("none")) if not k.startswith("__")]:
+        if not kept or not key.startswith(kept):
+            del store.__dict__[key]
+
+
+def by_bytes(batch: pa.RecordBatch, column: int | str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes in a text column each, or one row."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size) // most
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """A text column as strings; null counts as empty."""
     return [t or "" for t in column.to_pylist()]
