@@ -15,6 +15,7 @@ from staysift.operators.evaluate import containing_documents, retrieval_recall,
 from staysift.operators.hybrid import build_hybrid_index, hybrid_topk, search, with_attributes
 from staysift.operators.joins import join_on_unique
 from staysift.operators.keyword import bm25_topk, build_index
+from staysift.operators.placed import place_vectors, placed_topk
 from staysift.operators.vectors import (
     fit_text_vectors,
     mean_vectors,
@@ -188,6 +189,13 @@ def _(spark, folder):
     return vector_topk_cells(vectors, means, 5, "vec_id", "label")
 
 
+@query("vector_topk_placed", NEAREST_SQL)
+def _(spark, folder):
+    vectors, means = _label_means(spark, folder)
+    index = place_vectors(vectors, scratch_path(spark, "placed"), "vec_id", cell_rows=256)
+    return placed_topk(index, means, 5, "label")
+
+
 @query("text_vectors")
 def _(spark, folder):
     docs = _documents(spark, folder, "doc_id", "text")
