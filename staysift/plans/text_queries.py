@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from staysift.functions.sqlfuncs import register_text_chunks
+from staysift.functions.tablefuncs import register_chunks_table
 from staysift.operators.chunking import fixed_chunks, recursive_chunks
 from staysift.operators.conversations import (
     prepend_system_turn,
@@ -162,6 +163,18 @@ def _(spark, folder):
     )
 
 
+@query(
+    "chunks_table_function",
+    f"""{RECURSIVE_SQL} SELECT p.doc_id, d.lang, d.source, p.chunk_no, p.text,
+        sha256(p.doc_id || ':' || p.chunk_no) AS chunk_id
+        FROM pieces p JOIN documents d USING (doc_id)""",
+)
+def _(spark, folder):
+    register_chunks_table(spark)
+    _documents(spark, folder, "doc_id", "lang", "source", "text").createOrReplaceTempView("chunk_table_source")
+    return spark.sql("SELECT * FROM chunks_table(TABLE(chunk_table_source), text => 'text', key => 'doc_id')")
+
+
 MEANS_SQL = """means AS (
   SELECT label, list(m ORDER BY pos) AS embedding
   FROM (SELECT label, pos, avg(v::DOUBLE) AS m

@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.errors import AnalysisException
 
 from staysift.functions.sqlfuncs import register_text_chunks
+from staysift.functions.tablefuncs import register_chunks_table
 from staysift.operators.chunking import SEPARATORS, chunk_spans, fixed_chunks, recursive_chunks
 
 
@@ -127,3 +129,20 @@ def test_overlap_has_to_be_below_the_size(spark, size, overlap):
     for chunks in (fixed_chunks, recursive_chunks):
         with pytest.raises(ValueError):
             chunks(df, "id", "text", size=size, overlap=overlap)
+
+
+def test_chunks_as_a_table_function(spark):
+    register_chunks_table(spark, "cut_up")
+    rows = [(1, "aa bb cc dd ee ff gg", 7), (2, None, 8), (2, "xx yy", 9), (None, "no key", 1), (3, "", 2), (4, "  ", 3)]
+    df = spark.createDataFrame(rows, "id int, body string, extra int")
+    df.createOrReplaceTempView("to_cut")
+    want = recursive_chunks(df, "id", "body", size=8, overlap=2)
+    for table in ("TABLE(to_cut)", "TABLE(to_cut) PARTITION BY (id)"):
+        got = spark.sql(f"SELECT * FROM cut_up({table}, 'body', 'id', 8, 2)")
+        assert got.columns == ["id", "extra", "chunk_no", "text", "chunk_id"]
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+    assert spark.sql("SELECT * FROM cut_up(TABLE(to_cut), text => 'body', key => 'id') WHERE id = 1").count() == 1
+    for bad in ("TABLE(to_cut), 'nope', 'id'", "TABLE(to_cut), 'body', 'nope'", "TABLE(to_cut), 'body', 'id', 5, 5",
+                "TABLE(SELECT id, body, 1 AS text FROM to_cut), 'body', 'id'"):
+        with pytest.raises(AnalysisException):
+            spark.sql(f"SELECT * FROM cut_up({bad})").collect()
