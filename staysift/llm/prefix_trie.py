@@ -359,12 +359,13 @@ def build_trie(turns: DataFrame, convs: DataFrame) -> PrefixTrie:
         F.first("pa").alias("pa"), F.first("pb").alias("pb"),
         F.sum("n").alias("n_convs"), F.min("least").alias("conv"), F.sum("below").alias("below"),
     )
-    tops = paths.where("segment = 0").agg(F.sum(F.element_at("below", 1)).alias("below"))
     zero = F.lit(0).cast("long")
-    root = convs.agg(F.count(F.lit(1)).alias("n_convs"), F.min("conv").alias("conv")).where("n_convs > 0")
-    root = root.crossJoin(F.broadcast(tops)).select(  # one row with one row
+    tops = paths.where("segment = 0").select(F.lit(None).cast("long").alias("conv"), F.element_at("below", 1).alias("below"))
+    every = convs.select("conv", zero.alias("below")).unionByName(tops)
+    root = every.agg(F.count("conv").alias("n_convs"), F.min("conv").alias("conv"), F.sum("below").alias("below"))
+    root = root.where("n_convs > 0").select(
         *[zero.alias(c) for c in NAME], F.lit(None).cast("long").alias("pa"), F.lit(None).cast("long").alias("pb"),
-        "n_convs", "conv", F.coalesce("below", zero).alias("below"),
+        "n_convs", "conv", "below",
     )
     nodes = cut_lineage(merged.unionByName(root))
 
