@@ -28,6 +28,7 @@ from staysift.operators.listings import (
     review_search,
 )
 from staysift.operators.ranking import latest_per_key, top_k_per_group, top_n
+from staysift.operators.requests import place_search_batch
 from staysift.operators.substring import build_substring_index, rows_that_may_contain
 from staysift.plans.fixtures import CURATED_SQL, HOTELS_SQL, PLACES_SQL, hotels, places, stays
 from staysift.plans.registry import query
@@ -180,6 +181,44 @@ def _(spark, folder):
     return found.select("hotel_id", "description", "fine_print", "property_highlights")
 
 
+REQUESTS_SQL = """requests AS (
+  SELECT doc_id AS request_id, string_split(text, ' ')[2] AS term,
+         CASE WHEN doc_id % 3 = 0 THEN 'EXAMPLE' WHEN doc_id % 3 = 1 THEN 'NULL' END AS city,
+         CASE WHEN doc_id % 4 = 0 THEN 'sch' ELSE '' END AS category,
+         CASE WHEN doc_id % 5 > 0 THEN upper(lang) END AS country,
+         CASE WHEN doc_id % 7 = 0 THEN '5' END AS zipcode
+  FROM documents)"""
+
+
+@query(
+    "place_search_batch",
+    f"""WITH {PLACES_SQL}, {REQUESTS_SQL}
+        SELECT request_id, place_url, rating_numeric, rank FROM (
+          SELECT request_id, place_url, rating_numeric, CAST(row_number() OVER (
+                   PARTITION BY request_id ORDER BY rating_numeric DESC NULLS LAST, place_url) AS INTEGER) AS rank
+          FROM requests r JOIN place_rows p ON contains(lower(accessibility), lower(term))
+          WHERE (r.country IS NULL OR p.country = r.country)
+            AND (coalesce(r.city, '') IN ('', 'NULL') OR contains(lower(p.city), lower(r.city)))
+            AND (r.category = '' OR contains(lower(business_category), r.category))
+            AND (r.zipcode IS NULL OR contains(address, r.zipcode)))
+        WHERE rank <= 50""",
+)
+def _(spark, folder):
+    """A request for every document: its second word, with changing facets."""
+    key = F.col("doc_id")
+    requests = read_table(spark, folder, "documents", "doc_id", "text", "lang").select(
+        key.alias("request_id"),
+        F.get(F.split("text", " "), 1).alias("term"),
+        F.lit(None).cast("string").alias("address"),
+        F.when(key % 7 == 0, "5").alias("zipcode"),
+        F.when(key % 3 == 0, "EXAMPLE").when(key % 3 == 1, "NULL").alias("city"),
+        F.when(key % 4 == 0, "sch").otherwise("").alias("category"),
+        F.when(key % 5 > 0, F.upper("lang")).alias("country"),
+    )
+    found = place_search_batch(places(spark, folder), requests)
+    return found.select("request_id", "place_url", "rating_numeric", "rank")
+
+
 def _hotel_index(spark, folder, nested, block_rows=256):
     """Hotels with the texts that a search reads, nested columns in the form it searches."""
     texts = [F.col(c) for c in ("description", "fine_print", "property_highlights")]
