@@ -12,7 +12,7 @@ from staysift.operators.joins import join_on_unique, keep_ids
 from staysift.operators.keyword import KeywordIndex, bm25_topk, build_index, open_index
 from staysift.operators.ranking import top_k_per_group
 from staysift.operators.vectors import fit_text_vectors, text_vectors, vector_topk
-from staysift.session import BROADCAST_ROWS, cut_and_measure
+from staysift.session import BROADCAST_ROWS, cut_and_measure, cut_lineage
 
 # The constant of reciprocal rank fusion, and the results per query.
 RRF = 60
@@ -144,6 +144,61 @@ def hybrid_topk(
     return fuse_ranks([by_word, by_vector], k, qid, key)
 
 
+def hybrid_topk_full(
+    index: KeywordIndex,
+    vectors: DataFrame,
+    queries: DataFrame,
+    qid: str,
+    text: str,
+    vec: str = "embedding",
+    k: int = K,
+    depth: int = DEPTH,
+    filter_ids: DataFrame | None = None,
+) -> DataFrame:
+    """``hybrid_topk`` with the whole rankings fused, so the result does not depend on ``depth``.
+
+    A chunk that is beyond the depth of a ranking has at most 1 / (61 + depth) from it, and one that is
+    in neither at most twice that. A query is settled once no chunk whose rank is open can reach its k-th
+    score, or its rankings end; only the others are ranked again, four times as deep.
+    """
+    key = index.key
+    depth = max(depth, k)
+    vectors = keep_ids(vectors, key, filter_ids) if filter_ids is not None else vectors
+    done = None
+    while True:
+        by_word = bm25_topk(index, queries, depth, qid, text, filter_ids).select(qid, key, F.col("rank").alias("w"))
+        by_vector = vector_topk(vectors, queries.where(F.col(vec).isNotNull()), depth, key, qid, vec)
+        by_vector = by_vector.select(qid, key, F.col("rank").alias("v"))
+        ranks = cut_lineage(
+            by_word.withColumn("v", F.lit(None).cast("int")).unionByName(by_vector.withColumn("w", F.lit(None).cast("int")))
+            .groupBy(qid, key).agg(F.max("w").alias("w"), F.max("v").alias("v"))
+        )
+        # A ranking with fewer rows than the depth has come to its end: a missing rank there is none.
+        ends = ranks.groupBy(qid).agg((F.count("w") < depth).alias("w_ends"), (F.count("v") < depth).alias("v_ends"))
+        open_ = {c: F.when(F.col(c).isNull() & ~F.col(f"{c}_ends"), 1 / (RRF + 1 + F.lit(depth))).otherwise(0.0) for c in "wv"}
+        known = sum(F.coalesce(1 / (RRF + F.col(c)), F.lit(0.0)) for c in "wv")
+        scored = ranks.join(ends, qid).select(
+            qid, key, F.round(known, DIGITS).alias("score"), F.round(known + open_["w"] + open_["v"], DIGITS).alias("most"),
+            F.round((F.when(F.col("w_ends"), 0).otherwise(1) + F.when(F.col("v_ends"), 0).otherwise(1)) / (RRF + 1 + F.lit(depth)), DIGITS).alias("unseen"),
+            ((open_["w"] + open_["v"]) > 0).alias("guess"),
+        )
+        scored = cut_lineage(scored)
+        best = top_k_per_group(scored, qid, [F.desc("score"), F.asc(key)], k)
+        kth = best.groupBy(qid).agg(F.when(F.count("rank") >= k, F.min("score")).alias("kth"))
+        judged = scored.join(kth, qid).groupBy(qid).agg(
+            F.max(F.col("guess") & (F.col("kth").isNull() | (F.col("most") >= F.col("kth")))).alias("guessed"),
+            F.max((F.col("unseen") > 0) & (F.col("kth").isNull() | (F.col("unseen") >= F.col("kth")))).alias("open"),
+        )
+        settled = cut_lineage(judged.select(qid, (~F.col("guessed") & ~F.col("open")).alias("settled")))
+        part = cut_lineage(best.join(settled.where("settled").select(qid), qid).select(qid, key, "score", "rank"))
+        done = part if done is None else done.unionByName(part)
+        left = settled.where("NOT settled").select(qid)
+        if not left.limit(1).count():
+            return done
+        queries = cut_lineage(queries.join(left, qid, "left_semi"))
+        depth *= 4
+
+
 def with_attributes(hits: DataFrame, chunks: DataFrame, key: str, qid: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hits with the columns of their chunk.
 

@@ -13,7 +13,7 @@ from staysift.operators.conversations import (
     route_by_last_turn,
 )
 from staysift.operators.evaluate import containing_documents, retrieval_recall, retrieval_summary
-from staysift.operators.hybrid import build_hybrid_index, hybrid_topk, search, with_attributes
+from staysift.operators.hybrid import build_hybrid_index, hybrid_topk, hybrid_topk_full, search, with_attributes
 from staysift.operators.joins import join_on_unique
 from staysift.operators.keyword import bm25_topk, build_index
 from staysift.operators.placed import place_vectors, placed_topk
@@ -262,7 +262,7 @@ SELECT * FROM (
 WHERE rank <= {k}"""
 
 
-def _hybrid(spark, folder, **how):
+def _hybrid(spark, folder, method=hybrid_topk, **how):
     vectors = read_table(spark, folder, "embeddings", "vec_id", "embedding", spread_by="vec_id")
     docs = _documents(spark, folder, "doc_id", "text")
     index = _document_index(spark, folder)
@@ -271,7 +271,7 @@ def _hybrid(spark, folder, **how):
     )
     vectors = vectors.withColumnRenamed("vec_id", "doc_id")
     vectors = cut_lineage(vectors.join(docs.select("doc_id"), "doc_id", "left_semi"))
-    return hybrid_topk(index, vectors, cut_lineage(asked), "item_id", "text", **how)
+    return method(index, vectors, cut_lineage(asked), "item_id", "text", **how)
 
 
 @query("hybrid_topk", hybrid_sql())
@@ -279,6 +279,12 @@ def _(spark, folder):
     return _hybrid(spark, folder)
 
 
+@query("hybrid_topk_full", hybrid_sql(depth=1_000_000_000))
+def _(spark, folder):
+    """Whole rankings are fused."""
+    return _hybrid(spark, folder, method=hybrid_topk_full)
+
+
 @query("hybrid_topk_filtered", hybrid_sql("doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)"))
 def _(spark, folder):
     good = read_table(spark, folder, "labels").where("quality = 1").select("doc_id")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from staysift.operators import hybrid, keyword
 from staysift.operators.evaluate import containing_documents, retrieval_recall, retrieval_summary
+from staysift.operators.hybrid import hybrid_topk, hybrid_topk_full
+from staysift.operators.keyword import build_index
 from staysift.operators import vectors as vectors_module
 from staysift.operators.vectors import (
     fit_text_vectors,
@@ -338,3 +340,21 @@ def test_hybrid_depth_follows_k(spark):
         for f in (ids, frame)
     ]
     assert both[0] == both[1] and {r[1] for r in both[0]} == set(ids)
+
+
+def test_full_fusion_finds_what_is_deep_in_both_lists(spark, tmp_path):
+    """Rank 51 of both lists beats the first of a single list; rankings of any depth agree."""
+    tf = {**{i: 60 - i for i in range(50)}, 99: 5}
+    words = [(i, "sea " * tf.get(i, 0) + "pad " * (100 - tf.get(i, 0))) for i in range(101)]
+    turned = {**{i: 0.01 * (i - 50) for i in range(50, 99)}, 100: 0.6, 99: 1.0}
+    vecs = [(i, [math.cos(a), math.sin(a)]) for i, a in turned.items()]
+    index = build_index(spark.createDataFrame(words, "d long, text string"), f"{tmp_path}/w", "d", "text")
+    vectors = spark.createDataFrame(vecs, "d long, embedding array<double>")
+    queries = spark.createDataFrame([(1, "sea", [1.0, 0.0]), (2, "nothing", [0.0, 1.0]), (3, "sea", None)], "q int, text string, embedding array<double>")
+    whole = hybrid_topk(index, vectors, queries, "q", "text", k=5, depth=101).collect()
+    for depth in (5, 50, 200):
+        got = hybrid_topk_full(index, vectors, queries, "q", "text", k=5, depth=depth).collect()
+        assert sorted(map(str, got)) == sorted(map(str, whole)), depth
+    cut = hybrid_topk(index, vectors, queries, "q", "text", k=5, depth=50).collect()
+    assert [r["d"] for r in whole if r["q"] == 1 and r["rank"] == 1] == [99]
+    assert 99 not in {r["d"] for r in cut if r["q"] == 1}
