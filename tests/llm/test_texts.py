@@ -14,7 +14,7 @@ import xxhash
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from staysift.llm import packing, simhash, suffix, token_store
+from staysift.llm import packing, simhash, suffix, token_store, tokens
 from staysift.llm.tokens import coder, runs
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -60,6 +60,16 @@ def test_pieces_give_the_ids_of_whole_texts(texts):
         assert np.frombuffer(ids, "<u4").tolist() == ids_of(text)[:-1]
 
 
+def test_ids_stay_right_when_tables_of_words_are_full(monkeypatch):
+    monkeypatch.setattr(tokens, "_KEPT", 7)
+    coding = tokens.PieceCoder(PATH)
+    words = ["ab", "Émile", "", "\1", "a\0", "x" * 30, "it's", "a,b", "中文", "9"]
+    for n in range(40):
+        texts = [" ".join(words[(n * i + j) % len(words)] + str(j % (n + 1)) for j in range(9)) for i in range(5)]
+        for text, ids in zip(texts, coding.encode([*texts, ""])):
+            assert np.frombuffer(ids, "<u4").tolist() == ids_of(text)[:-1]
+
+
 def test_runs_cover_all_texts():
     texts = ["x" * n for n in (3, 0, 50, 1, 1)]
     assert [i for a, b in runs(texts, 4) for i in range(a, b)] == list(range(5))
