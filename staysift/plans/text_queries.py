@@ -14,6 +14,7 @@ from staysift.operators.conversations import (
 )
 from staysift.operators.evaluate import containing_documents, retrieval_recall, retrieval_summary
 from staysift.operators.hybrid import build_hybrid_index, hybrid_topk, hybrid_topk_full, search, with_attributes
+from staysift.operators.intervals import bootstrap_intervals, ndcg, paired_differences, poisson_steps
 from staysift.operators.joins import join_on_unique
 from staysift.operators.keyword import bm25_topk, build_index
 from staysift.operators.placed import place_vectors, placed_topk
@@ -30,6 +31,7 @@ from staysift.session import cut_lineage, scratch_path
 from staysift.sources.changes import apply_changes, changed_rows, snapshot_diff, write_snapshot
 from staysift.sources.jsonrows import json_rows, write_json_rows
 from staysift.sources.profile import table_profile
+from staysift.sources.sketches import merged_profile, value_name, write_profile_part
 from staysift.sources.tables import read_merged, read_table, replace_path, union_schemas
 from staysift.streaming.parts import PartIndex
 from staysift.streaming.sync import compact_index, live_chunks, sync_index
@@ -262,10 +264,10 @@ SELECT * FROM (
 WHERE rank <= {k}"""
 
 
-def _hybrid(spark, folder, method=hybrid_topk, **how):
+def _hybrid(spark, folder, method=hybrid_topk, index=None, **how):
     vectors = read_table(spark, folder, "embeddings", "vec_id", "embedding", spread_by="vec_id")
     docs = _documents(spark, folder, "doc_id", "text")
-    index = _document_index(spark, folder)
+    index = index or _document_index(spark, folder)
     asked = read_table(spark, folder, "benchmark").join(
         vectors.withColumnRenamed("vec_id", "item_id"), "item_id", "left"
     )
@@ -363,6 +365,64 @@ def _(spark, folder):
     return total.withColumns({c: F.round(c, 6) for c in ("mean_recall", "mrr")})
 
 
+REPLICATES = 200
+
+
+def interval_sql(metrics: list[str]) -> str:
+    """The intervals of ``metrics`` of the CTE ``measured``, one row a query."""
+    draw = "('0x' || substr(md5('0:' || r || ':' || item_id), 1, 8))::BIGINT"
+    weight = " + ".join(f"(draw >= {s})::INT" for s in poisson_steps())
+    values = " UNION ALL ".join(f"SELECT '{m}' AS metric, item_id, {m}::DOUBLE AS v FROM measured" for m in metrics)
+    return f"""cells AS ({values}),
+drawn AS (SELECT metric, v, r, {draw} AS draw FROM cells, range(1, {REPLICATES + 1}) t(r)),
+means AS (SELECT metric, r, sum(w * v) / nullif(sum(w), 0) AS mean
+          FROM (SELECT metric, r, v, {weight} AS w FROM drawn) GROUP BY ALL),
+bounds AS (SELECT metric, quantile_cont(mean, 0.025) AS lower, quantile_cont(mean, 0.975) AS upper
+           FROM means GROUP BY metric)
+SELECT metric, count(*) AS n_queries, round(avg(v), 6) AS estimate,
+       round(any_value(lower), 6) AS lower, round(any_value(upper), 6) AS upper
+FROM cells JOIN bounds USING (metric) GROUP BY metric"""
+
+
+NDCG_SQL = "sum(coalesce(1 / log2({} + 1), 0)) / list_sum([1 / log2(i + 1) for i in range(1, least(5, count(*)) + 1)])"
+
+
+@query(
+    "retrieval_intervals",
+    f"""WITH {BENCHMARK_BM25},
+both_ways AS ({hybrid_sql()}),
+truth AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+placed AS (SELECT item_id, b.rank AS plain, f.rank AS fused
+           FROM truth LEFT JOIN bm25 b USING (item_id, doc_id) LEFT JOIN both_ways f USING (item_id, doc_id)),
+measured AS (
+  SELECT *, recall - fused_recall AS recall_gained, ndcg - fused_ndcg AS ndcg_gained
+  FROM (SELECT item_id, count(plain) / count(*) AS recall, {NDCG_SQL.format("plain")} AS ndcg,
+               count(fused) / count(*) AS fused_recall, {NDCG_SQL.format("fused")} AS fused_ndcg
+        FROM placed GROUP BY item_id)),
+{interval_sql(["recall", "ndcg", "recall_gained", "ndcg_gained"])}""",
+)
+def _(spark, folder):
+    """Keyword search against fused search, on the same questions."""
+    asked = read_table(spark, folder, "benchmark")
+    index = _document_index(spark, folder)
+    docs = _documents(spark, folder, "doc_id", "text")
+    truth = cut_lineage(containing_documents(index, docs, "text", asked, "item_id", "text"))
+    rankings = [bm25_topk(index, asked, 5, "item_id", "text"), _hybrid(spark, folder, index=index)]
+    plain, fused = [
+        cut_lineage(
+            retrieval_recall(hits, truth, "item_id", "doc_id")
+            .select("item_id", "recall")
+            .join(ndcg(hits, truth, "item_id", "doc_id", 5), "item_id")
+        )
+        for hits in map(cut_lineage, rankings)
+    ]
+    gained = paired_differences(plain, fused, "item_id", ["recall", "ndcg"])
+    names = {"recall": "recall_gained", "ndcg": "ndcg_gained"}
+    measured = plain.join(gained.withColumnsRenamed(names), "item_id")
+    found = bootstrap_intervals(measured, "item_id", ["recall", "ndcg", *names.values()], REPLICATES)
+    return found.withColumns({c: F.round(c, 6) for c in ("estimate", "lower", "upper")})
+
+
 @query(
     "snapshot_diff",
     """WITH edited AS (
@@ -521,6 +581,65 @@ def _(spark, folder):
     return judged.drop("n_distinct", "n")
 
 
+ORDER_COLUMNS = {
+    "o_orderkey": "bigint",
+    "o_custkey": "bigint",
+    "o_orderstatus": "string",
+    "o_totalprice": "double",
+    "o_orderdate": "timestamp_ntz",
+    "o_orderpriority": "string",
+}
+
+
+@query(
+    "profile_merged",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, '{t}' AS column_type, count(*) AS n_rows, count(*) - count({c}) AS n_nulls,"
+        " true AS distinct_near, true AS median_near, true AS frequent_near FROM orders"
+        for c, t in ORDER_COLUMNS.items()
+    ),
+)
+def _(spark, folder):
+    """Three parts of a table, profiled one by one and merged; the errors are judged against exact counts."""
+    orders = read_table(spark, folder, "orders", *ORDER_COLUMNS)
+    path = scratch_path(spark, "profile")
+    year = F.coalesce(F.year("o_orderdate"), F.lit(0))
+    for part, (first, last) in enumerate([(0, 1996), (1997, 1999), (2000, 9999)]):
+        write_profile_part(orders.where(year.between(first, last)), path, part)
+    merged = cut_lineage(
+        merged_profile(spark, path).select(
+            "*", F.col("quantiles")[1].alias("median"), F.get("frequent", F.lit(0)).alias("top")
+        )
+    )
+    kinds = dict(orders.dtypes)
+    cells = F.array(*[
+        F.struct(
+            F.lit(c).alias("column_name"), value_name(F.col(c)).alias("v"),
+            (F.col(c).cast("double") if kinds[c] in ("bigint", "int", "double") else F.lit(None).cast("double")).alias("d"),
+        )
+        for c in orders.columns
+    ])
+    values = orders.select(F.inline(cells)).groupBy("column_name", "v", "d").agg(F.count("*").alias("n"))
+    there = F.col("v").isNotNull()
+    exact = values.join(F.broadcast(merged.select("column_name", "median", "top")), "column_name").groupBy("column_name").agg(
+        F.count("v").alias("_distinct"),
+        F.sum(F.when(there, F.col("n"))).alias("_values"),
+        F.sum(F.when(F.col("d") < F.col("median"), F.col("n")).otherwise(0)).alias("_under"),
+        F.sum(F.when(F.col("d") <= F.col("median"), F.col("n")).otherwise(0)).alias("_upto"),
+        F.max(F.when(there, F.col("n"))).alias("_most"),
+        F.sum(F.when(F.col("v") == F.col("top.item"), F.col("n")).otherwise(0)).alias("_top"),
+    )
+    slack = 0.01 * F.col("n_rows") + 1
+    return merged.join(F.broadcast(exact), "column_name").select(
+        "column_name", "column_type", "n_rows", "n_nulls",
+        (F.abs(F.col("n_distinct") - F.col("_distinct")) <= 0.04 * F.col("_distinct")).alias("distinct_near"),
+        (F.col("median").isNull() | (
+            (F.col("_under") <= 0.5 * F.col("_values") + 2 * slack) & (F.col("_upto") >= 0.5 * F.col("_values") - 2 * slack)
+        )).alias("median_near"),
+        ((F.abs(F.col("top.count") - F.col("_top")) <= slack) & (F.col("_most") - F.col("_top") <= slack)).alias("frequent_near"),
+    )
+
+
 def _synced(spark, folder):
     path = scratch_path(spark, "synced")
     schema = read_table(spark, folder, "documents").schema
