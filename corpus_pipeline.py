@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), docs with the columns of documents, and gives such a table
 again; the last gives the packed pieces. A stage's result is written and read again before the next.
+
+Null and empty texts are documents like others: they are scored as empty texts, are near copies of
+each other, hold no repeats, and end in the mix, which takes words. Null keys and repeated rows take
+part in every stage. An empty table passes through as one (the machine is then fitted on nothing
+and rejects nothing). Further columns keep their values, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
@@ -27,9 +32,12 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the bytes that repeat elsewhere; ``n_chars`` follows the text."""
-    kept = suffix.remove_repeats(docs, as_text=True)
-    kept = kept.withColumn("text", F.col("_repeats.kept")).withColumn("n_chars", F.length("text").cast("long"))
-    return kept.select(*docs.columns)
+    # The operator keeps some names for itself; here every column comes back.
+    names = {c: f"column{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    kept = suffix.remove_repeats(docs.withColumnsRenamed(names), as_text=True)
+    text = F.col("_repeats.kept")
+    made = {"text": text, "n_chars": F.length(text).cast("long")}
+    return kept.select(*[made.get(c, F.col(names.get(c, c))).alias(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

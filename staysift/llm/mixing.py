@@ -248,27 +248,35 @@ def mixed_documents(
         .withColumn("_turn", F.explode(F.sequence(F.lit(1), F.array_max("_parts.uses").cast("int"))))
         .select("_key", "_hash", "_parts", "_turn", "sid")
     )
-    rows = df.withColumn("_hash", F.md5(F.coalesce(F.col(text), F.lit("")))).withColumn("_source", F.col(source))
+    # A row's other columns travel in one struct, so their names meet no name used here.
+    others = [F.col(f"`{c}`") for c in df.columns if c != text]
+    rows = df.select(
+        F.struct(*others).alias("_row"),
+        F.col(text).alias("_text"),
+        F.col(key).alias("_row_key"),
+        F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_row_hash"),
+        F.col(source).alias("_source"),
+    )
     if most > 1:  # equal rows: the lists count them
-        same = Window.partitionBy(F.col(key), F.col("_hash"), F.col("_source")).orderBy("_hash")
+        same = Window.partitionBy("_row_key", "_row_hash", "_source").orderBy("_row_hash")
         rows = rows.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").drop("_copy")
     ids = source_ids(df, source)
     named = lists.join(broadcast_if_small(ids), "sid").withColumnRenamed("_name", "_list_source").drop("sid")
-    joined = rows.withColumnRenamed("_hash", "_row_hash").join(
+    joined = rows.join(
         named,
-        F.col(key).eqNullSafe(F.col("_key"))
+        F.col("_row_key").eqNullSafe(F.col("_key"))
         & (F.col("_row_hash") == F.col("_hash"))
         & F.col("_source").eqNullSafe(F.col("_list_source")),
     )
-    words = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    words = F.regexp_extract_all(F.col("_text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     chosen = F.transform(
         F.filter("_parts", lambda p: p["uses"] >= F.col("_turn")),
         lambda p: F.concat_ws("", F.slice(F.col("_words"), (p["from"] + 1).cast("int"), p["words"].cast("int"))),
     )
-    built = joined.withColumn("_words", words).withColumn(
-        text, F.regexp_replace(F.concat_ws("", chosen), r"^[\x20\x09-\x0D]+", "")
+    built = F.regexp_replace(F.concat_ws("", chosen), r"^[\x20\x09-\x0D]+", "")
+    return joined.withColumn("_words", words).select(
+        *[built.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in df.columns]
     )
-    return built.select(*df.columns)
 
 
 def source_ids(df: DataFrame, source: str) -> DataFrame:

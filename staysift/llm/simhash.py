@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from staysift.llm.work import Union, components, forget, group_runs, starts_of, texts_of
+from staysift.llm.work import Union, components, forget, free_name, group_runs, starts_of, texts_of
 from staysift.operators.ranking import top_k_per_group
 from staysift.session import cut_and_measure, cut_lineage
 
@@ -222,8 +222,9 @@ def keep_one(
         .select(F.col("best._key").alias("_key"), F.col("best._hash").alias("_hash"))
         .distinct()
     )
-    rows = df.withColumn("_hash", F.xxhash64(text))
+    hashed, copy = free_name(df, "_hash"), free_name(df, "_copy")
+    rows = df.withColumn(hashed, F.xxhash64(text))
     kept = rows.join(
-        chosen, rows[key].eqNullSafe(chosen["_key"]) & (rows["_hash"] == chosen["_hash"]), "left_semi"
+        chosen, rows[key].eqNullSafe(chosen["_key"]) & (rows[hashed] == chosen["_hash"]), "left_semi"
     )
-    return top_k_per_group(kept, [key, "_hash"], [F.col("_hash")], 1, "_copy").drop("_copy", "_hash")
+    return top_k_per_group(kept, [key, hashed], [F.col(hashed)], 1, copy).drop(copy, hashed)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from staysift.llm.work import once, texts_of
+from staysift.llm.work import free_name, once, texts_of
 from staysift.session import broadcast_if_small
 
 BUCKETS = 1 << 18
@@ -232,5 +232,6 @@ def score(df: DataFrame, machine: Machine, text: str = "text", name: str = "scor
 
 
 def drop_toxic(df: DataFrame, machine: Machine, text: str = "text", reject: float = REJECT) -> DataFrame:
-    """The rows of ``df`` that score under ``reject``, all columns."""
-    return score(df, machine, text, "_toxicity").where(F.col("_toxicity") < reject).drop("_toxicity")
+    """The rows of ``df`` that score under ``reject``, with all their columns, whatever their names."""
+    name = free_name(df, "_toxicity")
+    return score(df, machine, text, name).where(F.col(name) < reject).drop(name)

@@ -30,6 +30,14 @@ def forget(kept: str = "") -> None:
             del store.__dict__[key]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be no column of ``df`` in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def by_bytes(batch: pa.RecordBatch, column: int | str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes in a text column each, or one row."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
