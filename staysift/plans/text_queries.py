@@ -18,6 +18,7 @@ from staysift.operators.intervals import bootstrap_intervals, ndcg, paired_diffe
 from staysift.operators.joins import join_on_unique
 from staysift.operators.keyword import bm25_topk, build_index
 from staysift.operators.placed import place_vectors, placed_topk
+from staysift.operators.textvectors import DIMS, fit_signed_vectors, signed_vectors
 from staysift.operators.vectors import (
     fit_text_vectors,
     mean_vectors,
@@ -218,6 +219,27 @@ def _(spark, folder):
     return vectors.select("doc_id", F.posexplode("embedding").alias("dim", "value")).where("value <> 0")
 
 
+@query(
+    "text_vectors_signed",
+    f"""WITH words AS (
+  SELECT doc_id, md5(t) AS d FROM (
+    SELECT doc_id, unnest({TOKENS.format("text")}) AS t FROM documents)),
+placed AS (
+  SELECT doc_id, ('0x' || substr(d, 1, 8))::BIGINT % {DIMS} AS dim,
+         1 - 2 * (('0x' || substr(d, 9, 1))::BIGINT % 2) AS sign FROM words),
+size AS (SELECT count(text) AS n FROM documents),
+idf AS (SELECT dim, ln((any_value(n) + 1) / (count(DISTINCT doc_id) + 1)) AS idf FROM placed, size GROUP BY dim),
+cells AS (SELECT doc_id, dim, sum(sign) * any_value(idf) AS w FROM placed JOIN idf USING (dim) GROUP BY ALL),
+units AS (SELECT doc_id, dim, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS v, w FROM cells)
+SELECT doc_id, dim::INTEGER AS dim, round(v, 6) AS value FROM units WHERE w <> 0 AND round(v, 6) <> 0""",
+)
+def _(spark, folder):
+    docs = _documents(spark, folder, "doc_id", "text")
+    vectors = signed_vectors(docs, "text", fit_signed_vectors(docs, "text"))
+    cells = vectors.select("doc_id", F.posexplode("embedding").alias("dim", "value"))
+    return cells.withColumn("value", F.round("value", 6)).where("value <> 0")
+
+
 BENCHMARK_BM25 = bm25_sql("documents", "doc_id", "benchmark", "item_id", 5)
 
 
