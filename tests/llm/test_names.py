@@ -73,6 +73,7 @@ def test_stages_take_empty_tables_and_null_texts(spark):
     labels = docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) AS toxic").distinct()
     machine = toxicity.train(docs, labels)
     empty = docs.limit(0)
+    assert toxicity.drop_toxic(empty, toxicity.train(empty, labels)).count() == 0
     assert toxicity.drop_toxic(empty, machine).count() == 0
     nulls = docs.limit(4).withColumn("text", F.lit(None).cast("string"))
     for stage in (corpus_pipeline.without_near_copies, corpus_pipeline.without_repeats, corpus_pipeline.mixed):
