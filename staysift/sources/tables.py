@@ -21,6 +21,15 @@ def read_table(
     return spread(df, spread_by) if spread_by else df
 
 
+def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One table of a folder as a streaming frame, whether the table is a file or a folder of part files.
+
+    A name with a pattern may be either; a plain one would have to be a folder.
+    """
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}[.]parquet")
+
+
 def read_merged(spark: SparkSession, path: str) -> DataFrame:
     """A parquet folder whose files carry different columns, as the union of the columns."""
     return spark.read.option("mergeSchema", "true").parquet(path)

@@ -7,6 +7,7 @@ from staysift.operators import keyword
 from staysift.operators.chunking import fixed_chunks, recursive_chunks
 from staysift.plans.fixtures import update_events
 from staysift.session import scratch_path
+from staysift.sources.tables import stream_table
 from staysift.streaming.sync import compact_index, live_chunks, sync_index
 from staysift.streaming.updates import flatten_updates
 
@@ -56,6 +57,20 @@ def test_two_runs_equal_one_batch(spark, tmp_path, chunker):
     assert rows_of(live_chunks(spark, path, "id")) == before
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_a_table_is_a_file_or_a_folder_of_files(spark, tmp_path, parts):
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "doc_id long, text string")
+    for name in ("documents", "others"):
+        rows.repartition(parts, "doc_id").write.parquet(str(tmp_path / f"{name}.parquet"))
+    if parts == 1:  # the one file under the table's own name
+        folder = (tmp_path / "documents.parquet").rename(tmp_path / "old")
+        next(folder.glob("part-*")).rename(tmp_path / "documents.parquet")
+    path = str(tmp_path / "out")
+    sync_index(stream_table(spark, str(tmp_path), "documents"), path, "doc_id", "text", fixed_chunks, version=F.lit(0))
+    got = live_chunks(spark, path, "doc_id").select("doc_id", "chunk_no", "text", "chunk_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, fixed_chunks(rows, "doc_id", "text").select(got.columns).collect()))
+
+
 def test_compacted_index_equals_a_fresh_one(spark, tmp_path):
     folder, path = str(tmp_path / "in"), str(tmp_path / "out")
     for part in (FIRST, SECOND):
