@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+from staysift.operators import requests as requests_module
 from staysift.operators.listings import place_search
 from staysift.operators.requests import place_search_batch
 
@@ -55,3 +56,19 @@ def test_many_requests_cost_one_scan(spark, plan_of, tmp_path):
     assert sum("accessibility" in line for line in plan.splitlines() if "ReadSchema" in line) == 1
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert sorted(r["request_id"] for r in found.collect()) == [7, 77]
+
+
+def test_frequent_terms_do_not_meet_all_listings(spark, monkeypatch):
+    """Requests that are done after the best listings are not asked of the others; rare ones go on to the end."""
+    places = [(f"p{i}", [("ramp" if i else "lift",)], None, "OPEN", "Rome", "IT", "a", None, None, f"{i % 50}", f"u{i:04}") for i in range(600)]
+    asked = [(i, "ramp", None, None, None, None, None, 1) for i in range(20)] + [(20, "lift", None, None, None, None, None, 1)]
+    seen = []
+    plain = requests_module._hits
+    monkeypatch.setattr(requests_module, "_hits", lambda *a: seen.append(a[2]) or plain(*a))
+    table, wanted = spark.createDataFrame(places, PLACES).repartition(3), spark.createDataFrame(asked, REQUESTS)
+    got = place_search_batch(table, wanted, n=5).collect()
+    assert seen == [21, 1, 1, 1]
+    best = sorted(places[1:], key=lambda p: (-float(p[9]), p[10]))[:5]
+    for rid in range(20):
+        assert [r["place_url"] for r in sorted(got, key=lambda r: r["rank"]) if r["request_id"] == rid] == [p[10] for p in best]
+    assert [(r["rank"], r["place_url"]) for r in got if r["request_id"] == 20] == [(1, "u0000")]
