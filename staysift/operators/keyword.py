@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from staysift.functions.text import tokens
 from staysift.operators.joins import HOT_ROWS
@@ -25,6 +29,8 @@ PROBE = 2000
 NAMED_WORDS = 1000
 # Up to this many (query, posting) pairs everything is scored in one pass; above, in three steps.
 DIRECT_PAIRS = 50_000_000
+# About so many (query, posting) pairs go to a task, which holds at most a score for each.
+TASK_PAIRS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -42,16 +48,50 @@ class KeywordIndex:
 
 
 def make_postings(docs: DataFrame, key: str, text: str, *carried: str) -> DataFrame:
-    """``key, term, tf, doc_len`` with one shuffle by (key, term): a frequent term is spread.
+    """``key, term, doc_len, tf``, without a shuffle: the words of a text are counted where it is read.
 
-    ``carried`` columns depend on the key and come along.
+    ``carried`` columns come along. A key of several rows has the postings of each.
     """
     words = docs.select(key, *carried, tokens(text).alias("_words"))
-    # The outer form keeps Catalyst from adding a non-empty filter that would split the text again.
-    each = words.select(
-        key, *carried, F.size("_words").alias("doc_len"), F.explode_outer("_words").alias("term")
-    ).where(F.col("term").isNotNull())
-    return each.groupBy(key, "term", "doc_len", *carried).agg(F.count("*").alias("tf"))
+    kinds = words.schema
+    fields = [
+        kinds[key], T.StructField("term", T.StringType()), T.StructField("doc_len", T.IntegerType()),
+        *[kinds[c] for c in carried], T.StructField("tf", T.LongType()),
+    ]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_words")
+            flat = pc.list_flatten(lists).dictionary_encode()
+            different = max(1, len(flat.dictionary))
+            cells = pc.list_parent_indices(lists).to_numpy().astype(np.int64) * different + flat.indices.to_numpy()
+            cells, tf = np.unique(cells, return_counts=True)
+            row = pa.array(cells // different)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(key).take(row),
+                    flat.dictionary.take(pa.array(cells % different)),
+                    pc.list_value_length(lists).take(row),
+                    *[batch.column(c).take(row) for c in carried],
+                    pa.array(tf.astype(np.int64)),
+                ],
+                names=[f.name for f in fields],
+            )
+
+    return words.mapInArrow(count, T.StructType(fields))
+
+
+def ranged_postings(postings: DataFrame, key: str, *carried: str) -> DataFrame:
+    """Postings in ranges of (term, key), sorted by term; those of equal rows of a key are added up.
+
+    The postings should be stored: a pass over them finds the ranges, and one tells if keys come twice.
+    The ranges hold all postings of a term and a key, so adding up takes no further shuffle.
+    """
+    ranged = postings.repartitionByRange("term", key)
+    twice = postings.groupBy(key).agg((F.sum("tf") > F.max("doc_len")).alias("_twice")).where("_twice")
+    if twice.limit(1).count():
+        ranged = ranged.groupBy(key, "term", "doc_len", *carried).agg(F.sum("tf").alias("tf"))
+    return ranged.sortWithinPartitions("term")
 
 
 def term_counts(postings: DataFrame) -> DataFrame:
@@ -75,8 +115,8 @@ def build_index(docs: DataFrame, path: str, key: str, text: str) -> KeywordIndex
     few files that can hold them; a frequent term spans several files.
     """
     docs = docs.where(F.col(text).isNotNull())
-    ranged = make_postings(docs, key, text).repartitionByRange("term", key)
-    ranged.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    counted = cut_lineage(make_postings(docs, key, text))
+    ranged_postings(counted, key).write.mode("overwrite").parquet(f"{path}/postings")
     spark = docs.sparkSession
     write_term_counts(spark, path)
     docs.agg(F.count("*").alias("n_docs")).write.mode("overwrite").parquet(f"{path}/stats")
@@ -144,8 +184,34 @@ def _match(postings: DataFrame, asked: DataFrame, rows: int, key: str) -> DataFr
     return left.join(right, ["term", "_salt"]).drop("_salt")
 
 
-def _scores(postings: DataFrame, asked: DataFrame, rows: int, qid: str, key: str) -> DataFrame:
-    matched = _match(postings, asked, rows, key)
+def _numbered(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Different terms (at most BROADCAST_ROWS) with a number each, and ``asked`` with the numbers for the terms."""
+    numbers = cut_lineage(
+        asked.select("term").distinct().withColumn("_no", F.row_number().over(Window.orderBy("term")))
+    )
+    return F.broadcast(numbers), F.broadcast(asked.join(F.broadcast(numbers), "term").drop("term"))
+
+
+def _tasks(df: DataFrame, pairs: int) -> int:
+    """Tasks for so many (query, posting) pairs: the scores of a task's documents are in memory."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // TASK_PAIRS))
+
+
+def _narrow(postings: DataFrame, numbers: DataFrame, key: str) -> DataFrame:
+    return postings.join(numbers, "term").select(key, "_no", "tf", "doc_len")
+
+
+def _scores(postings: DataFrame, asked: DataFrame, rows: int, pairs: int, qid: str, key: str) -> DataFrame:
+    """``qid, key, score`` by the ``asked`` words (``rows`` rows, ``pairs`` pairs with postings).
+
+    Postings are dealt by document and meet the queries there: a posting is shuffled once, whatever the
+    number of queries that ask for its term, and scores are added up where they are.
+    """
+    if rows <= BROADCAST_ROWS:
+        numbers, asked = _numbered(asked)
+        matched = _narrow(postings, numbers, key).repartition(_tasks(postings, pairs), key).join(asked, "_no")
+    else:
+        matched = _match(postings, asked, rows, key)
     return matched.groupBy(qid, key).agg(F.sum(_part()).alias("score"))
 
 
@@ -180,7 +246,7 @@ def bm25_topk(
     if allowed is not None:
         postings = postings.join(broadcast_if_small(allowed.select(key).distinct()), key, "left_semi")
     if (seen["pairs"] or 0) <= direct_pairs:
-        scored = _scores(postings, asked, seen["rows"], qid, key)
+        scored = _scores(postings, asked, seen["rows"], seen["pairs"] or 0, qid, key)
     else:
         scored = _scores_of_contenders(postings, asked, seen["rows"], k, qid, key, probe)
     rounded = scored.withColumn("score", F.round("score", DIGITS))
@@ -201,7 +267,9 @@ def _scores_of_contenders(
     rare_first = Window.partitionBy(qid).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
     read_before = F.coalesce(F.sum("df").over(rare_first), F.lit(0))
     seeds = asked.withColumn("_before", read_before).where(F.col("_before") < probe).drop("_before")
-    bound, seen = cut_and_measure(_kth(_scores(postings, seeds, rows, qid, key), qid, key, k))
+    seeds, seeds_seen = cut_and_measure(seeds, pairs=F.sum("df"))
+    partial = _scores(postings, seeds, rows, seeds_seen["pairs"] or 0, qid, key)
+    bound, seen = cut_and_measure(_kth(partial, qid, key, k))
 
     low_first = Window.partitionBy(qid).orderBy("cap", "term")
     weak = F.sum(F.when(~F.col("essential"), F.col("cap"))).over(Window.partitionBy(qid))
@@ -212,8 +280,13 @@ def _scores_of_contenders(
         .withColumn("essential", F.col("_reach") >= F.col("bound"))
         .withColumn("rest", F.coalesce(weak, F.lit(0.0))),
         others=F.count_if(~F.col("essential")),
+        pairs=F.sum(F.when(F.col("essential"), F.col("df"))),
+        other_pairs=F.sum(F.when(~F.col("essential"), F.col("df"))),
     )
-    found = cut_lineage(_scores(postings, asked.where("essential"), rows, qid, key))
+    found = _scores(postings, asked.where("essential"), rows, asked_seen["pairs"] or 0, qid, key)
+    reach = broadcast_if_small(asked.select(qid, "bound", "rest").distinct(), rows=rows)
+    found = found.join(reach, qid).where(F.col("score") + F.col("rest") >= F.col("bound"))
+    found = cut_lineage(found.select(qid, key, "score"))
     if not asked_seen["others"]:
         return found
     # The k-th best of these scores is a closer bound; few documents can still reach it.
@@ -225,6 +298,8 @@ def _scores_of_contenders(
     left = found.join(broadcast_if_small(limits, rows=limits_seen["rows"]), qid).where(within)
     left = left.select(qid, key, "score")
     others = asked.where(~F.col("essential")).select(qid, "term", "idf", "mean_len")
+    if rows <= BROADCAST_ROWS:
+        return _completed(left, postings, others, asked_seen["other_pairs"] or 0, qid, key)
     others = broadcast_if_small(others, rows=asked_seen["others"])
     pending, pending_seen = cut_and_measure(left.select(qid, key).join(others, qid))
     # Only the postings of the remaining words, and of the candidates when those are few.
@@ -237,3 +312,26 @@ def _scores_of_contenders(
     pending = broadcast_if_small(pending, rows=pending_seen["rows"])
     added = open_.join(pending, [key, "term"]).select(qid, key, _part().alias("score"))
     return left.unionByName(added).groupBy(qid, key).agg(F.sum("score").alias("score"))
+
+
+def _completed(left: DataFrame, postings: DataFrame, others: DataFrame, pairs: int, qid: str, key: str) -> DataFrame:
+    """Scores of the candidates ``left`` with the ``others`` words added.
+
+    Candidates and the postings of the words are dealt by document in one shuffle; postings of documents
+    that are no candidates of a query drop out with their sum.
+    """
+    numbers, others = _numbered(others)
+    left = cut_lineage(left)
+    wanted = left.select(key).distinct()
+    small = broadcast_if_small(wanted)
+    if small is not wanted:
+        postings = postings.join(small, key, "left_semi")
+    open_ = _narrow(postings, numbers, key)
+    dealt = open_.unionByName(left, allowMissingColumns=True).repartition(_tasks(postings, pairs), key)
+    pairs_of = dealt.withColumnRenamed(qid, "_candidate").join(others, "_no", "left")
+    known = F.col("_no").isNull()
+    scores = pairs_of.select(
+        F.when(known, F.col("_candidate")).otherwise(F.col(qid)).alias(qid), key,
+        F.when(known, F.col("score")).otherwise(_part()).alias("score"), known.alias("_known"),
+    ).groupBy(qid, key).agg(F.sum("score").alias("score"), F.max("_known").alias("_known"))
+    return scores.where("_known").drop("_known")

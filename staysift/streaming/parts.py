@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from staysift.operators.hybrid import HybridIndex
-from staysift.operators.keyword import KeywordIndex, make_postings, term_counts
+from staysift.operators.keyword import KeywordIndex, make_postings, ranged_postings, term_counts
 from staysift.operators.ranking import latest_per_key
 from staysift.session import broadcast_if_small, cut_lineage, delete_folder
 from staysift.sources.changes import BEFORE, CHANGE, DELETE
@@ -150,7 +150,7 @@ class PartIndex:
         docs.withColumn(BATCH, F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/docs")
         chunks.withColumn(BATCH, F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/chunks")
         written = self.spark.read.parquet(f"{folder}/chunks")
-        self._write_postings(folder, make_postings(written, "chunk_id", "text", BATCH))
+        self._write_postings(folder, cut_lineage(make_postings(written, "chunk_id", "text", BATCH)))
         vectors = self.embed(written).select("chunk_id", BATCH, "embedding").where("embedding IS NOT NULL")
         vectors.write.mode("overwrite").parquet(f"{folder}/vectors")
         entries = [tuple(r)[:4] + (number,) for r in self.state()]
@@ -169,8 +169,7 @@ class PartIndex:
             raise
 
     def _write_postings(self, folder: str, postings: DataFrame) -> None:
-        ranged = postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term")
-        ranged.write.mode("overwrite").parquet(f"{folder}/postings")
+        ranged_postings(postings, "chunk_id", BATCH).write.mode("overwrite").parquet(f"{folder}/postings")
         counts = term_counts(self.spark.read.parquet(f"{folder}/postings"))
         counts.write.mode("overwrite").parquet(f"{folder}/terms")
 

@@ -62,7 +62,7 @@ def sync_index(
         write(rows.select(key, "deleted", VERSION), "versions")
         write(chunker(rows.where(~F.col("deleted")).drop("deleted", VERSION), key, text), "chunks")
         written = batch.sparkSession.read.parquet(f"{path}/chunks/{BATCH}={number}")
-        write(make_postings(written, "chunk_id", "text", key).sortWithinPartitions("term"), "postings")
+        write(make_postings(written, "chunk_id", "text", key), "postings")
 
     query = (
         rows.writeStream.foreachBatch(take)

@@ -358,3 +358,25 @@ def test_full_fusion_finds_what_is_deep_in_both_lists(spark, tmp_path):
     cut = hybrid_topk(index, vectors, queries, "q", "text", k=5, depth=50).collect()
     assert [r["d"] for r in whole if r["q"] == 1 and r["rank"] == 1] == [99]
     assert 99 not in {r["d"] for r in cut if r["q"] == 1}
+
+
+def test_words_are_counted_without_a_shuffle(spark, plan_of, tmp_path):
+    rows = [(1, "b a b", "x"), (2, None, "x"), (3, "", "y"), (None, "a", "z"), (4, "ä Ä 1", "z"), (1, "c b a", "x"), (1, "a", "x")]
+    docs = spark.createDataFrame(rows, "id long, text string, more string")
+    postings = keyword.make_postings(docs.where("id <> 1 OR id IS NULL"), "id", "text", "more")
+    assert "Exchange" not in plan_of(postings)
+    assert postings.columns == ["id", "term", "doc_len", "more", "tf"]
+    assert set(map(tuple, postings.collect())) == {(None, "a", 1, "z", 1), (4, "ä", 3, "z", 2), (4, "1", 3, "z", 1)}
+    # Rows of a key with the same length are added up, as one of them would be.
+    built = build_index(docs, str(tmp_path), "id", "text").postings
+    got = {tuple(r) for r in built.select("id", "term", "doc_len", "tf").collect()}
+    twice = {(1, "a", 3, 2), (1, "b", 3, 3), (1, "c", 3, 1), (1, "a", 1, 1)}
+    assert got == twice | {(None, "a", 1, 1), (4, "ä", 3, 2), (4, "1", 3, 1)} and built.count() == 7
+
+
+def test_postings_are_dealt_once_whatever_the_number_of_queries(index, asked, plan_of):
+    qid = asked.columns[0]
+    plan = plan_of(keyword.bm25_topk(index, asked, 3, qid, "text"))
+    dealt = [line for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert any("REPARTITION_BY_NUM" in line for line in dealt)
+    assert not any(f"hashpartitioning({qid}#" in line and f", {index.key}#" in line for line in dealt)
