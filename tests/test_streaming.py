@@ -111,3 +111,15 @@ def test_flatten_keeps_order_of_nodes(spark):
     out = flatten_updates(events, "id").orderBy("node_no", "message_no").collect()
     assert [(r.node_no, r.node, r.message_no, r.content) for r in out] == [
         (0, "agent", 0, "1"), (0, "agent", 1, "2"), (1, "tools", 0, "3")]
+
+
+def test_live_rows_are_not_shuffled(spark, tmp_path, plan_of):
+    folder, path = str(tmp_path / "in"), str(tmp_path / "out")
+    drop_files(spark, folder, FIRST)
+    sync(spark, folder, path)
+    drop_files(spark, folder, SECOND)
+    sync(spark, folder, path)
+    live = live_chunks(spark, path, "id")
+    plan = plan_of(live)
+    assert "LeftAnti" in plan and "chunk_id" not in "".join(line for line in plan.splitlines() if "hashpartitioning" in line)
+    assert sorted(r["text"] for r in live.collect()) == ["new" + "er", "short now"]
