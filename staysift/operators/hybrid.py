@@ -6,12 +6,12 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from staysift.operators.joins import join_on_unique, keep_ids
-from staysift.operators.keyword import KeywordIndex, bm25_topk, build_index, open_index
+from staysift.operators.keyword import KeywordIndex, bm25_ranks, bm25_topk, build_index, open_index
 from staysift.operators.ranking import top_k_per_group
-from staysift.operators.vectors import fit_text_vectors, text_vectors, vector_topk
+from staysift.operators.vectors import fit_text_vectors, text_vectors, vector_ranks, vector_topk
 from staysift.session import BROADCAST_ROWS, cut_and_measure, cut_lineage
 
 # The constant of reciprocal rank fusion, and the results per query.
@@ -158,47 +158,67 @@ def hybrid_topk_full(
     """``hybrid_topk`` with the whole rankings fused, so the result does not depend on ``depth``.
 
     A chunk that is beyond the depth of a ranking has at most 1 / (61 + depth) from it, and one that is
-    in neither at most twice that. A query is settled once no chunk whose rank is open can reach its k-th
-    score, or its rankings end; only the others are ranked again, four times as deep.
+    in neither at most twice that, which from a depth of 2 * (RRF + k) on is less than the k-th score. Where
+    the k best still hang on a rank beyond the depth, that rank is counted in a pass over all scores
+    (``bm25_ranks``, ``vector_ranks``). Should rounding let unseen chunks tie with the k-th, the queries
+    concerned are ranked four times as deep.
     """
     key = index.key
-    depth = max(depth, k)
+    depth = max(depth, 2 * (RRF + k))
     vectors = keep_ids(vectors, key, filter_ids) if filter_ids is not None else vectors
+    none = F.lit(None).cast("int")
     done = None
     while True:
         by_word = bm25_topk(index, queries, depth, qid, text, filter_ids).select(qid, key, F.col("rank").alias("w"))
         by_vector = vector_topk(vectors, queries.where(F.col(vec).isNotNull()), depth, key, qid, vec)
         by_vector = by_vector.select(qid, key, F.col("rank").alias("v"))
         ranks = cut_lineage(
-            by_word.withColumn("v", F.lit(None).cast("int")).unionByName(by_vector.withColumn("w", F.lit(None).cast("int")))
+            by_word.withColumn("v", none).unionByName(by_vector.withColumn("w", none))
             .groupBy(qid, key).agg(F.max("w").alias("w"), F.max("v").alias("v"))
         )
-        # A ranking with fewer rows than the depth has come to its end: a missing rank there is none.
-        ends = ranks.groupBy(qid).agg((F.count("w") < depth).alias("w_ends"), (F.count("v") < depth).alias("v_ends"))
-        open_ = {c: F.when(F.col(c).isNull() & ~F.col(f"{c}_ends"), 1 / (RRF + 1 + F.lit(depth))).otherwise(0.0) for c in "wv"}
-        known = sum(F.coalesce(1 / (RRF + F.col(c)), F.lit(0.0)) for c in "wv")
-        scored = ranks.join(ends, qid).select(
-            qid, key, F.round(known, DIGITS).alias("score"), F.round(known + open_["w"] + open_["v"], DIGITS).alias("most"),
-            F.round((F.when(F.col("w_ends"), 0).otherwise(1) + F.when(F.col("v_ends"), 0).otherwise(1)) / (RRF + 1 + F.lit(depth)), DIGITS).alias("unseen"),
-            ((open_["w"] + open_["v"]) > 0).alias("guess"),
+        # A ranking that does not reach the depth has come to its end: a missing rank there is none.
+        beyond = {c: F.when(F.max(c) >= depth, 1 / (RRF + 1 + F.lit(depth))).otherwise(0.0) for c in "wv"}
+        beyond = ranks.groupBy(qid).agg(*[b.alias(f"{c}_beyond") for c, b in beyond.items()])
+        open_ = {c: F.when(F.col(c).isNull(), F.col(f"{c}_beyond")).otherwise(0.0) for c in "wv"}
+        known = _fused("w", "v")
+        scored = ranks.join(beyond, qid).select(
+            qid, key, "w", "v", F.round(known, DIGITS).alias("score"),
+            F.round(known + open_["w"] + open_["v"], DIGITS).alias("most"),
+            F.round(F.col("w_beyond") + F.col("v_beyond"), DIGITS).alias("unseen"),
+            *[(o > 0).alias(f"{c}_open") for c, o in open_.items()],
         )
         scored = cut_lineage(scored)
         best = top_k_per_group(scored, qid, [F.desc("score"), F.asc(key)], k)
         kth = best.groupBy(qid).agg(F.when(F.count("rank") >= k, F.min("score")).alias("kth"))
-        judged = scored.join(kth, qid).groupBy(qid).agg(
-            F.max(F.col("guess") & (F.col("kth").isNull() | (F.col("most") >= F.col("kth")))).alias("guessed"),
-            F.max((F.col("unseen") > 0) & (F.col("kth").isNull() | (F.col("unseen") >= F.col("kth")))).alias("open"),
+        reaches = [(F.col("kth").isNull() | (F.col(c) >= F.col("kth"))) for c in ("most", "unseen")]
+        judged = cut_lineage(
+            scored.join(kth, qid).withColumns({"_wins": reaches[0], "_deeper": (F.col("unseen") > 0) & reaches[1]})
         )
-        settled = cut_lineage(judged.select(qid, (~F.col("guessed") & ~F.col("open")).alias("settled")))
-        part = cut_lineage(best.join(settled.where("settled").select(qid), qid).select(qid, key, "score", "rank"))
+        pending = judged.where("_wins AND NOT _deeper")
+        for c in "wv":
+            wanted = cut_lineage(pending.where(f"{c}_open").select(qid, key))
+            if not wanted.limit(1).count():
+                continue
+            if c == "w":
+                found = bm25_ranks(index, queries, wanted, qid, text, filter_ids)
+            else:
+                found = vector_ranks(vectors, queries, wanted, key, qid, vec)
+            pending = pending.join(found.withColumnRenamed("rank", "_found"), [qid, key], "left")
+            pending = pending.withColumn(c, F.coalesce(c, "_found")).drop("_found")
+        fused = pending.withColumn("score", F.round(_fused("w", "v"), DIGITS)).select(qid, key, "score")
+        part = cut_lineage(top_k_per_group(fused, qid, [F.desc("score"), F.asc(key)], k))
         done = part if done is None else done.unionByName(part)
-        left = settled.where("NOT settled").select(qid)
+        left = judged.where("_deeper").select(qid).distinct()
         if not left.limit(1).count():
             return done
         queries = cut_lineage(queries.join(left, qid, "left_semi"))
         depth *= 4
 
 
+def _fused(*ranks: str) -> Column:
+    return sum(F.coalesce(1 / (RRF + F.col(c)), F.lit(0.0)) for c in ranks)
+
+
 def with_attributes(hits: DataFrame, chunks: DataFrame, key: str, qid: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hits with the columns of their chunk.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from staysift.functions.text import tokens
 from staysift.operators.joins import HOT_ROWS
-from staysift.operators.ranking import top_k_per_group
+from staysift.operators.ranking import counted_rows, ranks_by_count, top_k_per_group
 from staysift.session import BROADCAST_ROWS, broadcast_if_small, cut_and_measure, cut_lineage
 
 # BM25 saturation and length weight.
@@ -253,6 +253,33 @@ def bm25_topk(
     return top_k_per_group(rounded, qid, [F.desc("score"), F.asc(key)], k)
 
 
+def bm25_ranks(
+    index: KeywordIndex, queries: DataFrame, wanted: DataFrame, qid: str, text: str, allowed: DataFrame | None = None
+) -> DataFrame:
+    """The ranks of the ``wanted`` pairs ``qid, key`` in the whole rankings of ``bm25_topk``: ``qid, key, rank``.
+
+    Pairs without a common word have none. Every document is scored once and counted where its score is;
+    no ranking is sorted.
+    """
+    key = index.key
+
+    def scores(queries: DataFrame, only: DataFrame | None) -> DataFrame:
+        words, named = _asked_words(queries, qid, text)
+        asked, seen = cut_and_measure(query_terms(index, words, qid, named), pairs=F.sum("df"))
+        postings = index.postings.where(named)
+        if only is not None:
+            postings = postings.join(broadcast_if_small(only.select(key).distinct()), key, "left_semi")
+        scored = _scores(postings, asked, seen["rows"], seen["pairs"] or 0, qid, key)
+        return scored.withColumn("score", F.round("score", DIGITS))
+
+    own = scores(queries.join(wanted.select(qid).distinct(), qid, "left_semi"), wanted).join(wanted, [qid, key])
+
+    def count(some: DataFrame, make) -> DataFrame:
+        return counted_rows(scores(queries.join(some, qid, "left_semi"), allowed), qid, key, make)
+
+    return ranks_by_count(own.select(qid, key, "score"), qid, key, count)
+
+
 def _scores_of_contenders(
     postings: DataFrame, asked: DataFrame, rows: int, k: int, qid: str, key: str, probe: int
 ) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
-from staysift.operators import hybrid, keyword
+from staysift.operators import hybrid, keyword, ranking
 from staysift.operators.evaluate import containing_documents, retrieval_recall, retrieval_summary
 from staysift.operators.hybrid import hybrid_topk, hybrid_topk_full
 from staysift.operators.keyword import build_index
@@ -360,6 +360,45 @@ def test_full_fusion_finds_what_is_deep_in_both_lists(spark, tmp_path):
     assert 99 not in {r["d"] for r in cut if r["q"] == 1}
 
 
+def test_full_fusion_counts_the_open_ranks(spark, tmp_path, monkeypatch):
+    """Rankings are made once, at one depth; ranks beyond it are counted, ties and text keys included."""
+    many = 400
+    words = [(f"d{i:03}", "sea " * (1 + i % 30) + "pad " * 40 + ("sky " * 3 if i % 7 == 0 else "")) for i in range(many)]
+    # Many equal vectors, and a nearest chunk that is far down by words.
+    vecs = [(f"d{i:03}", [math.cos(a), math.sin(a)]) for i in range(0, many, 2) for a in [0.05 * ((i * 7) % 40)]]
+    index = build_index(spark.createDataFrame(words, "d string, text string"), f"{tmp_path}/w", "d", "text")
+    vectors = spark.createDataFrame(vecs, "d string, embedding array<double>")
+    asked = [(1, "sea", [1.0, 0.0]), (2, "sky sea", [0.0, 1.0]), (3, "sky", [1.0, 1.0]), (4, "pad", None), (5, "none", [1.0, 0.2])]
+    queries = spark.createDataFrame(asked, "q int, text string, embedding array<double>")
+    whole = hybrid_topk(index, vectors, queries, "q", "text", k=5, depth=1000).collect()
+    depths = []
+    ranked = hybrid.bm25_topk
+    monkeypatch.setattr(hybrid, "bm25_topk", lambda index, queries, k, *more: depths.append(k) or ranked(index, queries, k, *more))
+    got = hybrid_topk_full(index, vectors, queries, "q", "text", k=5).collect()
+    assert sorted(map(str, got)) == sorted(map(str, whole))
+    assert len(depths) == 1 and depths[0] < many // 2
+
+
+def test_ranks_are_counted_in_passes(spark):
+    """Counted ranks equal sorted ones: null keys, ties, several passes, query vectors in blocks."""
+    rows = [(g, k, s) for g in ("a", "b", "c") for k in [None, *range(40)] for s in [float((k or 0) * 7 % 5)]]
+    scores = spark.createDataFrame(rows, "g string, k long, score double")
+    want = ranking.numbered(scores, "g", [F.desc("score"), F.asc("k")]).select("g", "k", "rank").where("k IS NULL OR k % 3 = 0")
+    wanted = scores.where("k IS NULL OR k % 3 = 0")
+    for places in (20, 1000):
+        got = ranking.ranks_by_count(
+            wanted, "g", "k", lambda groups, make: ranking.counted_rows(scores, "g", "k", make), places=places
+        )
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    vectors = spark.createDataFrame([(i, [1.0, i % 9 / 9]) for i in range(90)], "v long, embedding array<double>")
+    queries = spark.createDataFrame([(q, [1.0, q / 5]) for q in range(5)], "q long, embedding array<double>")
+    ranked = vectors_module.vector_topk(vectors, queries, 90, "v", "q").select("q", "v", "rank")
+    wanted = ranked.where("rank % 8 = 0").select("q", "v").union(spark.createDataFrame([(1, 999)], "q long, v long"))
+    for numbers in (4, 1000):
+        got = vectors_module.vector_ranks(vectors, queries, wanted, "v", "q", query_numbers=numbers)
+        assert sorted(map(str, got.collect())) == sorted(map(str, ranked.where("rank % 8 = 0").collect()))
+
+
 def test_words_are_counted_without_a_shuffle(spark, plan_of, tmp_path):
     rows = [(1, "b a b", "x"), (2, None, "x"), (3, "", "y"), (None, "a", "z"), (4, "ä Ä 1", "z"), (1, "c b a", "x"), (1, "a", "x")]
     docs = spark.createDataFrame(rows, "id long, text string, more string")
