@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from staysift.session import broadcast_if_small, cut_lineage
+from staysift.session import BROADCAST_ROWS, cut_and_measure, cut_lineage
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -47,6 +47,8 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 # Hash buckets of a stored snapshot; a bucket is the least that a comparison reads.
 BUCKETS = 256
+# Hashes of digests (8 bytes each) that are broadcast at most, to drop other rows before a shuffle.
+HASHES = 4_000_000
 BUCKET, CHANGE = "_bucket", "_change"
 INSERT, DELETE, BEFORE, AFTER = "insert", "delete", "update_before", "update_after"
 
@@ -110,13 +112,28 @@ def differing_buckets(old: Snapshot, new: Snapshot) -> list[int]:
     return sorted(r[0] for r in both.select(BUCKET).collect())
 
 
+def _digest(df: DataFrame, columns: Iterable[str]) -> Column:
+    return F.unhex(F.sha2(_row_text(df, columns), 256))
+
+
+def _among(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """``rows`` joined with the ``n`` ``wanted`` rows by ``_digest``; other rows are shuffled only if ``n`` is very large."""
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(wanted), "_digest")
+    if n <= HASHES:
+        hashes = wanted.select(F.xxhash64("_digest").alias("_hash"))
+        rows = rows.join(F.broadcast(hashes), F.xxhash64("_digest") == F.col("_hash"), "left_semi")
+    return rows.join(wanted, "_digest")
+
+
 def changed_rows(old: Snapshot, new: Snapshot) -> DataFrame:
     """The change feed between two snapshots: ``_change`` and whole rows under the union of the columns.
 
     A row that is gone comes as ``delete``, or as ``update_before`` if its key still has rows; a row that is
     new as ``insert``, or ``update_after`` if its key had rows. Repeated rows come as often as
     their number changed. Only buckets with different digests are read. Rows are compared by digest
-    with partial counts, so a key with very many rows is spread over tasks.
+    with partial counts, so a key with very many rows is spread over tasks; the cells are read again
+    for the rows that changed.
     """
     if old.key != new.key:
         raise ValueError("the snapshots have different keys")
@@ -127,41 +144,60 @@ def changed_rows(old: Snapshot, new: Snapshot) -> DataFrame:
     def side(snapshot: Snapshot, n_old: int, n_new: int) -> DataFrame:
         rows = snapshot.rows.where(F.col(BUCKET).isin(buckets)).drop(BUCKET)
         cells = [F.col(c) if c in rows.columns else F.lit(None).cast(kinds[c]).alias(c) for c in columns]
-        digest = F.sha2(_row_text(rows, snapshot.columns), 256)
-        return rows.select(F.struct(*cells).alias("_cells"), digest.alias("_digest"), F.lit(n_old).alias("_old"), F.lit(n_new).alias("_new"))
+        digest = _digest(rows, snapshot.columns).alias("_digest")
+        return rows.select(F.struct(*cells).alias("_cells"), digest, F.lit(n_old).alias("_old"), F.lit(n_new).alias("_new"))
 
     both = side(old, 1, 0).unionAll(side(new, 0, 1)).withColumn("_key", F.col("_cells")[key])
-    counted = both.groupBy("_key", "_digest").agg(
-        F.sum("_old").alias("_old"), F.sum("_new").alias("_new"), F.first("_cells").alias("_cells")
-    )
-    counted = cut_lineage(counted)
+    counted = cut_lineage(both.groupBy("_key", "_digest").agg(F.sum("_old").alias("_old"), F.sum("_new").alias("_new")))
     changed = counted.where("_old <> _new")
     sides = counted.groupBy("_key").agg(F.max(F.col("_old") > 0).alias("_had"), F.max(F.col("_new") > 0).alias("_has"))
     sides = sides.withColumnRenamed("_key", "_of")
-    marked = changed.join(sides, F.col("_key").eqNullSafe(F.col("_of")))
     kept = F.col("_had") & F.col("_has")
     kind = F.when(F.col("_old") > F.col("_new"), F.when(kept, BEFORE).otherwise(DELETE)).otherwise(F.when(kept, AFTER).otherwise(INSERT))
-    times = F.array_repeat(F.lit(0), F.abs(F.col("_old") - F.col("_new")).cast("int"))
-    return marked.select(kind.alias(CHANGE), "_cells", F.explode(times)).select(CHANGE, "_cells.*")
+    marked, seen = cut_and_measure(
+        changed.join(sides, F.col("_key").eqNullSafe(F.col("_of"))).select(
+            "_digest", kind.alias(CHANGE), F.abs(F.col("_old") - F.col("_new")).cast("int").alias("_times"),
+            (F.col("_old") + F.col("_new") > 1).alias("_repeated"),
+        ),
+        repeated=F.count_if("_repeated"),
+    )
+    cells = both.select("_digest", "_cells")
+    # A row that is there once on one side only is the one to show; of repeated rows one is taken.
+    feed = _among(cells, marked.where("NOT _repeated"), seen["rows"]).select(CHANGE, "_cells")
+    if seen["repeated"]:
+        some = _among(cells, marked.where("_repeated"), seen["repeated"]).groupBy("_digest", CHANGE, "_times")
+        some = some.agg(F.first("_cells").alias("_cells")).select(CHANGE, "_cells", F.explode(F.array_repeat(F.lit(0), F.col("_times"))))
+        feed = feed.unionAll(some.select(CHANGE, "_cells"))
+    return feed.select(CHANGE, "_cells.*")
 
 
 def apply_changes(table: DataFrame, feed: DataFrame, key: str) -> DataFrame:
     """The table after a change feed, under the feed's columns.
 
-    Rows of keys without a change pass through. Rows of the others are counted by digest: those before the
-    change are taken off, those after it are added.
+    Rows are known by the digest of their cells. Those that the feed takes off are counted, and what is left of
+    them stays; all others and the feed's new rows pass through.
     """
     columns = [c for c in feed.columns if c != CHANGE]
     kinds = dict(feed.dtypes)
     cells = [F.col(c).cast(kinds[c]) if c in table.columns else F.lit(None).cast(kinds[c]).alias(c) for c in columns]
-    rows = table.select(*cells)
-    keys = feed.select(F.col(key).alias("_of")).distinct()
-    touched = F.col(key).eqNullSafe(F.col("_of"))
-    few = broadcast_if_small(keys)
-    same = rows.join(few, touched, "left_anti")
     gone = F.col(CHANGE).isin(DELETE, BEFORE)
-    signed = rows.join(few, touched, "left_semi").select(F.struct(*columns).alias("_cells"), F.lit(1).alias("_n"))
-    signed = signed.unionAll(feed.select(F.struct(*columns).alias("_cells"), F.when(gone, -1).otherwise(1).alias("_n")))
-    by_digest = signed.withColumn("_digest", F.sha2(F.to_json("_cells"), 256)).groupBy("_digest")
-    left = by_digest.agg(F.sum("_n").cast("int").alias("_n"), F.first("_cells").alias("_cells")).where("_n > 0")
-    return same.unionAll(left.select("_cells", F.explode(F.array_repeat(F.lit(0), F.col("_n")))).select("_cells.*"))
+    added = cut_lineage(feed.where(~gone).select(*columns))
+    taken = feed.where(gone).select(_digest(feed, columns).alias("_digest")).groupBy("_digest").agg(F.count("*").alias("_taken"))
+    taken, seen = cut_and_measure(taken)
+    rows = table.select(*cells).unionAll(added)
+    rows = rows.select(F.struct(*columns).alias("_cells"), _digest(rows, columns).alias("_digest"))
+    if seen["rows"] > HASHES:
+        marked = rows.join(taken, "_digest", "left")
+        same, hit = marked.where("_taken IS NULL").drop("_taken"), marked.where("_taken IS NOT NULL")
+    else:
+        hashes = F.broadcast(taken.select(F.xxhash64("_digest").alias("_hash")))
+        met = F.xxhash64("_digest") == F.col("_hash")
+        same, hit = rows.join(hashes, met, "left_anti"), rows.join(hashes, met, "left_semi")
+    # A hash may meet a digest that was not taken; the counts go by the digest itself.
+    counts = hit.groupBy("_digest").agg(F.count("*").alias("_n")).join(taken, "_digest", "left")
+    left = counts.select("_digest", (F.col("_n") - F.coalesce("_taken", F.lit(0))).cast("int").alias("_n")).where("_n > 0")
+    left, some = cut_and_measure(left)
+    if some["rows"]:
+        stays = _among(hit.select("_digest", "_cells"), left, some["rows"]).groupBy("_digest", "_n").agg(F.first("_cells").alias("_cells"))
+        same = same.select("_cells").unionAll(stays.select("_cells", F.explode(F.array_repeat(F.lit(0), F.col("_n")))).select("_cells"))
+    return same.select("_cells.*")

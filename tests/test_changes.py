@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from staysift.sources import changes
 from staysift.sources.changes import apply_changes, changed_rows, differing_buckets, open_snapshot, write_snapshot
 
 OLD = "k long, name string, n int, gone string"
@@ -85,3 +86,22 @@ def test_odd_snapshots(spark, tmp_path):
         changed_rows(full, write_snapshot(df, f"{tmp_path}/c", "k", 4))
     with pytest.raises(ValueError):
         write_snapshot(df.withColumn("_bucket", F.lit(1)), f"{tmp_path}/d", "k")
+
+
+@pytest.mark.parametrize("few, hashes", [(500_000, 4_000_000), (0, 4_000_000), (0, 0)])
+def test_rows_are_not_shuffled_for_a_feed(spark, tmp_path, plan_of, monkeypatch, few, hashes):
+    """Digests are; rows come as they are read, and all ways of finding the changed ones agree."""
+    monkeypatch.setattr(changes, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(changes, "HASHES", hashes)
+    one = spark.createDataFrame([(i, f"row {i}") for i in range(40)] + [(3, "row 3"), (3, "row 3"), (None, "x")], "k long, name string")
+    two = spark.createDataFrame([(i, f"row {i}" if i % 5 else "new") for i in range(2, 45)] + [(3, "row 3"), (None, "x")], "k long, name string")
+    before, after = write_snapshot(one, f"{tmp_path}/a", "k", 4), write_snapshot(two, f"{tmp_path}/b", "k", 4)
+    feed = changed_rows(before, after)
+    got = Counter((d.pop("_change"), str(sorted(d.items()))) for d in _dicts(feed))
+    assert got == _plain(_dicts(one), _dicts(two))
+    applied = apply_changes(one, feed, "k")
+    assert _rows(applied, ["k", "name"]) == _rows(two, ["k", "name"])
+    single = spark.range(20).select(F.col("id").alias("k"), F.concat(F.lit("row "), F.col("id").cast("string")).alias("name"))
+    feed = changed_rows(write_snapshot(single, f"{tmp_path}/c", "k", 4), write_snapshot(single.where("k > 5"), f"{tmp_path}/d", "k", 4))
+    if few:
+        assert "hashpartitioning" not in plan_of(feed) + plan_of(apply_changes(single, feed, "k"))
