@@ -201,6 +201,12 @@ def _narrow(postings: DataFrame, numbers: DataFrame, key: str) -> DataFrame:
     return postings.join(numbers, "term").select(key, "_no", "tf", "doc_len")
 
 
+def _asked_postings(postings: DataFrame, asked: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The postings of the asked terms, written once for several passes, with numbers for terms on both sides."""
+    numbers, asked = _numbered(asked)
+    return cut_lineage(_narrow(postings, numbers, key).withColumnRenamed("_no", "term")), asked.withColumnRenamed("_no", "term")
+
+
 def _scores(postings: DataFrame, asked: DataFrame, rows: int, pairs: int, qid: str, key: str) -> DataFrame:
     """``qid, key, score`` by the ``asked`` words (``rows`` rows, ``pairs`` pairs with postings).
 
@@ -248,6 +254,8 @@ def bm25_topk(
     if (seen["pairs"] or 0) <= direct_pairs:
         scored = _scores(postings, asked, seen["rows"], seen["pairs"] or 0, qid, key)
     else:
+        if seen["rows"] <= BROADCAST_ROWS:
+            postings, asked = _asked_postings(postings, asked, key)
         scored = _scores_of_contenders(postings, asked, seen["rows"], k, qid, key, probe)
     rounded = scored.withColumn("score", F.round("score", DIGITS))
     return top_k_per_group(rounded, qid, [F.desc("score"), F.asc(key)], k)

@@ -419,3 +419,12 @@ def test_postings_are_dealt_once_whatever_the_number_of_queries(index, asked, pl
     dealt = [line for line in plan.splitlines() if "hashpartitioning(" in line]
     assert any("REPARTITION_BY_NUM" in line for line in dealt)
     assert not any(f"hashpartitioning({qid}#" in line and f", {index.key}#" in line for line in dealt)
+
+
+def test_bounded_search_reads_the_index_once(spark, index, asked, plan_of):
+    """Several passes go over the asked postings alone, which were written with numbers for their terms."""
+    qid = asked.columns[0]
+    found = keyword.bm25_topk(index, asked, 3, qid, "text", direct_pairs=0, probe=1)
+    assert "/postings" not in plan_of(found)
+    plain = keyword.bm25_topk(index, asked, 3, qid, "text")
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
