@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from staysift.functions.text import tokens
 from staysift.operators.joins import HOT_ROWS
 from staysift.operators.ranking import counted_rows, ranks_by_count, top_k_per_group
-from staysift.session import BROADCAST_ROWS, broadcast_if_small, cut_and_measure, cut_lineage
+from staysift.session import BROADCAST_ROWS, broadcast_if_small, cut_and_measure, cut_lineage, spread
 
 # BM25 saturation and length weight.
 K1 = 1.2
@@ -31,6 +31,11 @@ NAMED_WORDS = 1000
 DIRECT_PAIRS = 50_000_000
 # About so many (query, posting) pairs go to a task, which holds at most a score for each.
 TASK_PAIRS = 4_000_000
+# Postings that a task holds at a time to sort them (about 100 MB with long keys).
+RUN_ROWS = 1_000_000
+# How postings in runs are written: a row group holds each of its keys once, so its dictionary may be larger than
+# the usual 1 MB, and the group is small enough for it. Zstandard halves keys that are digests, Snappy does not.
+COMPACT = {"compression": "zstd", "parquet.block.size": 16 << 20, "parquet.dictionary.page.size": 8 << 20}
 
 
 @dataclass(frozen=True)
@@ -47,12 +52,46 @@ class KeywordIndex:
     key: str
 
 
-def make_postings(docs: DataFrame, key: str, text: str, *carried: str) -> DataFrame:
+def _runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.RecordBatch]:
+    """The rows in runs of about RUN_ROWS, each sorted by a column; a task holds one run at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def run() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        values = rows.column(by).combine_chunks().dictionary_encode()
+        place = np.empty(len(values.dictionary) + 1, dtype=np.int64)  # the last one is for nulls
+        place[pc.sort_indices(values.dictionary).to_numpy()] = np.arange(len(values.dictionary))
+        place[-1] = len(values.dictionary)
+        codes = pc.fill_null(values.indices, len(values.dictionary)).to_numpy(zero_copy_only=False)
+        order = np.argsort(place[codes], kind="stable")
+        return rows.take(pa.array(order)).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= RUN_ROWS:
+            yield run()
+    if held:
+        yield run()
+
+
+def in_runs(df: DataFrame, by: str) -> DataFrame:
+    """Rows sorted by a column inside runs of about RUN_ROWS: no shuffle, and no spill however large a task is."""
+    return df.mapInArrow(lambda batches: _runs(batches, by), df.schema)
+
+
+def make_postings(
+    docs: DataFrame, key: str, text: str, *carried: str, by_term: bool = False, scan: bool = True
+) -> DataFrame:
     """``key, term, doc_len, tf``, without a shuffle: the words of a text are counted where it is read.
 
-    ``carried`` columns come along. A key of several rows has the postings of each.
+    ``carried`` columns come along. A key of several rows has the postings of each. With ``by_term`` they come in runs
+    sorted by term, else text by text. A scan of fewer splits than cores is spread over all cores; for ``docs`` that
+    hold shuffles say ``scan=False``, since counting their partitions would run them.
     """
-    words = docs.select(key, *carried, tokens(text).alias("_words"))
+    docs = docs.select(key, *carried, text)
+    words = (spread(docs, key) if scan else docs).select(key, *carried, tokens(text).alias("_words"))
     kinds = words.schema
     fields = [
         kinds[key], T.StructField("term", T.StringType()), T.StructField("doc_len", T.IntegerType()),
@@ -78,7 +117,7 @@ def make_postings(docs: DataFrame, key: str, text: str, *carried: str) -> DataFr
                 names=[f.name for f in fields],
             )
 
-    return words.mapInArrow(count, T.StructType(fields))
+    return words.mapInArrow((lambda batches: _runs(count(batches), "term")) if by_term else count, T.StructType(fields))
 
 
 def ranged_postings(postings: DataFrame, key: str, *carried: str) -> DataFrame:
@@ -115,7 +154,7 @@ def build_index(docs: DataFrame, path: str, key: str, text: str) -> KeywordIndex
     few files that can hold them; a frequent term spans several files.
     """
     docs = docs.where(F.col(text).isNotNull())
-    counted = cut_lineage(make_postings(docs, key, text))
+    counted = cut_lineage(make_postings(docs, key, text, scan=False))
     ranged_postings(counted, key).write.mode("overwrite").parquet(f"{path}/postings")
     spark = docs.sparkSession
     write_term_counts(spark, path)
@@ -202,9 +241,14 @@ def _narrow(postings: DataFrame, numbers: DataFrame, key: str) -> DataFrame:
 
 
 def _asked_postings(postings: DataFrame, asked: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """The postings of the asked terms, written once for several passes, with numbers for terms on both sides."""
+    """The postings of the asked terms, written once for several passes, with numbers for terms on both sides.
+
+    They are written in runs sorted by document: a key that follows itself takes next to no room there and in the
+    shuffles of the passes.
+    """
     numbers, asked = _numbered(asked)
-    return cut_lineage(_narrow(postings, numbers, key).withColumnRenamed("_no", "term")), asked.withColumnRenamed("_no", "term")
+    kept = in_runs(_narrow(postings, numbers, key).withColumnRenamed("_no", "term"), key)
+    return cut_lineage(kept), asked.withColumnRenamed("_no", "term")
 
 
 def _scores(postings: DataFrame, asked: DataFrame, rows: int, pairs: int, qid: str, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from staysift.session import BROADCAST_ROWS, cut_and_measure, cut_lineage
+from staysift.session import BROADCAST_ROWS, TEXTS, cut_and_measure, cut_lineage
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -81,7 +81,7 @@ def write_snapshot(df: DataFrame, path: str, key: str, buckets: int = BUCKETS) -
         raise ValueError(f"{BUCKET} and {CHANGE} are names of the snapshot")
     spark = df.sparkSession
     placed = df.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    placed.hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/rows")
+    placed.hint("rebalance", BUCKET).write.mode("overwrite").options(**TEXTS).partitionBy(BUCKET).parquet(f"{path}/rows")
     rows = _read_rows(spark, path, df)
     digest = F.md5(_row_text(df, df.columns))
     halves = [F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 16)]

@@ -16,9 +16,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from staysift.operators.hybrid import HybridIndex
-from staysift.operators.keyword import KeywordIndex, make_postings, ranged_postings, term_counts
+from staysift.operators.keyword import COMPACT, KeywordIndex, in_runs, make_postings, ranged_postings, term_counts
 from staysift.operators.ranking import latest_per_key
-from staysift.session import broadcast_if_small, cut_lineage, delete_folder
+from staysift.session import TEXTS, broadcast_if_small, cut_lineage, delete_folder
 from staysift.sources.changes import BEFORE, CHANGE, DELETE
 
 BATCH, VERSION = "batch", "_version"
@@ -110,7 +110,7 @@ class PartIndex:
     def _add(self, marked: DataFrame, number: int) -> None:
         if number <= self.last_batch():
             return
-        newest = cut_lineage(latest_per_key(marked, self.key, [F.desc_nulls_last(VERSION), F.desc(self.text)]))
+        newest = cut_lineage(latest_per_key(marked, self.key, [F.desc_nulls_last(VERSION), F.desc(self.text)]), **TEXTS)
         before = self._read("docs")
         if before is not None:
             keys = broadcast_if_small(newest.select(self.key))
@@ -120,7 +120,7 @@ class PartIndex:
             known = cut_lineage(known.select(self.key, F.col(VERSION).alias("_known"), F.col(BATCH).alias("_of")))
             both = newest.join(known, self.key, "left")
             newer = F.col("_known").isNull() | (F.col(VERSION) >= F.col("_known"))
-            newest = cut_lineage(both.where(newer))
+            newest = cut_lineage(both.where(newer), **TEXTS)
             self._mark(newest.where("_of IS NOT NULL").select(self.key, "_of"), number)
             newest = newest.drop("_known", "_of")
         rows = newest.where(~F.col("_deleted")).drop("_deleted", VERSION)
@@ -138,7 +138,7 @@ class PartIndex:
         """Write which chunks a batch makes dead, and the counts that they take off."""
         old = keys.select(F.col(self.key).alias("_key"), F.col("_of"))
         was = (F.col(self.key) == F.col("_key")) & (F.col(BATCH) == F.col("_of"))
-        dead = cut_lineage(self._live("chunks").join(broadcast_if_small(old), was, "left_semi"))
+        dead = cut_lineage(self._live("chunks").join(broadcast_if_small(old), was, "left_semi"), **TEXTS)
         folder = f"{self.path}/deads/b{number}"
         dead.select("chunk_id", BATCH).write.mode("overwrite").parquet(f"{folder}/dead")
         words = make_postings(dead, "chunk_id", "text", BATCH).groupBy(BATCH, "term")
@@ -148,9 +148,14 @@ class PartIndex:
     def _write(self, name: str, number: int, docs: DataFrame, chunks: DataFrame) -> None:
         folder = f"{self.path}/parts/{name}"
         docs.withColumn(BATCH, F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/docs")
-        chunks.withColumn(BATCH, F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/chunks")
+        numbered = chunks.withColumn(BATCH, F.lit(number).cast("long"))
+        numbered.write.mode("overwrite").options(**TEXTS).parquet(f"{folder}/chunks")
         written = self.spark.read.parquet(f"{folder}/chunks")
-        self._write_postings(folder, cut_lineage(make_postings(written, "chunk_id", "text", BATCH)))
+        if written.groupBy("chunk_id").count().where("count > 1").limit(1).count():  # their counts are added up
+            postings = ranged_postings(cut_lineage(make_postings(written, "chunk_id", "text", BATCH)), "chunk_id", BATCH)
+        else:
+            postings = make_postings(written, "chunk_id", "text", BATCH, by_term=True)
+        self._write_postings(folder, postings)
         vectors = self.embed(written).select("chunk_id", BATCH, "embedding").where("embedding IS NOT NULL")
         vectors.write.mode("overwrite").parquet(f"{folder}/vectors")
         entries = [tuple(r)[:4] + (number,) for r in self.state()]
@@ -169,9 +174,8 @@ class PartIndex:
             raise
 
     def _write_postings(self, folder: str, postings: DataFrame) -> None:
-        ranged = ranged_postings(postings, "chunk_id", BATCH)
-        # Chunk ids are long texts in no order: Zstandard halves them, Snappy leaves them as they are.
-        ranged.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/postings")
+        """Write postings in runs sorted by term: a search reads the pages of its words in each run, a write shuffles nothing."""
+        postings.write.mode("overwrite").options(**COMPACT).parquet(f"{folder}/postings")
         counts = term_counts(self.spark.read.parquet(f"{folder}/postings"))
         counts.write.mode("overwrite").parquet(f"{folder}/terms")
 
@@ -205,8 +209,8 @@ class PartIndex:
         docs = latest_per_key(self._read("docs", names), self.key, [F.desc_nulls_last(VERSION), F.desc(BATCH)])
         docs.write.mode("overwrite").parquet(f"{folder}/docs")
         for table in ("chunks", "vectors"):
-            self._live(table, names).write.mode("overwrite").parquet(f"{folder}/{table}")
-        self._write_postings(folder, self._live("postings", names))
+            self._live(table, names).write.mode("overwrite").options(**TEXTS).parquet(f"{folder}/{table}")
+        self._write_postings(folder, in_runs(self._live("postings", names), "term"))
         entries = [tuple(r)[:5] for r in state if r["kind"] == "part" and r["name"] not in names]
         entries.append(("part", name, batches, self.spark.read.parquet(f"{folder}/chunks").count(), last))
         dead = self._read("dead")

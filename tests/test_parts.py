@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from staysift.operators.chunking import fixed_chunks
 from staysift.operators.hybrid import build_hybrid_index, search
 from staysift.sources.changes import changed_rows, write_snapshot
+from staysift.streaming import parts
 from staysift.streaming.parts import PartIndex
 
 SCHEMA = "id long, version int, gone boolean, text string"
@@ -107,3 +108,34 @@ def test_empty(spark, index):
     index.add(spark.createDataFrame([], SCHEMA), 0, F.col("version"))
     asked = spark.createDataFrame([(1, "sea", [1.0, 0.0, 0.0, 0.0])], "q int, text string, embedding array<float>")
     assert search(index.open(), asked, "q", "text").count() == 0
+
+
+def bytes_per_posting(spark, path):
+    stored = spark.read.parquet(path)
+    return sum(Path(f.removeprefix("file:")).stat().st_size for f in stored.inputFiles()) / stored.count()
+
+
+def test_postings_are_written_in_place_and_compact(spark, tmp_path, monkeypatch):
+    """Their ids are digests in no order: a dictionary holds each once, and no shuffle moves them."""
+    monkeypatch.setattr(parts, "ranged_postings", lambda *a: pytest.fail("postings were shuffled"))
+    index = PartIndex(spark, f"{tmp_path}/index", "id", "text", short_chunks, embed, fan=2, tier=100_000)
+    words = F.concat_ws(" ", *[F.concat(F.lit("w"), (F.col("id") * k % 97).cast("string")) for k in range(1, 9)])
+    rows = spark.range(20_000).withColumn("text", words)
+    index.add(rows, 0, F.lit(0))
+    folder = f"{index.path}/parts/b0/postings"
+    assert bytes_per_posting(spark, folder) < 15
+    terms = [r["term"] for r in spark.read.parquet(spark.read.parquet(folder).inputFiles()[0]).select("term").collect()]
+    assert terms == sorted(terms)
+    index.add(rows.limit(3).withColumn("text", F.lit("sea view")), 1, F.lit(1))
+    assert len(index.parts()) == 1
+    merged = spark.read.parquet(f"{index.path}/parts/{index.parts()[0]['name']}/postings")
+    assert merged.where("term IN ('sea', 'view')").count() == 6 and bytes_per_posting(spark, f"{index.path}/parts/{index.parts()[0]['name']}/postings") < 15
+
+
+def test_chunks_with_one_id_are_added_up(spark, tmp_path):
+    def twice(df, key, text):
+        return short_chunks(df, key, text).unionAll(short_chunks(df, key, text))
+
+    index = PartIndex(spark, f"{tmp_path}/index", "id", "text", twice, embed)
+    index.add(spark.createDataFrame([(1, 1, False, "sea lift sea")], SCHEMA), 0, F.col("version"))
+    assert sorted(tuple(r) for r in index.open().words.postings.select("term", "doc_len", "tf").collect()) == [("lift", 3, 2), ("sea", 3, 4)]

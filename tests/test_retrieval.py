@@ -4,8 +4,10 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ from staysift.operators.vectors import (
     vector_topk,
     vector_topk_cells,
 )
-from staysift.session import scratch_path
+from staysift.session import cut_lineage, scratch_path
 
 RNG = random.Random(7)
 WORDS = [f"w{i}" for i in range(60)]
@@ -428,3 +430,23 @@ def test_bounded_search_reads_the_index_once(spark, index, asked, plan_of):
     assert "/postings" not in plan_of(found)
     plain = keyword.bm25_topk(index, asked, 3, qid, "text")
     assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_asked_postings_follow_their_document(spark, monkeypatch):
+    """A key that follows itself takes next to no room; a run's end is no end of the rows."""
+    terms = spark.range(8).select(F.concat(F.lit("w"), "id").alias("term"))
+    rows = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("key")).crossJoin(F.broadcast(terms))
+    rows = rows.unionAll(terms.select(F.lit(None).cast("string").alias("key"), "term"))
+    rows = rows.withColumns({"tf": F.lit(1).cast("long"), "doc_len": F.lit(8)})
+    postings = cut_lineage(rows.coalesce(1).sortWithinPartitions("term"))
+    asked = terms.withColumn("q", F.lit(1))
+    kept, numbered = keyword._asked_postings(postings, asked, "key")
+    size = sum(Path(f.removeprefix("file:")).stat().st_size for f in kept.inputFiles())
+    assert size < 25 * kept.count()
+    assert kept.where("key IS NULL").count() == 8 and numbered.count() == 8
+    assert kept.groupBy("key").count().where("count <> 8").count() == 0
+    monkeypatch.setattr(keyword, "RUN_ROWS", 3)
+    batches = [pa.record_batch({"k": k, "n": n}) for k, n in ((["b", None], [1, 2]), (["a"], [3]), ([], []), (["c"], [4]))]
+    batches[2] = batches[0].slice(0, 0)
+    runs = [r.to_pydict() for r in keyword._runs(iter(batches), "k")]
+    assert runs == [{"k": ["a", "b", None], "n": [3, 1, 2]}, {"k": ["c"], "n": [4]}]
