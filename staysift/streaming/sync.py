@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from staysift.operators.joins import join_on_unique
-from staysift.operators.keyword import KeywordIndex, make_postings, open_index, write_term_counts
+from staysift.operators.keyword import COMPACT, KeywordIndex, in_runs, make_postings, open_index, write_term_counts
 from staysift.operators.ranking import latest_per_key
-from staysift.session import broadcast_if_small, cut_lineage
+from staysift.session import TEXTS, broadcast_if_small, cut_lineage
 
 BATCH, VERSION = "batch", "_version"
 
@@ -59,11 +59,11 @@ def sync_index(
 
     def take(batch: DataFrame, number: int) -> None:
         def write(df: DataFrame, table: str) -> None:
-            df.write.mode("overwrite").parquet(f"{path}/{table}/{BATCH}={number}")
+            df.write.mode("overwrite").options(**TEXTS).parquet(f"{path}/{table}/{BATCH}={number}")
 
         marked = batch.withColumns({"deleted": flag, VERSION: version})
         order = [F.desc_nulls_last(VERSION), F.desc(text)]
-        rows = cut_lineage(latest_per_key(marked, key, order))
+        rows = cut_lineage(latest_per_key(marked, key, order), **TEXTS)
         write(rows.select(key, "deleted", VERSION), "versions")
         write(chunker(rows.where(~F.col("deleted")).drop("deleted", VERSION), key, text), "chunks")
         written = batch.sparkSession.read.parquet(f"{path}/chunks/{BATCH}={number}")
@@ -81,8 +81,7 @@ def sync_index(
 def compact_index(spark: SparkSession, path: str, target: str, key: str) -> KeywordIndex:
     """Merge the batches into one keyword index over the live chunks, for searching."""
     postings = _live(spark, path, "postings", key).drop(BATCH, key)
-    # Chunk ids are long texts in no order: Zstandard halves them, Snappy leaves them as they are.
-    postings.sortWithinPartitions("term").write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/postings")
+    in_runs(postings, "term").write.mode("overwrite").options(**COMPACT).parquet(f"{target}/postings")
     write_term_counts(spark, target)
     live = live_chunks(spark, path, key).agg(F.count("*").alias("n_docs"))
     live.write.mode("overwrite").parquet(f"{target}/stats")

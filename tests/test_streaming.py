@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +125,15 @@ def test_live_rows_are_not_shuffled(spark, tmp_path, plan_of):
     plan = plan_of(live)
     assert "LeftAnti" in plan and "chunk_id" not in "".join(line for line in plan.splitlines() if "hashpartitioning" in line)
     assert sorted(r["text"] for r in live.collect()) == ["new" + "er", "short now"]
+
+
+def test_compacted_postings_name_a_chunk_once_a_row_group(spark, tmp_path):
+    words = F.concat_ws(" ", *[F.concat(F.lit("w"), (F.col("id") * k % 97).cast("string")) for k in range(1, 9)])
+    folder, path = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(20_000).select("id", F.lit(1).alias("version"), F.lit(False).alias("gone"), words.alias("text")).write.parquet(folder)
+    sync(spark, folder, path)
+    stored = compact_index(spark, path, str(tmp_path / "merged"), "id").postings
+    size = sum(Path(f.removeprefix("file:")).stat().st_size for f in stored.inputFiles())
+    assert size < 15 * stored.count()
+    terms = [r["term"] for r in spark.read.parquet(stored.inputFiles()[0]).select("term").collect()]
+    assert terms == sorted(terms)
